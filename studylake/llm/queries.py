@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat_format, sharding, simhash
 from .common import table
 
 
@@ -19,9 +19,47 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of text in a shard.
+SHARD_BYTES = 16 << 20
+
+
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.extendible_shards(table(spark, sf_dir, "documents"), limit_bytes=SHARD_BYTES)
+    return shards.select(F.col("id").alias("doc_id"), "n_bytes", "shard", "depth", "shard_bytes", "shard_rows", "oversized")
+
+
+OP3_SQL = f"""
+WITH r AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes,
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS bits
+  FROM documents
+), lv AS (
+  SELECT d, bits >> (60 - d) AS p, CAST(sum(n_bytes) AS BIGINT) AS b, count(*) AS n
+  FROM r, (SELECT unnest(range(0, 31)) AS d) GROUP BY 1, 2
+), leaf AS (
+  SELECT r.doc_id, min(lv.d) AS d FROM r JOIN lv ON lv.p = (r.bits >> (60 - lv.d))
+  WHERE lv.b <= {SHARD_BYTES} OR lv.n = 1 GROUP BY 1
+)
+SELECT r.doc_id, r.n_bytes,
+       CASE WHEN leaf.d = 0 THEN '' ELSE lpad(bin(r.bits >> (60 - leaf.d)), CAST(leaf.d AS INTEGER), '0') END AS shard,
+       CAST(leaf.d AS INTEGER) AS depth, lv.b AS shard_bytes, lv.n AS shard_rows, lv.n = 1 AND lv.b > {SHARD_BYTES} AS oversized
+FROM r JOIN leaf ON leaf.doc_id = r.doc_id JOIN lv ON lv.d = leaf.d AND lv.p = (r.bits >> (60 - leaf.d))
+"""
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.read_back(chat_format.format_conversations(turns))
+
+
+ALL = (op1_simhash_near_dedup, op3_extendible_sharding, op7_chat_formatting)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup,)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_extendible_sharding": OP3_SQL}
