@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, sharding, simhash
+from . import chat_format, secrets, sharding, simhash
 from .common import table
 
 
@@ -47,6 +47,10 @@ FROM r JOIN leaf ON leaf.doc_id = r.doc_id JOIN lv ON lv.d = leaf.d AND lv.p = (
 """
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.secret_spans(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -54,7 +58,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns))
 
 
-ALL = (op1_simhash_near_dedup, op3_extendible_sharding, op7_chat_formatting)
+ALL = (op1_simhash_near_dedup, op3_extendible_sharding, op6_secret_scan, op7_chat_formatting)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -62,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_extendible_sharding": OP3_SQL}
+    return {"op3_extendible_sharding": OP3_SQL, "op6_secret_scan": secrets.sql()}
