@@ -156,7 +156,7 @@ def sql(scope: int = 400) -> str:
     ]
     found = " UNION ALL ".join(
         f"""SELECT doc_id, {KINDS.index(kind)} AS rank, {ROLE[kind]} AS role, s AS start, s + length(m) AS stop FROM (
-          SELECT doc_id, f[i] AS m, list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], x -> length(x))), 0) AS s
+          SELECT doc_id, f[i] AS m, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS s
           FROM (SELECT doc_id, f, g, unnest(range(1, len(f) + 1)) AS i FROM (
             SELECT doc_id, regexp_extract_all(text, {quote(p)}) AS f, string_split_regex(text, {quote(p)}) AS g FROM documents WHERE regexp_matches(text, {quote(p)})))
         ) WHERE {keep}"""
