@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, secrets, sharding, simhash
+from . import chat_format, quality, secrets, sharding, simhash
 from .common import table
 
 
@@ -58,7 +58,20 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns))
 
 
-ALL = (op1_simhash_near_dedup, op3_extendible_sharding, op6_secret_scan, op7_chat_formatting)
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """The model of ``op8``, fitted to labels of rows that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out("doc_id"))
+    return quality.train(table(spark, sf_dir, "documents"), labels)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select(
+        F.col("id").alias("doc_id"), quality.held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+ALL = (op1_simhash_near_dedup, op3_extendible_sharding, op6_secret_scan, op7_chat_formatting, op8_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
