@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality, secrets, sharding, simhash
+from . import chat_format, quality, secrets, sentencepiece, sharding, simhash
 from .common import table
 
 
@@ -71,7 +71,20 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ALL = (op1_simhash_near_dedup, op3_extendible_sharding, op6_secret_scan, op7_chat_formatting, op8_quality_classifier)
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    encoded = sentencepiece.encode(docs, carry=("text_sha256",))
+    counted = encoded.select(
+        "id", "text_sha256", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "n_fallback", F.xxhash64("piece_ids").alias("pieces_hash")
+    )
+    decoded = F.sha2("text", 256)
+    return sentencepiece.decode(counted).select(
+        F.col("id").alias("doc_id"), "n_pieces", "n_fallback", "pieces_hash", decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip")
+    )
+
+
+ALL = (op1_simhash_near_dedup, op3_extendible_sharding, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op10_sentencepiece)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
