@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality, secrets, sentencepiece, sharding, simhash
+from . import chat_format, pii, quality, secrets, sentencepiece, sharding, simhash
 from .common import table
 
 
@@ -47,6 +47,15 @@ FROM r JOIN leaf ON leaf.doc_id = r.doc_id JOIN lv ON lv.d = leaf.d AND lv.p = (
 """
 
 
+#: A deployment passes its own; surrogates can't be linked between keys.
+PII_KEY = "studylake example key"
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs, key=PII_KEY, count_col="n_entities")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.secret_spans(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
@@ -84,7 +93,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ALL = (op1_simhash_near_dedup, op3_extendible_sharding, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op10_sentencepiece)
+ALL = (op1_simhash_near_dedup, op3_extendible_sharding, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op10_sentencepiece)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
