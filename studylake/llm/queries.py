@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, pii, quality, secrets, sentencepiece, sharding, simhash
+from . import chat_format, decontamination, pii, quality, secrets, sentencepiece, sharding, simhash
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "similarity")
+
+
 #: Bytes of text in a shard.
 SHARD_BYTES = 16 << 20
 
@@ -93,7 +98,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ALL = (op1_simhash_near_dedup, op3_extendible_sharding, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op10_sentencepiece)
+ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_extendible_sharding, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op10_sentencepiece)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
