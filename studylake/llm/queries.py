@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, pii, quality, secrets, sentencepiece, sharding, simhash, suffix_dedup
+from . import chat_format, decontamination, embedding_dedup, pii, quality, secrets, sentencepiece, sharding, simhash, suffix_dedup
 from .common import table
 
 
@@ -52,6 +52,11 @@ FROM r JOIN leaf ON leaf.doc_id = r.doc_id JOIN lv ON lv.d = leaf.d AND lv.p = (
 """
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"), cosine=0.9)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 #: A deployment passes its own; surrogates can't be linked between keys.
 PII_KEY = "studylake example key"
 
@@ -102,7 +107,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_extendible_sharding, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op9_suffix_array_dedup, op10_sentencepiece)
+ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_extendible_sharding, op4_embedding_near_dedup, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op9_suffix_array_dedup, op10_sentencepiece)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
