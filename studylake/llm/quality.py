@@ -228,6 +228,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Rows whose text scores ``threshold`` or more, with all their columns; handled as in ``score``, but nothing is joined."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in texts:
+            scores, bags = [], []
+            for i, text in enumerate(some):
+                bags.append(features(text.as_py()))
+                if sum(map(len, bags[-64:])) > 4096 or len(bags) == 512 or i == len(some) - 1:
+                    scores.append(model.scores(np.concatenate(bags), np.cumsum([0, *(len(b) for b in bags[:-1])])))
+                    bags = []
+            yield pa.array(np.concatenate(scores) if scores else [], pa.float64())
+
+    scored = F.arrow_udf(run, "double")
+    return docs.where(scored(F.col(f"`{text_col}`")) >= threshold)
+
+
 def held_out(id_col: str) -> F.Column:
     """Whether a row is kept from training: crc32 of its id as text leaves 1 on division by 3. False for a null id."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -17,6 +17,7 @@ parts that meet pairwise, so no task holds more than two parts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -294,3 +295,127 @@ def simhash_components(
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     labels = rooted.join(smallest, "root").select("fp", "component")
     return marked.join(labels, "fp").select("id", "fp", "component")
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Different hashes of a text's word shingles, sorted; a text of fewer words is one shingle, one of none has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)], dtype=np.uint64).view(np.int64))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared)
+
+
+def _settle_small(groups: DataFrame, similarity: float) -> DataFrame:
+    """Texts of small groups that go: in the order of ids, a text goes if it is alike one that stays. ``(sha)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stay = None, []
+        for batch in batches:
+            gone = []
+            for i, (group, sha) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if group != now:
+                    now, stay = group, []
+                mine = batch.column(2)[i].values.to_numpy()
+                if any(_alike(mine, other, similarity) for other in stay):
+                    gone.append(sha)
+                else:
+                    stay.append(mine.copy())
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], ["sha"])
+
+    n = shuffle_partitions(groups.sparkSession)
+    ordered = groups.repartition(n, "component").sortWithinPartitions("component", F.col("least").asc_nulls_last(), "sha")
+    return ordered.select("component", "sha", "shingles").mapInArrow(run, "sha string")
+
+
+def _alike_column(a: str, b: str, similarity: float):
+    shared = F.size(F.array_intersect(a, b))
+    return shared >= F.lit(similarity) * (F.size(a) + F.size(b) - shared)
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    shingle: int = 5,
+    similarity: float = 0.8,
+    fingerprint_shingle: int = 2,
+    max_distance: int = 8,
+    small_group: int = 256,
+    patience: int = 4,
+) -> DataFrame:
+    """Rows of ``docs`` that stay when one of each group of near duplicates does; all columns stay.
+
+    Texts are near duplicates if their sets of ``shingle``-word shingles have that Jaccard similarity. Candidates are the
+    components of ``simhash_components`` over ``fingerprint_shingle`` words, whose fingerprints move less under an edit
+    than those of long shingles. Within a component texts go in the order of their smallest id, nulls last: a text is
+    dropped if it is near a text that stays. A component of more than ``small_group`` different texts is thinned in
+    rounds first: in each round a text is dropped if it is near the first of its group, by component and then by one
+    MinHash after the other, until ``patience`` rounds drop none.
+
+    Of rows with one text the one of the smallest id stays, of equal rows one. Null, empty and blank texts are near each
+    other. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "neardup")
+    taken = set(docs.columns)
+    key = next(n for i in range(len(taken) + 1) if (n := f"text_sha_{i}") not in taken)
+    text = F.col(f"`{text_col}`")
+    marked = docs.withColumn(key, F.sha2(F.coalesce(text, F.lit("")), 256))
+    rows = scratch.write(marked.groupBy(F.col(f"`{id_col}`").alias("id"), F.col(key).alias("sha")).count())
+    least = rows.groupBy("sha").agg(F.min("id").alias("least"))
+    found = simhash_components(marked, key, text_col, shingle=fingerprint_shingle, max_distance=max_distance, blocks=3, code="golay")
+    found = scratch.write(found.select(F.col("id").alias("sha"), "component").distinct())
+    several = found.groupBy("component").count().where("count > 1")
+    members = scratch.write(found.join(several, "component").join(least, "sha").select("component", "count", "sha", "least"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                some = batch.slice(at, 512)
+                made = pa.array([shingle_hashes(t.as_py(), shingle) for t in some.column(4)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(4)), made], ["component", "count", "sha", "least", "shingles"])
+
+    # One row stands for its text: that of the smallest id, and any of several equal ones.
+    held = marked.select(F.col(key).alias("sha"), text.alias("text"), F.col(f"`{id_col}`").alias("id")).join(members, "sha").where(F.col("id").eqNullSafe(F.col("least")))
+    schema = f"component string, count bigint, sha string, least {members.schema['least'].dataType.simpleString()}, shingles array<bigint>"
+    held = held.select("component", "count", "sha", "least", "text").mapInArrow(shingles, schema)
+    held = scratch.write(held)
+    if rows.where("count > 1").limit(1).count():
+        held = scratch.write(held.dropDuplicates(["sha"]))
+    gone = []
+    left = scratch.write(held.where(F.col("count") > small_group))
+    calm, turn = 0, 0
+    while calm < patience and not left.isEmpty():
+        by = F.lit(0).cast("bigint") if turn == 0 else F.coalesce(F.array_min(F.transform("shingles", lambda h, t=turn: F.xxhash64(h, F.lit(t)))), F.lit(0).cast("bigint"))
+        grouped = left.withColumn("by", by)
+        order = F.struct(F.col("least").isNull().alias("none"), "least", "sha")
+        first = grouped.groupBy("component", "by").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").select("component", "by", F.col("f.sha").alias("first"))
+        leader = first.join(left.select(F.col("sha").alias("first"), F.col("shingles").alias("other")), "first")
+        near = grouped.join(leader, ["component", "by"]).where((F.col("sha") != F.col("first")) & _alike_column("shingles", "other", similarity)).select("sha").distinct()
+        near = scratch.write(near)
+        calm, turn = (calm + 1 if near.isEmpty() else 0), turn + 1
+        if calm == 0:
+            gone.append(near)
+            then = scratch.write(left.join(near, "sha", "left_anti"))
+            scratch.drop(left)
+            left = then
+    sizes = left.groupBy("component").count().where(F.col("count") <= small_group).select("component")
+    small = held.where(F.col("count") <= small_group).unionByName(left.join(sizes, "component"))
+    gone.append(_settle_small(small, similarity))
+    dropped = scratch.write(gone[0] if len(gone) == 1 else reduce(DataFrame.unionByName, gone))
+    out_rows = rows.join(least, "sha").where(~F.col("id").eqNullSafe(F.col("least"))).select("id", "sha")
+    out_rows = out_rows.unionByName(rows.join(dropped, "sha").select("id", "sha")).distinct()
+    out_rows = scratch.write(out_rows.select(F.col("id").alias("__id"), F.col("sha").alias("__sha")))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__sha"))
+    stay = marked.join(out_rows, same, "left_anti")
+    twice = scratch.write(rows.where("count > 1").select(F.col("id").alias("__id"), F.col("sha").alias("__sha")))
+    if not twice.isEmpty():
+        stay = stay.join(twice, same, "left_anti").unionByName(stay.join(twice, same, "left_semi").dropDuplicates([id_col, key]))
+    return stay.drop(key)
