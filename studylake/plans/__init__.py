@@ -1,0 +1,6 @@
+"""Registered queries over the library's operators."""
+
+from . import library
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "library"]
