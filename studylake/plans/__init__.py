@@ -1,6 +1,6 @@
 """Registered queries over the library's operators."""
 
-from . import library
+from . import annotations, library
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "library"]
+__all__ = ["QUERIES", "SQL", "annotations", "library"]
