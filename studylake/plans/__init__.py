@@ -1,6 +1,6 @@
 """Registered queries over the library's operators."""
 
-from . import annotations, library
+from . import annotations, discussion, library
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "annotations", "library"]
+__all__ = ["QUERIES", "SQL", "annotations", "discussion", "library"]
