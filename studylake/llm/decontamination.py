@@ -3,10 +3,11 @@
 An item and a window are compared by their word shingles, ``shingle`` words each (all words where there are fewer), each
 weighing as often as it occurs: similarity is the sum of the smaller weights over the sum of the larger. At similarity
 ``s`` or more a window lacks at most ``x = n (1 - s) / (1 + s)`` of an item's n shingles, so at most x of the item's words
-are missing from it, and the rest are shifted by at most x. Windows are therefore placed wherever one of x + 1 words of an
-item stands (its longest, the choice bears on cost alone), at that word's place in the item give or take x. Each window
-gets a SimHash; windows and items whose fingerprints differ in at most ``max_distance`` bits meet through one of several
-blocks in which they differ in at most one bit, so none within the radius is missed. What meets is compared exactly.
+are missing from it, and the rest are shifted by at most x. Of any x + 3 words of an item (its longest are taken, a choice
+that bears on cost alone) three stand therefore in the window, each at its place in the item give or take x. Windows are
+placed wherever that is so, and nowhere else. Each window gets a SimHash; windows and items whose fingerprints differ in
+at most ``max_distance`` bits meet through one of several blocks in which they differ in at most one bit, so none within
+the radius is missed. What meets is compared exactly.
 
 Texts are split into words twice, and never moved unless they hold such a word.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, only, words_of
 
 BITS = 64
+#: Key words of an item that a window must hold, beyond those that it may lack.
+WITNESSES = 3
 #: Items up to this number of key words are sent to all tasks; beyond, Spark joins by a shuffle as sizes tell.
 BROADCAST_KEYS = 50_000
 
@@ -92,25 +95,25 @@ def find_items(
     missing = (1 - similarity) / (1 + similarity)
     base = only(items, item=item_col, text=item_text_col).withColumn("words", words_of(F.col("text"))).where(F.size("words") > 0)
     base = base.withColumn("hashes", _shingles(F.col("words"), shingle)).withColumn("fp", _simhash(F.col("hashes")))
-    base = scratch.write(
-        base.select(
-            "item", "words", "fp", F.size("words").alias("w"), _numbered(F.col("hashes")).alias("shingles"),
-            F.floor(F.size("hashes") * F.lit(missing) + F.lit(1e-9)).cast("int").alias("x"),
-        ).distinct()
-    )
-    # Key words: the x + 1 positions of the longest words. Equal words at several positions are positions of their own.
+    base = base.select(
+        "item", "words", "fp", F.size("words").alias("w"), _numbered(F.col("hashes")).alias("shingles"),
+        F.floor(F.size("hashes") * F.lit(missing) + F.lit(1e-9)).cast("int").alias("x"),
+    ).distinct()
+    base = scratch.write(base.withColumn("row", F.monotonically_increasing_id()))
+    # Key words: the positions of the longest words. Equal words at several positions are positions of their own.
     ranked = F.array_sort(F.transform("words", lambda w, i: F.struct((-F.length(w)).alias("r"), i.alias("offset"), w.alias("word"))))
-    keys = base.select("w", "x", F.explode(F.slice(ranked, F.lit(1), F.col("x") + 1)).alias("k")).select("w", "x", F.col("k.offset").alias("offset"), F.col("k.word").alias("word"))
-    keys = scratch.write(keys.distinct())
+    n_keys = F.least(F.col("w"), F.col("x") + WITNESSES)
+    keys = base.select("row", "w", "x", (n_keys - F.col("x")).alias("need"), F.explode(F.slice(ranked, F.lit(1), n_keys)).alias("k"))
+    keys = scratch.write(keys.select("row", "w", "x", "need", F.col("k.offset").alias("offset"), F.col("k.word").alias("word")))
     small = keys.count() <= BROADCAST_KEYS
     send = F.broadcast if small else (lambda df: df)
     source = only(docs, id=id_col, text=text_col).where(F.length("text") > 0)
     split = source.select(*_row_key(), F.posexplode(words_of(F.col("text"))).alias("at", "word"))
     hits = split.join(send(keys), "word")
-    # Key words of one passage stand on one diagonal, so windows are placed once for all of them.
-    diagonals = hits.select("id", "h1", "h2", "w", "x", (F.col("at") - F.col("offset")).alias("diagonal")).distinct()
-    starts = F.explode(F.sequence(F.col("diagonal") - F.col("x"), F.col("diagonal") + F.col("x")))
-    windows = scratch.write(diagonals.select("id", "h1", "h2", "w", starts.alias("start")).where("start > -w").distinct())
+    starts = F.explode(F.sequence(F.col("at") - F.col("offset") - F.col("x"), F.col("at") - F.col("offset") + F.col("x")))
+    voted = hits.select("id", "h1", "h2", "row", "w", "need", "offset", starts.alias("start")).where("start > -w")
+    placed = voted.groupBy("id", "h1", "h2", "row", "w", "need", "start").agg(F.count_distinct("offset").alias("n")).where("n >= need")
+    windows = scratch.write(placed.select("id", "h1", "h2", "w", "start").distinct())
     per_text = scratch.write(windows.groupBy("id", "h1", "h2").agg(F.collect_set(F.struct("start", "w")).alias("places")))
     texts = source.select(*_row_key(), "text")
     held = texts.alias("t").join(per_text.alias("p"), _same("t", "p")).select("t.id", "t.h1", "t.h2", words_of(F.col("t.text")).alias("words"), "places")
