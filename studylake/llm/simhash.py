@@ -333,6 +333,10 @@ def _settle_small(groups: DataFrame, similarity: float) -> DataFrame:
     return ordered.select("component", "sha", "shingles").mapInArrow(run, "sha string")
 
 
+def _min_hash(shingles: str, seed: int):
+    return F.coalesce(F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(seed)))), F.lit(0).cast("bigint"))
+
+
 def _alike_column(a: str, b: str, similarity: float):
     shared = F.size(F.array_intersect(a, b))
     return shared >= F.lit(similarity) * (F.size(a) + F.size(b) - shared)
@@ -393,7 +397,7 @@ def drop_near_duplicates(
     left = scratch.write(held.where(F.col("count") > small_group))
     calm, turn = 0, 0
     while calm < patience and not left.isEmpty():
-        by = F.lit(0).cast("bigint") if turn == 0 else F.coalesce(F.array_min(F.transform("shingles", lambda h, t=turn: F.xxhash64(h, F.lit(t)))), F.lit(0).cast("bigint"))
+        by = F.lit(0).cast("bigint") if turn == 0 else _min_hash("shingles", turn)
         grouped = left.withColumn("by", by)
         order = F.struct(F.col("least").isNull().alias("none"), "least", "sha")
         first = grouped.groupBy("component", "by").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").select("component", "by", F.col("f.sha").alias("first"))
