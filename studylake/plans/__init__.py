@@ -1,6 +1,6 @@
 """Registered queries over the library's operators."""
 
-from . import annotations, discussion, library
+from . import annotations, discussion, ingest, library, study
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "annotations", "discussion", "library"]
+__all__ = ["QUERIES", "SQL", "annotations", "discussion", "ingest", "library", "study"]
