@@ -107,6 +107,49 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<s>', '<\\s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]'), '</s>', '<\\/s>')"
+
+#: The marks of a turn have 20 characters.
+OP7_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(20 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen
+), c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.node = e.vec_id"""
+
+#: Texts as hexadecimal strings, two characters a byte; windows of 50 bytes as groups.
+OP9_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS k, md5(substr(h, 2 * i + 1, 100)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM t WHERE length(h) >= 100)),
+f AS (SELECT k, m, min(doc_id) AS d FROM w GROUP BY k, m HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT w.doc_id, w.i FROM w JOIN f ON f.k = w.k AND f.m = w.m AND w.doc_id > f.d),
+g AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM x),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM g),
+r AS (SELECT doc_id, n, min(i) AS a, max(i) + 50 AS b FROM s GROUP BY doc_id, n),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT p.doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS last,
+  string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM p JOIN t ON t.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""
+
+
 ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_extendible_sharding, op4_embedding_near_dedup, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op9_suffix_array_dedup, op10_sentencepiece)
 
 
@@ -115,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_extendible_sharding": OP3_SQL, "op6_secret_scan": secrets.sql()}
+    return {"op3_extendible_sharding": OP3_SQL, "op4_embedding_near_dedup": OP4_SQL, "op6_secret_scan": secrets.sql(), "op7_chat_formatting": OP7_SQL, "op9_suffix_array_dedup": OP9_SQL}
