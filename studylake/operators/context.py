@@ -146,3 +146,40 @@ def branch_messages(branch: DataFrame, messages: DataFrame) -> DataFrame:
     kept = kept.where(F.col("cutoff").isNull() | (F.col("created_at") <= F.col("cutoff")))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("o"), "created_at", "message_id", "role", "content")))
     return kept.groupBy("leaf_id").agg(F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("branch"))
+
+
+def jobs_to_queue(wanted: DataFrame, cached: DataFrame, jobs: DataFrame, keys: list[str]) -> DataFrame:
+    """Contexts to generate: those wanted that are neither cached nor queued nor running (CTX-9), each once."""
+    live = jobs.where(F.col("status").isin("queued", "running")).select(*keys)
+    return wanted.select(*keys).distinct().join(cached.select(*keys), keys, "left_anti").join(live, keys, "left_anti")
+
+
+def finish_jobs(jobs: DataFrame, results: DataFrame, texts: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Running jobs with their outcome (CTX-9): a result counts if its text is still the current one and it has 1 token at
+    least and its tier's limit at most. ``results``: job_id, content, text_hash; ``texts``: version_id, text_hash."""
+    table = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))
+    current = texts.select("version_id", F.col("text_hash").alias("now"))
+    joined = jobs.join(results.select("job_id", "content", "text_hash"), "job_id", "left").join(current, "version_id", "left")
+    size = tx.token_estimate(F.col("content"))
+    running = F.col("status") == "running"
+    outcome = (
+        F.when(F.col("content").isNull(), "failed")
+        .when(~F.col("text_hash").eqNullSafe(F.col("now")), "cancelled")
+        .when(size.between(1, F.try_element_at(table, F.col("tier"))), "completed")
+        .otherwise("failed")
+    )
+    return joined.withColumn("status", F.when(running, outcome).otherwise(F.col("status"))).select(*jobs.columns, F.when(F.col("status") == "completed", F.col("content")).alias("content"))
+
+
+MAX_UPLOAD = 5 << 20
+
+
+def run_image(upload: Column, block_type: Column, visual: Column) -> Column:
+    """Where a run's image comes from: an uploaded PNG, the block's own picture, or nowhere (CTX-10)."""
+    png = (F.hex(F.substring(upload, 1, 8)) == "89504E470D0A1A0A") & (F.octet_length(upload) <= MAX_UPLOAD)
+    return F.when(png, "upload").when((block_type == "image") & (visual != ""), "asset").when((block_type == "svg") & visual.isNotNull(), "svg")
+
+
+def replay(requests: DataFrame, runs: DataFrame, key: str = "request_id") -> tuple[DataFrame, DataFrame]:
+    """Requests to run, and the runs that answer those that were made before (CTX-12)."""
+    return requests.dropDuplicates([key]).join(runs.select(key), key, "left_anti"), runs.join(requests.select(key).distinct(), key, "left_semi")

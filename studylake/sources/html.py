@@ -96,7 +96,7 @@ class Cutter(HTMLParser):
         block = None
         inside = any(b is not None or t in BLOCKS for t, b in self.open)
         if tag in BLOCKS and (not inside or tag in NESTED):
-            block = {"tag": tag, "parts": [], "fallback": given.get("alt") or given.get("aria-label") or "", "visual": None, "from": len(self.out)}
+            block = {"tag": tag, "parts": [], "fallback": given.get("alt") or given.get("aria-label") or "", "visual": None, "from": len(self.out), "id": given.get("data-block-id")}
             self.blocks.append(block)
         kept = self._attributes(tag, given)
         if tag == "iframe" and not kept:
@@ -166,18 +166,21 @@ class Cutter(HTMLParser):
         return (f"<style>{styles}</style>" if styles else "") + "".join(self.out)
 
 
-def cut(page: str, path: str = "") -> tuple[str, str, list[tuple[str, str, str, str | None]]]:
-    """Clean HTML, title, and blocks ``(tag, type, text, visual)`` of one page (HTM-1, HTM-2, HTM-5)."""
+def cut(page: str, path: str = "") -> tuple[str, str, list[tuple[str, str, str, str | None, str | None]]]:
+    """Clean HTML, title, and blocks ``(tag, type, text, visual, id)`` of one page (HTM-1, HTM-2, HTM-5).
+
+    ``id`` is what the page names a block itself, as a page that was edited does.
+    """
     parser = Cutter(path.rpartition("/")[0])
     parser.feed(page or "")
     parser.finish()
-    blocks = [(b["tag"], TYPES.get(b["tag"], "text"), collapse("".join(b["parts"])) or b["fallback"], b["visual"]) for b in parser.blocks]
+    blocks = [(b["tag"], TYPES.get(b["tag"], "text"), collapse("".join(b["parts"])) or b["fallback"], b["visual"], b["id"]) for b in parser.blocks]
     stem = re.sub(r"(?i)\.html?$", "", path.rpartition("/")[2])
     title = collapse(parser.title or "") or "".join(parser.heading or []).strip() or stem or "Untitled"
     return parser.clean(), title, blocks
 
 
-PARSED = "html string, title string, blocks array<struct<ordinal:bigint,tag:string,block_type:string,text:string,visual:string>>"
+PARSED = "html string, title string, blocks array<struct<ordinal:bigint,tag:string,block_type:string,text:string,visual:string,own_id:string>>"
 
 
 def parse_pages(pages: DataFrame, key: str, html: str, path: str | None = None) -> DataFrame:
@@ -187,14 +190,17 @@ def parse_pages(pages: DataFrame, key: str, html: str, path: str | None = None)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             made = [cut(h, p or "") for h, p in zip(frame["__html"], frame["__path"])]
-            blocks = [[{"ordinal": i, "tag": t, "block_type": k, "text": x, "visual": v} for i, (t, k, x, v) in enumerate(bs)] for *_, bs in made]
+            blocks = [[{"ordinal": i, "tag": t, "block_type": k, "text": x, "visual": v, "own_id": n} for i, (t, k, x, v, n) in enumerate(bs)] for *_, bs in made]
             yield pd.DataFrame({key: frame[key], "html": [c for c, *_ in made], "title": [t for _, t, _ in made], "blocks": blocks})
 
     return source.mapInPandas(run, f"{key} {source.schema[key].dataType.simpleString()}, {PARSED}")
 
 
-def page_blocks(pages: DataFrame, key: str, html: str, path: str | None = None) -> DataFrame:
-    """One row a block, with running offsets and stable ids; they are array steps, so a page is not shuffled (HTM-2, HTM-3)."""
+def page_blocks(pages: DataFrame, key: str, html: str, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """One row a block, with running offsets and stable ids; they are array steps, so a page is not shuffled (HTM-2, HTM-3).
+
+    ``keep_ids`` leaves blocks the ids that the page gives them, as after an edit (HTM-11).
+    """
     parsed = parse_pages(pages, key, html, path)
     start = F.aggregate(
         "blocks",
@@ -206,4 +212,6 @@ def page_blocks(pages: DataFrame, key: str, html: str, path: str | None = None)
     before = F.size(F.filter(F.slice("all", F.lit(1), F.col("ordinal").cast("int")), lambda b: (b["tag"] == F.col("tag")) & (b["text"] == F.col("text"))))
     signature = F.concat_ws("\0", "tag", "text", before.cast("string"))
     block_id = F.concat(F.lit("block-"), F.substring(F.sha2(signature, 256), 1, 20))
+    if keep_ids:
+        block_id = F.coalesce(F.nullif("own_id", F.lit("")), block_id)
     return each.select(key, "ordinal", "tag", "block_type", "text", "visual", "start", (F.col("start") + F.length("text")).alias("end"), block_id.alias("block_id"))

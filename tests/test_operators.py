@@ -81,6 +81,22 @@ def test_context_settings_branch_and_digest(spark):
         assert context.digest_version(made, stored, "k").first().version == version
 
 
+def test_cache_jobs_images_and_replay(spark):
+    wanted = spark.createDataFrame([("a", "brief"), ("a", "study"), ("b", "brief"), ("b", "brief")], "version_id string, tier string")
+    cached = spark.createDataFrame([("a", "brief")], "version_id string, tier string")
+    jobs = spark.createDataFrame([(1, "a", "study", "running"), (2, "b", "brief", "failed"), (3, "c", "brief", "running"), (4, "d", "brief", "running")], "job_id long, version_id string, tier string, status string")
+    assert [tuple(r) for r in context.jobs_to_queue(wanted, cached, jobs, ["version_id", "tier"]).collect()] == [("b", "brief")]
+    results = spark.createDataFrame([(1, "notes", "h1"), (3, "brief", "old"), (4, "x" * 50, "h4")], "job_id long, content string, text_hash string")
+    texts = spark.createDataFrame([("a", "h1"), ("c", "new"), ("d", "h4")], "version_id string, text_hash string")
+    done = {r.job_id: (r.status, r.content) for r in context.finish_jobs(jobs, results, texts, {"brief": 5, "study": 5}).collect()}
+    assert done == {1: ("completed", "notes"), 2: ("failed", None), 3: ("cancelled", None), 4: ("failed", None)}
+    png = bytearray(b"\x89PNG\r\n\x1a\n0")
+    df = spark.createDataFrame([(png, "text", None), (bytearray(b"GIF"), "image", "asset:x"), (None, "svg", "<svg>"), (None, "text", None)], "u binary, t string, v string")
+    assert [r[0] for r in df.select(context.run_image(F.col("u"), F.col("t"), F.col("v"))).collect()] == ["upload", "asset", "svg", None]
+    fresh, old = context.replay(spark.createDataFrame([("r1",), ("r2",), ("r2",)], "request_id string"), spark.createDataFrame([("r1", 7)], "request_id string, run int"))
+    assert [r.request_id for r in fresh.collect()] == ["r2"] and old.first().run == 7
+
+
 def test_templates(spark):
     table = templates.catalogue(spark)
     assert table.count() == 30 and templates.validate(table.withColumnRenamed("default_template", "template")).where("valid").count() == 30

@@ -44,14 +44,15 @@ def test_page_is_sanitised_and_cut(spark):
     )
     clean, title, blocks = html.cut(page, "dir/page.html")
     assert title == "A title"
-    assert [(t, k, x) for t, k, x, _ in blocks] == [
+    assert [(t, k, x) for t, k, x, *_ in blocks] == [
         ("h1", "text", "One"), ("p", "text", "a bold"), ("p", "text", "two & three"), ("li", "text", "x"), ("li", "text", "y"),
         ("figure", "diagram", "cap"), ("img", "image", "pic"), ("img", "image", ""), ("p", "text", ""), ("blockquote", "text", "in quote"),
     ]
     assert blocks[6][3].startswith("data:image/png") and blocks[7][3] == "asset:up.png"
     for bad in ("script", "onclick", "onload", "evil", "gone", "@import", "http://x"):
         assert bad not in clean
-    df = spark.createDataFrame([(1, page), (2, None), (3, "<p>a</p><p>a</p>")], "page_id long, html string")
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<p>a</p><p>a</p>"), (4, '<p data-block-id="block-x">a</p>')], "page_id long, html string")
+    assert html.page_blocks(df, "page_id", "html", keep_ids=True).where("page_id = 4").first().block_id == "block-x"
     rows = html.page_blocks(df, "page_id", "html").where("page_id = 3").orderBy("ordinal").collect()
     assert [(r.start, r.end) for r in rows] == [(0, 1), (3, 4)] and rows[0].block_id != rows[1].block_id
 
