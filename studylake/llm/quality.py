@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, tidy
 
 PASSAGE = 1024
 HIDDEN, GATE = 24, 16
@@ -171,6 +171,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     texts = only(docs, id=id_col, text=text_col)
     rows = texts.join(F.broadcast(chosen), "id")  # max_documents rows at most
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
@@ -206,6 +207,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     source = only(docs, id=id_col, text=text_col)
     schema = f"id {source.schema['id'].dataType.simpleString()}, score double"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, bags, size = [], [], 0
@@ -231,6 +233,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Rows whose text scores ``threshold`` or more, with all their columns; handled as in ``score``, but nothing is joined."""
 
+    @tidy
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for some in texts:
             scores, bags = [], []

@@ -97,14 +97,12 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    encoded = sentencepiece.encode(docs, carry=("text_sha256",))
-    counted = encoded.select(
-        "id", "text_sha256", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "n_fallback", F.xxhash64("piece_ids").alias("pieces_hash")
-    )
-    decoded = F.sha2("text", 256)
-    return sentencepiece.decode(counted).select(
-        F.col("id").alias("doc_id"), "n_pieces", "n_fallback", "pieces_hash", decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip")
-    )
+    encoded = sentencepiece.encode(docs, carry=("text_sha256",), decoded=True)
+    back = F.sha2("text", 256)
+    return encoded.select(
+        F.col("id").alias("doc_id"), F.size("piece_ids").cast("long").alias("n_pieces"), "n_fallback", F.xxhash64("piece_ids").alias("pieces_hash"),
+        back.alias("decoded_sha256"), (back == F.col("text_sha256")).alias("round_trip"),
+    )
 
 
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<s>', '<\\s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]'), '</s>', '<\\/s>')"

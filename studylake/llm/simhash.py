@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, only, shuffle_partitions
+from .common import Scratch, connected_components, only, shuffle_partitions, tidy
 from .local_graph import roots
 
 BITS = 64
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     source = only(docs, id=id_col, text=text_col)
     schema = f"id {source.schema['id'].dataType.simpleString()}, fp bigint"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
@@ -207,6 +208,7 @@ def link_fingerprints(
     anchors = Anchors(max_distance, blocks, code)
     schema = "cell bigint, away boolean, fp bigint"
 
+    @tidy
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -235,6 +237,7 @@ def link_fingerprints(
             .select("cell", "away", "fp", F.explode(met).alias("part"))
         )
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.Table] = []
         rows, limit = 0, 1 << 18
@@ -314,6 +317,7 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 def _settle_small(groups: DataFrame, similarity: float) -> DataFrame:
     """Texts of small groups that go: in the order of ids, a text goes if it is alike one that stays. ``(sha)``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, stay = None, []
         for batch in batches:
@@ -379,6 +383,7 @@ def drop_near_duplicates(
     several = found.groupBy("component").count().where("count > 1")
     members = scratch.write(found.join(several, "component").join(least, "sha").select("component", "count", "sha", "least"))
 
+    @tidy
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):

@@ -48,6 +48,8 @@ def test_round_trip(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, piece_ids string")
     got = S.decode(S.encode(docs)).collect()
     assert sorted(((r.id, r.text) for r in got), key=repr) == sorted(((i, t or "") for i, t, _ in rows), key=repr)
+    both = S.encode(docs, decoded=True).collect()
+    assert sorted(((r.id, r.text) for r in both), key=repr) == sorted(((r.id, r.text) for r in got), key=repr)
     by = {r.id: r for r in S.encode(docs).collect()}
     assert by[len(TEXTS) + 1].n_fallback == 3 and len(by[len(TEXTS)].piece_ids) == 0
     assert S.encode(docs.limit(0)).count() == 0
