@@ -314,6 +314,45 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(a) + len(b) - shared)
 
 
+#: MinHash bands for candidates: a pair of similarity s shares one with probability 1 - (1 - s**BAND_ROWS)**BANDS, which is
+#: 0.999995 at 0.8 and more above.
+BANDS, BAND_ROWS = 40, 6
+_draw = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+_MASKS, _FACTORS = _draw[0] << np.uint64(1), (_draw[1] << np.uint64(1)) | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A key for each band of a set of shingle hashes; all sets without shingles have the same."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    values = shingles.view(np.uint64)
+    for at in range(0, len(values), 256):
+        least = np.minimum(least, ((values[at : at + 256, None] ^ _MASKS) * _FACTORS).min(axis=0))
+    data, width = least.astype("<u8").tobytes(), 8 * BAND_ROWS
+    return [xxhash.xxh64_intdigest(data[b * width : (b + 1) * width], b) for b in range(BANDS)]
+
+
+def _band_links(texts: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """``(a, b)``: each node of ``texts`` (node, text) with the smallest node of each band that it shares."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                some = batch.slice(at, 1024)
+                keys = np.array([band_keys(shingle_hashes(t.as_py(), shingle)) for t in some.column(1)], dtype=np.uint64).ravel()
+                nodes = np.repeat(some.column(0).to_numpy(), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], ["band", "node"])
+
+    bands = scratch.write(texts.mapInArrow(run, "band bigint, node bigint"))
+    first = bands.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("band", "b")
+    return bands.join(first, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _node(sha: str):
+    """A long for a text's digest. Should two texts share one, their groups are settled as one group, with the same result."""
+    return F.conv(F.substring(sha, 1, 15), 16, 10).cast("bigint")
+
+
 def _settle_small(groups: DataFrame, similarity: float) -> DataFrame:
     """Texts of small groups that go: in the order of ids, a text goes if it is alike one that stays. ``(sha)``."""
 
@@ -361,8 +400,9 @@ def drop_near_duplicates(
     """Rows of ``docs`` that stay when one of each group of near duplicates does; all columns stay.
 
     Texts are near duplicates if their sets of ``shingle``-word shingles have that Jaccard similarity. Candidates are the
-    components of ``simhash_components`` over ``fingerprint_shingle`` words, whose fingerprints move less under an edit
-    than those of long shingles. Within a component texts go in the order of their smallest id, nulls last: a text is
+    components of two kinds of links: those of ``simhash_components`` over ``fingerprint_shingle`` words, whose fingerprints
+    move less under an edit than those of long shingles, and shared MinHash bands of the ``shingle``-word shingles, as a
+    pair of similarity 0.8 may lie far beyond ``max_distance`` bits: 5 pairs in a million of just 0.8 have no band. Within a component texts go in the order of their smallest id, nulls last: a text is
     dropped if it is near a text that stays. A component of more than ``small_group`` different texts is thinned in
     rounds first: in each round a text is dropped if it is near the first of its group, by component and then by one
     MinHash after the other, until ``patience`` rounds drop none.
@@ -379,7 +419,11 @@ def drop_near_duplicates(
     rows = scratch.write(marked.groupBy(F.col(f"`{id_col}`").alias("id"), F.col(key).alias("sha")).count())
     least = rows.groupBy("sha").agg(F.min("id").alias("least"))
     found = simhash_components(marked, key, text_col, shingle=fingerprint_shingle, max_distance=max_distance, blocks=3, code="golay")
-    found = scratch.write(found.select(F.col("id").alias("sha"), "component").distinct())
+    links = found.select(_node("id").alias("a"), _node("component").alias("b")).where("a <> b").distinct()
+    links = links.unionByName(_band_links(marked.select(_node(key).alias("node"), text.alias("text")), shingle, scratch))
+    linked = connected_components(links, "a", "b", scratch)
+    nodes = least.select("sha", _node("sha").alias("node"))
+    found = scratch.write(nodes.join(linked, "node", "left").select("sha", F.coalesce("root", "node").alias("component")))
     several = found.groupBy("component").count().where("count > 1")
     members = scratch.write(found.join(several, "component").join(least, "sha").select("component", "count", "sha", "least"))
 
@@ -393,7 +437,7 @@ def drop_near_duplicates(
 
     # One row stands for its text: that of the smallest id, and any of several equal ones.
     held = marked.select(F.col(key).alias("sha"), text.alias("text"), F.col(f"`{id_col}`").alias("id")).join(members, "sha").where(F.col("id").eqNullSafe(F.col("least")))
-    schema = f"component string, count bigint, sha string, least {members.schema['least'].dataType.simpleString()}, shingles array<bigint>"
+    schema = f"component bigint, count bigint, sha string, least {members.schema['least'].dataType.simpleString()}, shingles array<bigint>"
     held = held.select("component", "count", "sha", "least", "text").mapInArrow(shingles, schema)
     held = scratch.write(held)
     if rows.where("count > 1").limit(1).count():

@@ -63,3 +63,19 @@ def test_stages_take_odd_rows(spark):
     for _, stage in pipeline.STAGES:
         assert stage(spark, odd, sf).count() >= 0
         assert stage(spark, odd.limit(0), sf).count() == 0
+
+
+def test_cut_and_extended_copies_meet(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = []
+    for i in range(150):
+        w = [word() for _ in range(int(rng.integers(100, 400)))]
+        n = len(w) - int(0.19 * (len(w) - 4))
+        block = [word() for _ in range(int(0.1 * len(w)))]
+        copy = [w[:n], w[len(w) - n :], w + [word() for _ in range(int(0.23 * (len(w) - 4)))], w[: len(w) // 2] + block + w[len(w) // 2 :]][i % 4]
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(copy))]
+    texts = dict(rows)
+    assert all(0.8 <= jaccard(texts[i], texts[1000 + i]) < 0.91 for i in range(150))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == list(range(150))
