@@ -16,6 +16,7 @@ parts that meet pairwise, so no task holds more than two parts.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -23,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, only, shuffle_partitions, tidy
@@ -307,11 +308,89 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(n)], dtype=np.uint64).view(np.int64))
 
 
-def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared >= similarity * (len(a) + len(b) - shared)
+#: Shingles of the texts that are settled within one task; a longer text is settled alone.
+BLOCK_SHINGLES = 1 << 19
+
+
+class _Stays:
+    """Texts that stay, by shingle: counts what a text shares with all of them at once."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.sizes, self.empty = similarity, array("i"), False
+        self.places: dict[int, array] = {}
+
+    def add(self, shingles: np.ndarray) -> None:
+        self.empty |= not len(shingles)
+        for h in shingles.tolist():
+            self.places.setdefault(h, array("i")).append(len(self.sizes))
+        self.sizes.append(len(shingles))
+
+    def near(self, shingles: np.ndarray) -> bool:
+        if not len(shingles):
+            return self.empty
+        found = [p for h in shingles.tolist() if (p := self.places.get(h)) is not None]
+        if len(found) < self.similarity * len(shingles):
+            return False
+        sizes = np.frombuffer(self.sizes, dtype=np.intc)
+        shared = np.bincount(np.concatenate([np.frombuffer(p, dtype=np.intc) for p in found]), minlength=len(sizes))
+        return bool((shared >= self.similarity * (len(shingles) + sizes - shared)).any())
+
+
+def _settle(groups: DataFrame, similarity: float) -> DataFrame:
+    """Texts of groups (component, part) that go: ``(sha)``. In the order of ids, ``settled`` texts first, a text goes if it
+    is near one that stays; where ``grow`` is false it is compared alone, and no later text with it."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stays = None, _Stays(similarity)
+        for batch in batches:
+            gone = []
+            component, part, settled, grow, sha = (batch.column(i).to_pylist() for i in range(5))
+            for i, group in enumerate(zip(component, part)):
+                if group != now:
+                    now, stays = group, _Stays(similarity)
+                mine = batch.column(5)[i].values.to_numpy()
+                if not settled[i] and stays.near(mine):
+                    gone.append(sha[i])
+                elif grow[i]:
+                    stays.add(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], ["sha"])
+
+    n = shuffle_partitions(groups.sparkSession)
+    ordered = groups.repartition(n, "component", "part").sortWithinPartitions("component", "part", F.col("settled").desc(), F.col("least").asc_nulls_last(), "sha")
+    return ordered.select("component", "part", "settled", "grow", "sha", "shingles").mapInArrow(run, "sha string")
+
+
+def _dealt(groups: DataFrame, part, settled: bool, grow: bool) -> DataFrame:
+    return groups.select("component", part.alias("part"), F.lit(settled).alias("settled"), F.lit(grow).alias("grow"), "least", "sha", "shingles")
+
+
+def _settle_large(left: DataFrame, similarity: float, block_texts: int, scratch: Scratch) -> list[DataFrame]:
+    """``_settle`` for components of any size: the first texts of each, a block that a task can hold, are settled; all others
+    are compared with those that stay, in parts; so on with what is left."""
+    gone = []
+    while not left.isEmpty():
+        order = Window.partitionBy("component").orderBy(F.col("least").asc_nulls_last(), "sha")
+        first = left.select("component", "least", "sha", F.size("shingles").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= block_texts)
+        first = first.withColumn("total", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        first = scratch.write(first.where((F.col("total") <= BLOCK_SHINGLES) | (F.col("rank") == 1)).select("sha"))
+        block = scratch.write(left.join(first, "sha", "left_semi"))
+        out = scratch.write(_settle(_dealt(block, F.lit(0), False, True), similarity))
+        gone.append(out)
+        rest = scratch.write(left.join(first, "sha", "left_anti"))
+        scratch.drop(left)
+        left = rest
+        if rest.isEmpty():
+            break
+        parts = rest.groupBy("component").agg(F.ceil(F.sum(F.size("shingles")) / F.lit(BLOCK_SHINGLES)).cast("int").alias("n")).select("component", F.greatest("n", F.lit(1)).alias("n"))
+        stay = block.join(out, "sha", "left_anti").join(parts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        ask = rest.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("sha"), F.col("n")).cast("int"))
+        near = scratch.write(_settle(_dealt(stay, F.col("part"), True, True).unionByName(_dealt(ask, F.col("part"), False, False)), similarity))
+        gone.append(near)
+        left = scratch.write(rest.join(near, "sha", "left_anti"))
+        scratch.drop(rest)
+        scratch.drop(block)
+    return gone
 
 
 #: MinHash bands for candidates: a pair of similarity s shares one with probability 1 - (1 - s**BAND_ROWS)**BANDS, which is
@@ -376,15 +455,6 @@ def _settle_small(groups: DataFrame, similarity: float) -> DataFrame:
     return ordered.select("component", "sha", "shingles").mapInArrow(run, "sha string")
 
 
-def _min_hash(shingles: str, seed: int):
-    return F.coalesce(F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(seed)))), F.lit(0).cast("bigint"))
-
-
-def _alike_column(a: str, b: str, similarity: float):
-    shared = F.size(F.array_intersect(a, b))
-    return shared >= F.lit(similarity) * (F.size(a) + F.size(b) - shared)
-
-
 def drop_near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -395,7 +465,6 @@ def drop_near_duplicates(
     fingerprint_shingle: int = 2,
     max_distance: int = 8,
     small_group: int = 256,
-    patience: int = 4,
 ) -> DataFrame:
     """Rows of ``docs`` that stay when one of each group of near duplicates does; all columns stay.
 
@@ -403,9 +472,9 @@ def drop_near_duplicates(
     components of two kinds of links: those of ``simhash_components`` over ``fingerprint_shingle`` words, whose fingerprints
     move less under an edit than those of long shingles, and shared MinHash bands of the ``shingle``-word shingles, as a
     pair of similarity 0.8 may lie far beyond ``max_distance`` bits: 5 pairs in a million of just 0.8 have no band. Within a component texts go in the order of their smallest id, nulls last: a text is
-    dropped if it is near a text that stays. A component of more than ``small_group`` different texts is thinned in
-    rounds first: in each round a text is dropped if it is near the first of its group, by component and then by one
-    MinHash after the other, until ``patience`` rounds drop none.
+    dropped if it is near a text that stays, and only then. A component of more than ``small_group`` different texts, or of
+    more than ``BLOCK_SHINGLES`` shingles, is settled in blocks of at most eight times that, one after the other, with the
+    same result.
 
     Of rows with one text the one of the smallest id stays, of equal rows one. Null, empty and blank texts are near each
     other. An empty table gives no rows.
@@ -442,26 +511,11 @@ def drop_near_duplicates(
     held = scratch.write(held)
     if rows.where("count > 1").limit(1).count():
         held = scratch.write(held.dropDuplicates(["sha"]))
-    gone = []
-    left = scratch.write(held.where(F.col("count") > small_group))
-    calm, turn = 0, 0
-    while calm < patience and not left.isEmpty():
-        by = F.lit(0).cast("bigint") if turn == 0 else _min_hash("shingles", turn)
-        grouped = left.withColumn("by", by)
-        order = F.struct(F.col("least").isNull().alias("none"), "least", "sha")
-        first = grouped.groupBy("component", "by").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1").select("component", "by", F.col("f.sha").alias("first"))
-        leader = first.join(left.select(F.col("sha").alias("first"), F.col("shingles").alias("other")), "first")
-        near = grouped.join(leader, ["component", "by"]).where((F.col("sha") != F.col("first")) & _alike_column("shingles", "other", similarity)).select("sha").distinct()
-        near = scratch.write(near)
-        calm, turn = (calm + 1 if near.isEmpty() else 0), turn + 1
-        if calm == 0:
-            gone.append(near)
-            then = scratch.write(left.join(near, "sha", "left_anti"))
-            scratch.drop(left)
-            left = then
-    sizes = left.groupBy("component").count().where(F.col("count") <= small_group).select("component")
-    small = held.where(F.col("count") <= small_group).unionByName(left.join(sizes, "component"))
-    gone.append(_settle_small(small, similarity))
+    sizes = scratch.write(held.groupBy("component").agg(F.sum(F.size("shingles")).alias("n")).where(F.col("n") > BLOCK_SHINGLES).select("component", F.lit(True).alias("long")))
+    held = held.join(sizes, "component", "left")
+    large = (F.col("count") > small_group) | F.col("long").isNotNull()
+    gone = [scratch.write(_settle(_dealt(held.where(~large), F.lit(0), False, True), similarity))]
+    gone += _settle_large(scratch.write(held.where(large).select("component", "least", "sha", "shingles")), similarity, 8 * small_group, scratch)
     dropped = scratch.write(gone[0] if len(gone) == 1 else reduce(DataFrame.unionByName, gone))
     out_rows = rows.join(least, "sha").where(~F.col("id").eqNullSafe(F.col("least"))).select("id", "sha")
     out_rows = out_rows.unionByName(rows.join(dropped, "sha").select("id", "sha")).distinct()

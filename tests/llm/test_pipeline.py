@@ -79,3 +79,27 @@ def test_cut_and_extended_copies_meet(spark):
     assert all(0.8 <= jaccard(texts[i], texts[1000 + i]) < 0.91 for i in range(150))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == list(range(150))
+
+
+def test_large_components_are_settled_exactly(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    base = [word() for _ in range(200)]
+    rows = []
+    for _ in range(400):
+        w = list(base)
+        for at in rng.choice(200, 4, replace=False):
+            w[int(at)] = word()
+        rows.append((len(rows), " ".join(w)))
+    for i in rng.choice(400, 20, replace=False):
+        w = rows[int(i)][1].split()
+        w[int(rng.integers(0, 200))] = word()
+        rows.append((len(rows), " ".join(w)))
+    sets, stay = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows], []
+    for i, s in enumerate(sets):
+        if not any(len(s & sets[j]) >= 0.8 * len(s | sets[j]) for j in stay):
+            stay.append(i)
+    assert 300 < len(stay) < 420
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for small in (256, 10):
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, small_group=small).collect()) == stay
