@@ -1,28 +1,27 @@
 """Benchmark decontamination in DataFrame operations alone: SimHash of item-sized windows, multi-index Hamming, exact check.
 
 An item and a window are compared by their word shingles, ``shingle`` words each (all words where there are fewer), each
-weighing as often as it occurs: similarity is the sum of the smaller weights over the sum of the larger. At similarity
-``s`` or more a window lacks at most ``x = n (1 - s) / (1 + s)`` of an item's n shingles, so at most x of the item's words
-are missing from it, and the rest are shifted by at most x. Of any x + 3 words of an item (its longest are taken, a choice
-that bears on cost alone) three stand therefore in the window, each at its place in the item give or take x. Windows are
-placed wherever that is so, and nowhere else. Each window gets a SimHash; windows and items whose fingerprints differ in
-at most ``max_distance`` bits meet through one of several blocks in which they differ in at most one bit, so none within
-the radius is missed. What meets is compared exactly.
-
-Texts are split into words twice, and never moved unless they hold such a word.
+weighing as often as it occurs: similarity is the sum of the smaller weights over the sum of the larger. The sum of the
+larger is at least an item's n shingles, so at similarity ``s`` or more a window holds at least ``s n`` shingles that occur in
+the item, wherever they stand and whether or not the text's start or end cuts the window. Windows are placed wherever that
+is so, and nowhere else. Each window gets a SimHash; windows and items whose fingerprints differ in at most
+``max_distance`` bits meet through one of several blocks in which they differ in at most one bit. A window meets the item
+that it was placed for in any case, so the radius loses none. What meets is compared exactly.
+
+Texts are split into words twice, and shuffled once to their windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, only, words_of
 
 BITS = 64
-#: Key words of an item that a window must hold, beyond those that it may lack.
-WITNESSES = 3
-#: Items up to this number of key words are sent to all tasks; beyond, Spark joins by a shuffle as sizes tell.
+#: Items up to this number of different shingles are sent to all tasks; beyond, Spark joins by a shuffle as sizes tell.
 BROADCAST_KEYS = 50_000
 
 
@@ -34,6 +33,13 @@ def _shingles(words: Column, shingle: int) -> Column:
     return F.when(n > 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
+def _runs(words: Column, length: int) -> Column:
+    """Hashes of all runs of ``length`` words, by position."""
+    last = F.size(words) - length + 1
+    at = lambda i: F.xxhash64(*(F.get(words, i + F.lit(k)) for k in range(length)))
+    return F.when(last > 0, F.transform(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), at))
+
+
 def _numbered(hashes: Column) -> Column:
     return F.transform(hashes, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(hashes, h)))
 
@@ -92,37 +98,41 @@ def find_items(
     if max_distance >= 2 * blocks:
         raise ValueError("fingerprints within the radius must share a block but for one bit: take more blocks")
     scratch = Scratch(docs.sparkSession, "decontamination")
-    missing = (1 - similarity) / (1 + similarity)
     base = only(items, item=item_col, text=item_text_col).withColumn("words", words_of(F.col("text"))).where(F.size("words") > 0)
     base = base.withColumn("hashes", _shingles(F.col("words"), shingle)).withColumn("fp", _simhash(F.col("hashes")))
     base = base.select(
         "item", "words", "fp", F.size("words").alias("w"), _numbered(F.col("hashes")).alias("shingles"),
-        F.floor(F.size("hashes") * F.lit(missing) + F.lit(1e-9)).cast("int").alias("x"),
+        F.greatest(F.ceil(F.size("hashes") * F.lit(similarity) - F.lit(1e-9)), F.lit(1)).cast("int").alias("need"),
     ).distinct()
     base = scratch.write(base.withColumn("row", F.monotonically_increasing_id()))
-    # Key words: the positions of the longest words. Equal words at several positions are positions of their own.
-    ranked = F.array_sort(F.transform("words", lambda w, i: F.struct((-F.length(w)).alias("r"), i.alias("offset"), w.alias("word"))))
-    n_keys = F.least(F.col("w"), F.col("x") + WITNESSES)
-    keys = base.select("row", "w", "x", (n_keys - F.col("x")).alias("need"), F.explode(F.slice(ranked, F.lit(1), n_keys)).alias("k"))
-    keys = scratch.write(keys.select("row", "w", "x", "need", F.col("k.offset").alias("offset"), F.col("k.word").alias("word")))
-    small = keys.count() <= BROADCAST_KEYS
-    send = F.broadcast if small else (lambda df: df)
     source = only(docs, id=id_col, text=text_col).where(F.length("text") > 0)
-    split = source.select(*_row_key(), F.posexplode(words_of(F.col("text"))).alias("at", "word"))
-    hits = split.join(send(keys), "word")
-    starts = F.explode(F.sequence(F.col("at") - F.col("offset") - F.col("x"), F.col("at") - F.col("offset") + F.col("x")))
-    voted = hits.select("id", "h1", "h2", "row", "w", "need", "offset", starts.alias("start")).where("start > -w")
-    placed = voted.groupBy("id", "h1", "h2", "row", "w", "need", "start").agg(F.count_distinct("offset").alias("n")).where("n >= need")
-    windows = scratch.write(placed.select("id", "h1", "h2", "w", "start").distinct())
-    per_text = scratch.write(windows.groupBy("id", "h1", "h2").agg(F.collect_set(F.struct("start", "w")).alias("places")))
+    split = source.select(*_row_key(), words_of(F.col("text")).alias("words"))
+    # An item of fewer words than a shingle is one run of its own length.
+    lengths = sorted(r[0] for r in base.select(F.least("w", F.lit(shingle))).distinct().collect()) or [shingle]
+    key_columns = ["row", "w", "need", "key"]
+    keys = [scratch.write(base.where(F.least("w", F.lit(shingle)) == n).select("row", "w", "need", F.explode(F.array_distinct(_runs(F.col("words"), n))).alias("key")).select(key_columns)) for n in lengths]
+    small = sum(k.count() for k in keys) <= BROADCAST_KEYS
+    send = F.broadcast if small else (lambda df: df)
+    hits = []
+    for n, k in zip(lengths, keys):
+        met = split.select("id", "h1", "h2", F.posexplode(_runs(F.col("words"), n)).alias("at", "key")).join(send(k), "key")
+        # Windows from ``at + n - w`` to ``at`` hold the hit: one more from the first, one less after the last.
+        steps = F.array(F.struct((F.col("at") + n - F.col("w")).alias("p"), F.lit(1).alias("d")), F.struct((F.col("at") + 1).alias("p"), F.lit(-1).alias("d")))
+        hits.append(met.select("id", "h1", "h2", "row", "w", "need", F.explode(steps).alias("s")))
+    steps = reduce(DataFrame.unionByName, hits).groupBy("id", "h1", "h2", "row", "w", "need", F.col("s.p").alias("p")).agg(F.sum("s.d").alias("d"))
+    along = Window.partitionBy("id", "h1", "h2", "row", "w", "need").orderBy("p")
+    held = steps.withColumn("n", F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("p").over(along)).where("n >= need")
+    placed = held.select("id", "h1", "h2", "row", "w", F.explode(F.sequence(F.col("p"), F.col("next") - 1)).alias("start"))
+    windows = scratch.write(placed.select("id", "h1", "h2", "row", "w", "start").distinct())
+    per_text = scratch.write(windows.groupBy("id", "h1", "h2").agg(F.collect_set(F.struct("start", "w", "row")).alias("places")))
     texts = source.select(*_row_key(), "text")
-    held = texts.alias("t").join(per_text.alias("p"), _same("t", "p")).select("t.id", "t.h1", "t.h2", words_of(F.col("t.text")).alias("words"), "places")
+    held = texts.alias("t").join(per_text.hint("merge").alias("p"), _same("t", "p")).select("t.id", "t.h1", "t.h2", words_of(F.col("t.text")).alias("words"), "places")
     start = lambda p: F.greatest(p["start"], F.lit(0))
-    cut = lambda p: F.struct(start(p).alias("start"), F.slice("words", start(p) + 1, p["w"] + F.least(p["start"], F.lit(0))).alias("cut"))
+    cut = lambda p: F.struct(start(p).alias("start"), F.slice("words", start(p) + 1, p["w"] + F.least(p["start"], F.lit(0))).alias("cut"), p["row"].alias("row"))
     within = F.filter("places", lambda p: p["start"] < F.size("words"))
-    placed = held.select("id", "h1", "h2", F.explode(F.transform(within, cut)).alias("p")).select("id", "h1", "h2", "p.start", "p.cut")
+    placed = held.select("id", "h1", "h2", F.explode(F.transform(within, cut)).alias("p")).select("id", "h1", "h2", "p.start", "p.cut", "p.row")
     printed = placed.withColumn("hashes", _shingles(F.col("cut"), shingle)).select(
-        "id", "h1", "h2", "start", F.size("cut").alias("n_words"), _simhash(F.col("hashes")).alias("fp"), _numbered(F.col("hashes")).alias("shingles")
+        "id", "h1", "h2", "row", "start", F.size("cut").alias("n_words"), _simhash(F.col("hashes")).alias("fp"), _numbered(F.col("hashes")).alias("shingles")
     )
     printed = scratch.write(printed.distinct())
     ask = printed.select("id", "h1", "h2", "start", "n_words", F.col("fp").alias("fp1"), F.col("shingles").alias("s1"), _block_values(F.col("fp"), blocks, False).alias("b")).select(
@@ -130,7 +140,10 @@ def find_items(
     )
     index = base.select("item", F.col("fp").alias("fp2"), F.col("shingles").alias("s2"), _block_values(F.col("fp"), blocks, True).alias("b")).select("item", "fp2", "s2", "b.block", "b.value")
     near = (F.col("a.block") == F.col("i.block")) & (F.col("a.value") == F.col("i.value")) & (F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) <= max_distance)
-    met = ask.alias("a").join(send(index).alias("i"), near)
+    pair = ["id", "h1", "h2", "start", "n_words", "item", "s1", "s2"]
+    met = ask.alias("a").join(send(index).alias("i"), near).select(pair)
+    own = printed.withColumnsRenamed({"fp": "fp1", "shingles": "s1"}).join(send(base.select("row", "item", F.col("fp").alias("fp2"), F.col("shingles").alias("s2"))), "row")
+    met = met.unionByName(own.where(F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) > max_distance).select(pair))
     shared = F.size(F.array_intersect("s1", "s2"))
     checked = met.select("id", "h1", "h2", "start", "n_words", "item", (shared / (F.size("s1") + F.size("s2") - shared)).alias("similarity"))
     best = checked.where(F.col("similarity") >= similarity).groupBy("id", "h1", "h2", "item").agg(

@@ -64,3 +64,19 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     assert D.find_items(docs, bench.limit(0)).count() == 0
     assert [(r.id, r.item, r.similarity) for r in D.find_items(docs, bench).collect()] == [(1, 1, 1.0)]
+
+
+def test_moved_parts_and_cut_items_match_brute_force(spark):
+    rng = np.random.default_rng(12)
+    some = lambda n: ["".join(rng.choice(list("abcdeost"), int(rng.integers(3, 9)))) for _ in range(n)]
+    items, docs = [], []
+    for i in range(25):
+        w = some(int(rng.integers(40, 90)))
+        h, t, k = len(w) // 2, len(w) // 3, len(w) - int(0.16 * len(w))
+        items.append((i, " ".join(w)))
+        for made in ([*some(30), *w[h:], *w[:h], *some(30)], [*some(30), *w[t:], *w[:t], *some(30)], [*some(30), *w[:k]], [*w[-k:], *some(30)]):
+            docs.append((len(docs), " ".join(made)))
+    want = {(d, i): v for (d, _, i), v in brute(docs, items).items()}
+    assert all(sum(d % 4 == kind for d, _ in want) > 10 for kind in range(4))
+    found = D.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.id, r.item): (round(r.similarity, 9), r.start) for r in found.collect()} == want
