@@ -182,3 +182,16 @@ def test_event_folds_in_batch_and_stream(spark, tmp_path):
     assert [r.answer for r in seen] == ["ab"]
     counts = ev.streaming_counts(stream, "run_id", "ts")
     assert counts.isStreaming and set(counts.columns) == {"window", "run_id", "n_events", "last_ts"}
+
+
+def test_whole_texts_are_escaped(spark, tmp_path):
+    import hashlib
+    from html import escape
+
+    from studylake import plans
+
+    text = 'a & b < "c" > d; ' * 500
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.html_length, r.html_hash) for r in plans.QUERIES["html_escape_whole"](spark, str(tmp_path)).collect()}
+    want = escape(text + '<a href="x">&')
+    assert got == {1: (len(want), hashlib.sha256(want.encode()).hexdigest()), 2: (None, None)}
