@@ -140,6 +140,15 @@ def asset_inline(spark, sf_dir):
     return exports.embed_assets(pages, assets, "page_id", "html")
 
 
+@query()
+def asset_inline_whole(spark, sf_dir):
+    """EX-2 over whole pages, each with one asset of its own; the SQL of ``asset_inline`` covers 2000 characters alone."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("href="), F.lit("asset:a1=")).alias("html"))
+    content = F.encode(F.concat(F.lit("p"), F.col("page_id").cast("string")), "UTF-8")
+    assets = pages.select("page_id", F.lit("a1").alias("asset_id"), F.lit("text/plain").alias("mime"), content.alias("content"))
+    return exports.embed_assets(pages, assets, "page_id", "html")
+
+
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 300), '[\\x00-\\x1F\\x7F]', ' ', 'g'), '[<>:"/\\\\|?*]', '', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM documents""")
 def filename_clean(spark, sf_dir):
     """HTM-14 but for its compatibility forms, length and dots."""

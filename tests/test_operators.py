@@ -195,3 +195,12 @@ def test_whole_texts_are_escaped(spark, tmp_path):
     got = {r.doc_id: (r.html_length, r.html_hash) for r in plans.QUERIES["html_escape_whole"](spark, str(tmp_path)).collect()}
     want = escape(text + '<a href="x">&')
     assert got == {1: (len(want), hashlib.sha256(want.encode()).hexdigest()), 2: (None, None)}
+
+
+def test_assets_of_whole_pages_are_embedded(spark, tmp_path):
+    from studylake import plans
+
+    html = "<p>" + "long " * 2000 + '<a href="x">end</a>'
+    spark.createDataFrame([(7, html)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in plans.QUERIES["asset_inline_whole"](spark, str(tmp_path)).collect()]
+    assert got == [(7, html.replace("href=", "data:text/plain;base64,cDc=="))]
