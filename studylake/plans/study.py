@@ -156,6 +156,13 @@ def filename_clean(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", tx.collapse(F.regexp_replace(clean, tx.RESERVED, "")).alias("cleaned"))
 
 
+@query()
+def filename_clean_whole(spark, sf_dir):
+    """``filename_clean`` over whole texts, whose SQL covers the first 300 characters alone."""
+    clean = F.regexp_replace("text", r"[\x00-\x1F\x7F]", " ")
+    return read(spark, sf_dir, "documents").select("doc_id", tx.collapse(F.regexp_replace(clean, tx.RESERVED, "")).alias("cleaned"))
+
+
 @query()
 def filename_safe(spark, sf_dir):
     """HTM-14: compatibility forms need Python."""

@@ -204,3 +204,12 @@ def test_assets_of_whole_pages_are_embedded(spark, tmp_path):
     spark.createDataFrame([(7, html)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = [tuple(r) for r in plans.QUERIES["asset_inline_whole"](spark, str(tmp_path)).collect()]
     assert got == [(7, html.replace("href=", "data:text/plain;base64,cDc=="))]
+
+
+def test_whole_texts_are_cleaned_for_filenames(spark, tmp_path):
+    from studylake import plans
+
+    text = 'a\x01b <c>:"d" / e\\f|?*\n g  ' * 100
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in plans.QUERIES["filename_clean_whole"](spark, str(tmp_path)).collect()]
+    assert got == [(1, " ".join("a b cd ef g" for _ in range(100)))]
