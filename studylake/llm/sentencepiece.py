@@ -1,6 +1,6 @@
-"""SentencePiece encoding and decoding: Unigram Viterbi over a double-array trie of pieces with log scores.
+"""SentencePiece encoding and decoding: Unigram Viterbi over a double-array trie of scored pieces.
 
-The pieces come from a model file; nothing is trained. A space is written as the marker U+2581, and one stands before the
+The pieces come from a model file; nothing is trained. The file is a BPE model: negative merge ranks stand in for log scores. A space is written as the marker U+2581, and one stands before the
 text. A piece holds markers at its start alone, so the best segmentation of a text is that of its units, each a run of
 markers and what follows up to the next; equal units are segmented once a task. Units of a batch are solved together, one
 array step for each position and piece length. A character that no piece of its own covers becomes its UTF-8 bytes;
