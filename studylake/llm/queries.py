@@ -24,8 +24,8 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "similarity")
 
 
-#: Bytes of text in a shard.
-SHARD_BYTES = 16 << 20
+#: Bytes of text in a shard, few enough that small tables split several levels deep too.
+SHARD_BYTES = 64 << 10
 
 
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

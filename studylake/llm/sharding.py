@@ -8,7 +8,7 @@ that need still more bits go on to the next round alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, only
@@ -57,6 +57,28 @@ def _split(rows: DataFrame, limit: int, scratch: Scratch) -> tuple[DataFrame | N
     return done, left
 
 
+#: Equal rows that a task writes out at a time.
+RUN_ROWS = 1 << 16
+
+
+def _deal_equal(same: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """Rows whose keys and contents agree, with a ``part`` that fits the limit or holds one row.
+
+    Equal rows are counted before anything is shuffled and written out again from the counts, in runs, so no task holds them
+    all. Rows of one content's bits differ in id and size only where hashes or a null and an empty id meet, so the window
+    over their counts is of a few rows.
+    """
+    along = Window.partitionBy("id.bits", "bits").orderBy("id.id", "n_bytes")
+    counted = same.groupBy("id", "bits", "n_bytes").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("before", F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    each = F.max("n_bytes").over(Window.partitionBy("id.bits", "bits"))
+    counted = scratch.write(counted.withColumn("per", F.greatest(F.floor(F.lit(limit) / F.greatest(each, F.lit(1))), F.lit(1)).cast("long")))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1), F.lit(RUN_ROWS).cast("long")))).repartition("id", "bits", "run")
+    row = F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN_ROWS, F.col("n")) - 1))
+    rows = runs.select("id", "bits", "n_bytes", "before", "per", row.alias("row"))
+    return rows.withColumn("part", F.floor((F.col("before") + F.col("row")) / F.col("per")).cast("long"))
+
+
 def extendible_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, limit_bytes: int) -> DataFrame:
     """A shard for every row: ``(id, n_bytes, shard, depth, shard_bytes, shard_rows, oversized)``.
 
@@ -64,7 +86,7 @@ def extendible_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     fit one shard). A row's size is that of its UTF-8 text; a null text has 0 bytes. A shard is over the limit only if it
     holds one row that is (``oversized``). Rows with equal ids, null ids included, share all bits of the key; if together
     they are over the limit they are split further on the bits of their text's hash (a name of 60 bits, '.', more bits),
-    and rows that are equal throughout are dealt out evenly (a further '.' and a number). Repeated rows each come out.
+    and rows that are equal throughout are dealt out in order (a further '.' and a number), as many to a shard as fit. Repeated rows each come out.
     An empty table gives no rows. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "shards")
@@ -85,12 +107,9 @@ def extendible_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         key = _name(F.col("id.bits"), F.lit(KEY_BITS))
         done = done.unionByName(deeper.select("id.id", "n_bytes", F.concat(key, F.lit("."), "shard").alias("shard")))
         if not same.isEmpty():
-            parts = same.groupBy("bits").agg(F.ceil(2 * F.sum("n_bytes") / limit_bytes).alias("k"))
-            dealt = same.withColumn("at", F.monotonically_increasing_id()).join(parts, "bits")
-            part = F.pmod("at", F.col("k")).cast("string")
             content = _name(F.col("bits"), F.lit(KEY_BITS))
-            name = F.concat(key, F.lit("."), content, F.lit("."), part)
-            done = done.unionByName(dealt.select("id.id", "n_bytes", name.alias("shard")))
+            name = F.concat(key, F.lit("."), content, F.lit("."), F.col("part").cast("string"))
+            done = done.unionByName(_deal_equal(same, limit_bytes, scratch).select("id.id", "n_bytes", name.alias("shard")))
     sizes = done.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
     depth = F.length(F.regexp_replace("shard", r"\.", "")).cast("int").alias("depth")
     over = ((F.col("shard_rows") == 1) & (F.col("shard_bytes") > limit_bytes)).alias("oversized")

@@ -45,6 +45,14 @@ def test_rows_of_one_key_are_split_on_their_content(spark):
     assert len({r.shard for r in got if r.id == 7}) >= 6
 
 
+def test_equal_rows_fit_wherever_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN_ROWS", 10)
+    docs = spark.createDataFrame([(1, "8 bytes.")] * 64 + [(None, "x" * 5)] * 9 + [(2, "y" * 40)] * 3, "doc_id long, text string").repartition(16)
+    got = sharding.extendible_shards(docs, limit_bytes=16).collect()
+    assert len(got) == 76 and all(r.shard_bytes <= 16 or r.oversized and r.shard_rows == 1 for r in got)
+    assert sum(r.shard_rows == 2 for r in got if r.id == 1) == 64
+
+
 def test_directory_leads_each_key_to_its_shard(spark):
     docs = spark.createDataFrame([(i, "x" * 20) for i in range(200)], "doc_id long, text string")
     shards = sharding.extendible_shards(docs, limit_bytes=100).cache()
