@@ -4,8 +4,11 @@ Equal vectors form a class first, so copies cost nothing. Each tree splits the s
 again and again; vectors near a split go to both sides, so a linked pair is parted in one tree only if it straddles the
 spill, and hardly in all. Vectors are compared in double precision within the leaves of every tree.
 
-Trees are fitted on a bounded sample (``sample`` classes, the first by hash); every class is sent down all trees. A leaf
-larger than ``leaf_limit`` is cut into parts that meet pairwise, so a task holds two parts at most, and no pair is left out.
+The upper levels of the trees are fitted on a bounded sample (``sample`` classes, the first by hash); every class is sent
+down all trees. A leaf that still holds more than ``leaf_size`` is split on, on a fresh sample of that leaf, round after
+round, so leaves keep their size however many vectors there are. Lower levels project on random signs drawn from the leaf's
+number, so only thresholds travel. A leaf that no split divides, a cluster narrower than the spill, is cut into parts of
+``leaf_limit`` that meet pairwise, so a task holds two parts at most, and no pair is left out.
 A linked pair that meets in several leaves is counted in the first of them alone: each vector carries the leaves it is in.
 So the number of links is counted without listing pairs, and a task gives, for each class, a count and one edge of a
 spanning forest.
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, only, shuffle_partitions
@@ -82,23 +85,116 @@ def _unit(column: pa.Array, width: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def leaf_links(x: np.ndarray, weight: np.ndarray, members: list[np.ndarray], leaf: int, side: np.ndarray, parts: tuple[int, int], threshold: float):
+#: Levels that one round adds to a leaf, and the vectors of the leaf that it is fitted on.
+DEPTH, LEAF_SAMPLE = 5, 512
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Splitmix64 of unsigned integers."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _signs(leaf: np.ndarray, node: np.ndarray, width: int) -> np.ndarray:
+    """A unit direction for each (leaf, node): random signs."""
+    seed = _mix(leaf.astype(np.uint64) * np.uint64(64) + node.astype(np.uint64))
+    words = np.stack([_mix(seed + np.uint64(i)) for i in range(-(-width // 64))], axis=1)
+    bits = np.unpackbits(words.view(np.uint8), axis=1)[:, :width]
+    return (bits * 2.0 - 1.0) / np.sqrt(width)
+
+
+def split_leaf(leaf: int, count: int, sample: np.ndarray, leaf_size: int, spill: float) -> list[float]:
+    """Thresholds of a subtree for a leaf of ``count`` vectors, in the order of a heap; NaN where a node is not divided."""
+    out = [float("nan")] * (2**DEPTH - 1)
+    scale = count / max(1, len(sample))
+    stack = [(0, sample)]
+    while stack:
+        node, some = stack.pop()
+        if node >= len(out) or len(some) * scale <= leaf_size or len(some) < 16:
+            continue
+        p = some @ _signs(np.array([leaf]), np.array([node]), some.shape[1])[0]
+        threshold = float(np.median(p))
+        left, right = some[p <= threshold + spill], some[p >= threshold - spill]
+        if max(len(left), len(right)) <= 0.9 * len(some):
+            out[node] = threshold
+            stack += [(2 * node + 1, left), (2 * node + 2, right)]
+    return out
+
+
+def descend_leaf(x: np.ndarray, leaf: np.ndarray, thresholds: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the leaves below their own leaf that they reach."""
+    rows, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+    done_rows, done_nodes = [], []
+    while len(rows):
+        inner = node < thresholds.shape[1]
+        cut = np.where(inner, thresholds[rows, np.minimum(node, thresholds.shape[1] - 1)], np.nan)
+        stop = np.isnan(cut)
+        done_rows.append(rows[stop])
+        done_nodes.append(node[stop])
+        rows, node, cut = rows[~stop], node[~stop], cut[~stop]
+        p = np.einsum("ij,ij->i", x[rows], _signs(leaf[rows], node, x.shape[1]))
+        left, right = p <= cut + spill, p >= cut - spill
+        rows, node = np.concatenate((rows[left], rows[right])), np.concatenate((2 * node[left] + 1, 2 * node[right] + 2))
+    rows, node = np.concatenate(done_rows), np.concatenate(done_nodes)
+    below = _mix(_mix(leaf[rows].astype(np.uint64)) + node.astype(np.uint64)) >> np.uint64(1)
+    return rows, below.astype(np.int64)
+
+
+def refine(each: DataFrame, classes: DataFrame, width: int, leaf_size: int, spill: float, scratch: Scratch) -> DataFrame:
+    """``(class, leaf)`` with leaves over ``leaf_size`` split on until they fit or no split divides them."""
+    spark = each.sparkSession
+    whole: DataFrame | None = None
+    while True:
+        large = each.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf_size)
+        large = scratch.write(large if whole is None else large.join(whole, "leaf", "left_anti"))
+        if large.isEmpty():
+            return each
+        rank = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("class", "leaf")))
+        picked = each.join(large, "leaf").withColumn("r", rank).where(F.col("r") <= LEAF_SAMPLE).join(classes.select("class", "v"), "class")
+
+        def fit(t: pa.Table) -> pa.Table:
+            v = t["v"].combine_chunks()
+            v = v if isinstance(v, pa.Array) else pa.concat_arrays(v.chunks)
+            leaf, n = t["leaf"][0].as_py(), t["n"][0].as_py()
+            order = np.argsort(t["class"].to_numpy())
+            cuts = split_leaf(leaf, n, _unit(v, width)[order], leaf_size, spill)
+            return pa.table({"leaf": pa.array([leaf], pa.int64()), "cuts": pa.array([cuts], pa.list_(pa.float64()))})
+
+        plans = scratch.write(picked.select("leaf", "n", "class", "v").groupBy("leaf").applyInArrow(fit, "leaf bigint, cuts array<double>"))
+        stuck = plans.where(F.isnan(F.col("cuts")[0])).select("leaf")
+        whole = scratch.write(stuck if whole is None else whole.unionByName(stuck))
+        split = plans.where(~F.isnan(F.col("cuts")[0]))
+
+        def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 2048):
+                    some = batch.slice(at, 2048)
+                    cuts = some.column(2).flatten().to_numpy().reshape(len(some), -1)
+                    rows, leaf = descend_leaf(_unit(some.column(3), width), some.column(1).to_numpy(), cuts, spill)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(rows)), pa.array(leaf)], ["class", "leaf"])
+
+        moved = each.join(split, "leaf").join(classes.select("class", "v"), "class").select("class", "leaf", "cuts", "v")
+        below = moved.mapInArrow(descend, "class bigint, leaf bigint")
+        then = scratch.write(each.join(split.select("leaf"), "leaf", "left_anti").select("class", "leaf").unionByName(below))
+        scratch.drop(each)
+        each = then
+
+
+def leaf_links(x: np.ndarray, weight: np.ndarray, flat: np.ndarray, sizes: np.ndarray, leaf: int, side: np.ndarray, parts: tuple[int, int], threshold: float):
     """Links in one leaf, or between two parts of it: for each row the weight of what it is linked to, and a root.
 
-    ``members`` holds each row's leaves, sorted. A pair counts here if the leaf is the first that both are in. With two
-    different parts only pairs across are met. Rows are taken in blocks.
+    ``flat`` holds all rows' leaves, ``sizes`` how many each has. A pair counts here if the leaf is the first that both are
+    in. With two different parts only pairs across are met. Rows are taken in blocks.
     """
     n = len(x)
     count = np.zeros(n, dtype=np.int64)
-    known = np.unique(np.concatenate(members)) if members else np.empty(0, np.int64)
-    known = known[known < leaf]
+    earlier = flat < leaf
+    owner = np.repeat(np.arange(n), sizes)[earlier]
+    known, at = np.unique(flat[earlier], return_inverse=True)
     mask = np.zeros((n, -(-max(1, len(known)) // 63)), dtype=np.int64)
-    if len(known):
-        owner = np.repeat(np.arange(n), [len(m) for m in members])
-        flat = np.concatenate(members)
-        earlier = flat < leaf
-        bit = np.searchsorted(known, flat[earlier])
-        np.bitwise_or.at(mask, (owner[earlier], bit // 63), np.left_shift(np.int64(1), bit % 63))
+    np.bitwise_or.at(mask, (owner, at // 63), np.left_shift(np.int64(1), at % 63))
     ea, eb = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     step = max(1, (1 << 21) // max(1, n))
     for at in range(0, n, step):
@@ -130,7 +226,7 @@ def embedding_links(
     *,
     cosine: float = 0.9,
     trees: int = 10,
-    leaf_size: int = 1024,
+    leaf_size: int = 128,
     spill: float = 0.035,
     sample: int = 20_000,
     leaf_limit: int = 4096,
@@ -165,14 +261,11 @@ def embedding_links(
             for at in range(0, len(whole), 1024):
                 batch = whole.slice(at, 1024)
                 row, leaf = f.leaves(_unit(batch.column(1), width))
-                order = np.lexsort((leaf, row))
-                row, leaf = row[order], leaf[order]
-                ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(batch)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["class", "leaves"])
-
-    placed = scratch.write(classes.select("class", "v").mapInArrow(descend, "class bigint, leaves array<int>"))
-    each = placed.select("class", F.explode("leaves").alias("leaf"))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(leaf.astype(np.int64))], ["class", "leaf"])
+
+    each = scratch.write(classes.select("class", "v").mapInArrow(descend, "class bigint, leaf bigint"))
+    each = refine(each, classes, width, leaf_size, spill, scratch)
+    placed = each.groupBy("class").agg(F.collect_list("leaf").alias("leaves"))
     large = scratch.write(each.groupBy("leaf").count().where(F.col("count") > leaf_limit).select("leaf", F.ceil(F.col("count") / leaf_limit).cast("int").alias("k")))
     k = F.coalesce("k", F.lit(1))
     side = F.pmod(F.xxhash64("class"), F.col("k")).cast("int")
@@ -190,10 +283,10 @@ def embedding_links(
             t = pa.Table.from_batches(held).combine_chunks()
             column = lambda name: t[name].chunk(0) if t[name].num_chunks == 1 else pa.concat_arrays(t[name].chunks)
             leaves = column("leaves")
-            members = np.split(leaves.flatten().to_numpy(), np.cumsum(np.diff(leaves.offsets.to_numpy()))[:-1])
+            flat, sizes = leaves.flatten().to_numpy(), np.diff(leaves.offsets.to_numpy())
             cls, n = column("class").to_numpy(), column("n").to_numpy()
             k = int(column("k")[0].as_py())
-            count, root = leaf_links(_unit(column("v"), width), n, members, now[0], column("side").to_numpy(), divmod(now[1], k), cosine)
+            count, root = leaf_links(_unit(column("v"), width), n, flat, sizes, now[0], column("side").to_numpy(), divmod(now[1], k), cosine)
             linked = np.flatnonzero((count > 0) | (root != np.arange(len(root))))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(cls[linked]), pa.array(count[linked]), pa.array(cls[root[linked]])], ["class", "links", "root"])

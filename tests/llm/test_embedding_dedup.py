@@ -26,8 +26,8 @@ def brute(rows, cosine=0.9):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [4096, 40])
-def test_matches_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "sample"), [(4096, 20_000), (40, 40)])
+def test_matches_brute_force(spark, limit, sample):
     rng = np.random.default_rng(limit)
     f32 = lambda v: [float(np.float32(c)) for c in v]
     rows = [(i, f32(rng.normal(size=16))) for i in range(300)]
@@ -37,7 +37,7 @@ def test_matches_brute_force(spark, limit):
     rows += [(4000, None), (4001, []), (4002, [0.0] * 16), (4003, [float("nan")] * 16), (4004, [1.0, None]), (4005, [float("inf")] * 16)]
     rows += [(None, rows[0][1]), (None, [9.0] * 3), (4006, [9.0] * 3), (4006, [9.0] * 3), (4007, [0.0, 1.0]), (4008, [-0.0, 1.0])]
     df = spark.createDataFrame([(d, v, 1) for d, v in rows], "vec_id long, embedding array<float>, leaf int")
-    got = E.embedding_links(df, leaf_size=64, leaf_limit=limit, trees=12, spill=0.15)
+    got = E.embedding_links(df, leaf_size=64, leaf_limit=limit, sample=sample, trees=12, spill=0.15)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
 
 
@@ -58,3 +58,21 @@ def test_recall_on_borderline_pairs():
     forest = E.Forest(np.concatenate([x, y]), 50_000, 10, 1024, 0.035, 11)
     a, b = (set(zip(*map(np.ndarray.tolist, forest.leaves(z)))) for z in (x, y))
     assert len({row for row, _ in a & b}) / len(x) > 0.99
+
+
+def test_large_leaves_are_split_on_and_keep_pairs():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * noise
+    cuts = np.array(E.split_leaf(77, 40_000, x[: E.LEAF_SAMPLE], 128, 0.035))
+    leaf = np.full(len(x), 77)
+    a, b = (E.descend_leaf(z, leaf, np.tile(cuts, (len(z), 1)), 0.035) for z in (x, y))
+    sizes = np.unique(a[1], return_counts=True)[1]
+    assert len(sizes) == 2**E.DEPTH and sizes.max() < len(x) / 5
+    pairs = [set(zip(*map(np.ndarray.tolist, z))) for z in (a, b)]
+    assert len({r for r, _ in pairs[0] & pairs[1]}) > 0.85 * len(x)  # one tree's five levels; ten trees miss almost none
+    assert np.isnan(E.split_leaf(1, 10_000, np.tile(x[:1], (512, 1)), 128, 0.035)[0])
