@@ -14,8 +14,11 @@ but only suffixes that can repeat are sorted:
    still together. Leaves of more than one suffix are repeated strings; the smallest id keeps them.
 5. Ranges go back to their batches, which cut them out and digest what stays.
 
-Texts meet batch by batch, whatever their keys, so a popular text or source makes no partition larger. A popular string
-reaches its part at most once from each batch (and once more for each repeat within the text of the smallest id).
+Texts meet batch by batch, whatever their keys, so a popular text or source makes no partition larger. A key that more than
+``HOT_BATCHES`` batches hold is dealt otherwise: its strings go one by one, each to the part of its own hash, and of equal
+strings of a batch only those of the smallest id. They meet in two levels, among the batches of a group and then among the
+groups, with as many groups as batches in a group, so a part gets a popular string at most as often as the square root of
+the number of batches (and once more for each repeat within the text of the smallest id).
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import hashlib
 import os
 import pickle
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ SHALLOW = 16
 #: Low bits of a key that are sent; the bits above choose the part.
 LOW_BITS = 40
 PART_BYTES = 64 << 20
+#: A key that more batches hold is dealt string by string.
+HOT_BATCHES = 64
 SORT_AT_ONCE = 1 << 20
 
 
@@ -109,6 +115,27 @@ class Batch:
         self.key, self.text, self.start, self.stop = key[run][keep].astype(np.uint64), text[keep], start[keep], stop[keep]
 
 
+def string_hashes(buffer: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the whole string of ``length`` bytes at each place."""
+    words, h = _words(buffer, "<"), np.zeros(len(at), dtype=np.uint64)
+    for offset in [*range(0, length - 7, 8)] + ([length - 8] if length % 8 else []):
+        h = (h ^ words[at + offset]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def least_of_equal(buffer: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """Whether no equal string among those at ``at`` has a smaller id, for each of them."""
+    first = np.ones(len(at), dtype=bool)
+    order, starts = equal_groups(buffer, at, length) if len(at) else (at, at)
+    if len(order):
+        owner = ids[order]
+        least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(order))))
+        first[order[owner > least]] = False
+    return first
+
+
 def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(LOW_BITS)) % np.uint64(parts)).astype(np.int64)
 
@@ -193,6 +220,7 @@ def _out(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
 
 
 _PAYLOAD = "part bigint, batch bigint, payload binary"
+_SORTED = (["batch", "ranges", "part", "payload"], [pa.int64(), pa.binary(), pa.int64(), pa.binary()])
 _ROW = (["part", "batch", "payload"], [pa.int64(), pa.int64(), pa.binary()])
 
 
@@ -240,7 +268,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def repeated_ranges(packed: DataFrame, length: int, parts: int, sort_at_once: int = SORT_AT_ONCE) -> DataFrame:
+def repeated_ranges(packed: DataFrame, length: int, parts: int, groups: int, scratch: Scratch, sort_at_once: int = SORT_AT_ONCE, hot_batches: int = HOT_BATCHES) -> DataFrame:
     """``(batch, ranges)``: for each batch packed arrays (text, start, stop) of repeated bytes."""
     n = shuffle_partitions(packed.sparkSession)
     body = packed.select("batch", "n_bytes", "ids", "named", "sizes", "blob")
@@ -260,39 +288,90 @@ def repeated_ranges(packed: DataFrame, length: int, parts: int, sort_at_once: in
             low = np.zeros((sum(sizes), 8), dtype=np.uint8)
             low[:, :5] = np.frombuffer(b"".join(p for _, p in held), dtype=np.uint8).reshape(-1, 5)
             low = low.view("<u8").ravel()
-            ordered = np.sort(low)
-            shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            hit, rows, at = np.isin(low, shared), [], 0
+            known, count = np.unique(low, return_counts=True)
+            hit, hot, rows, at = np.isin(low, known[count > 1]), np.isin(low, known[count > hot_batches]), [], 0
             for (number, _), size in zip(held, sizes):
-                found = low[at : at + size][hit[at : at + size]]
+                mine, often = low[at : at + size][hit[at : at + size]], hot[at : at + size][hit[at : at + size]]
                 at += size
-                if len(found):
-                    rows.append((part, number, np.ascontiguousarray(found.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()))
+                if len(mine):
+                    found = np.concatenate((mine[~often], mine[often]))
+                    keys = np.ascontiguousarray(found.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+                    rows.append((part, number, int(often.sum()).to_bytes(4, "little") + keys))
             yield _out(rows, *_ROW)
 
     dealt = lambda df: df.repartition(n, "part").sortWithinPartitions("part")
     answers = dealt(body.mapInArrow(send_keys, _PAYLOAD)).mapInArrow(answer_keys, _PAYLOAD)
     answers = answers.groupBy("batch").agg(F.collect_list(F.struct("part", "payload")).alias("shared"))
 
+    def sent_strings(number: int, data: np.ndarray, at, ids, text, start, part, key, to) -> list[tuple]:
+        """Rows of single strings for the places ``to``, in the form of runs."""
+        order = np.argsort(to, kind="stable")
+        rows = []
+        for p, s in _slices(to[order]):
+            o = order[s]
+            content = data[at[o][:, None] + np.arange(length)].tobytes()
+            one = np.ones(len(o), dtype=np.int64)
+            rows.append((p, number, (b"H" if p >= parts else b"R") + _pack(key[o], ids[o], text[o], start[o], one, content, part[o])))
+        return rows
+
+    def send_hot(number: int, b: Batch, runs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The strings of runs with hot keys: the first among equal ones go to their hash's part of the first level."""
+        if not len(runs):
+            return
+        count = b.stop[runs] - b.start[runs]
+        run = np.repeat(runs, count)
+        at = b.start[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        text, ids = b.text[run], b.ids[b.text[run]]
+        start = at - b.starts[text]
+        first = least_of_equal(b.buffer, at, ids, length)
+        lost = ~first
+        local = [(number % parts, number, b"L" + _pack(text[lost].astype(np.int64), start[lost], start[lost] + length))] if lost.any() else []
+        key = string_hashes(b.buffer, at[first], length)
+        part = _parts_of(key, parts)
+        to = parts + (part * groups + number % groups) % parts
+        sent = sent_strings(number, b.buffer, at[first], ids[first], text[first].astype(np.int32), start[first], part, key & np.uint64((1 << LOW_BITS) - 1), to)
+        yield _out(local + sent, *_ROW)
+
+    def thin(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        """First level of hot strings: those with an equal one of a smaller id are repeated; the others go on."""
+        sent = [(number, _unpack(p[1:])) for number, p in held]
+        key, ids, text, start = (np.concatenate([x[i] for _, x in sent]) for i in range(4))
+        part = np.concatenate([x[6] for _, x in sent])
+        number = np.repeat([b for b, _ in sent], [len(x[0]) for _, x in sent])
+        data = np.frombuffer(b"".join(x[5] for _, x in sent), dtype=np.uint8)
+        at = np.arange(len(key)) * length
+        first = least_of_equal(data, at, ids, length)
+        order = np.argsort(number, kind="stable")
+        rows = []
+        for b, s in _slices(number[order]):
+            o = order[s]
+            lost, on = o[~first[o]], o[first[o]]
+            if len(lost):
+                rows.append((b, _pack(text[lost].astype(np.int64), start[lost], start[lost] + length), None, None))
+            rows += [(b, None, p, payload) for p, _, payload in sent_strings(b, data, at[on], ids[on], text[on], start[on], part[on], key[on], part[on])]
+        return _out(rows, *_SORTED)
+
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             b = _batch(row, length)
             part, low = _parts_of(b.key, parts), b.key & np.uint64((1 << LOW_BITS) - 1)
-            kept = np.zeros(len(b.key), dtype=bool)
+            kept, often = np.zeros(len(b.key), dtype=bool), np.zeros(len(b.key), dtype=bool)
             answered = {}
             for x in row["shared"] or []:
                 raw = np.zeros((len(x["payload"]) // 5, 8), dtype=np.uint8)
-                raw[:, :5] = np.frombuffer(x["payload"], dtype=np.uint8).reshape(-1, 5)
-                answered[x["part"]] = raw.view("<u8").ravel()
+                raw[:, :5] = np.frombuffer(x["payload"], dtype=np.uint8, offset=4).reshape(-1, 5)
+                answered[x["part"]] = raw.view("<u8").ravel(), len(raw) - int.from_bytes(x["payload"][:4], "little")
             order = np.argsort(part, kind="stable")
             for p, s in _slices(part[order]):
                 if p in answered:
-                    some = order[s]
-                    kept[some] = np.isin(low[some], answered[p])
+                    some, (keys, plain) = order[s], answered[p]
+                    kept[some] = np.isin(low[some], keys[:plain])
+                    often[some] = np.isin(low[some], keys[plain:])
             # Keys of two texts of this batch.
             pairs = np.unique(np.stack([b.key, b.text.astype(np.uint64)], axis=1), axis=0)[:, 0] if len(b.key) else b.key
             kept |= np.isin(b.key, pairs[1:][pairs[1:] == pairs[:-1]])
-            runs = np.flatnonzero(kept)
+            yield from send_hot(row["batch"], b, np.flatnonzero(often))
+            runs = np.flatnonzero(kept & ~often)
             if not len(runs):
                 continue
             data = b.buffer.tobytes()
@@ -318,9 +397,11 @@ def repeated_ranges(packed: DataFrame, length: int, parts: int, sort_at_once: in
             yield _out(rows, *_ROW)
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["batch", "ranges"], [pa.int64(), pa.binary()]
-        for _, held in _by_part(batches):
-            yield _out([(number, p[1:]) for number, p in held if p[:1] == b"L"], names, types)
+        for at_part, held in _by_part(batches):
+            if at_part >= parts:
+                yield thin(held)
+                continue
+            yield _out([(number, p[1:], None, None) for number, p in held if p[:1] == b"L"], *_SORTED)
             sent = [(number, _unpack(p[1:])) for number, p in held if p[:1] == b"R"]
             del held
             if not sent:
@@ -348,12 +429,14 @@ def repeated_ranges(packed: DataFrame, length: int, parts: int, sort_at_once: in
             run, first, last = run[by], first[by], last[by]
             for b, s in _slices(number[run]):
                 r = run[s]
-                rows.append((b, _pack(text[r].astype(np.int64), start[r] + first[s], start[r] + last[s] + length)))
-            yield _out(rows, names, types)
+                rows.append((b, _pack(text[r].astype(np.int64), start[r] + first[s], start[r] + last[s] + length), None, None))
+            yield _out(rows, *_SORTED)
 
     asked = body.join(answers, "batch", "left").select(*body.columns, "shared")
-    runs = dealt(asked.mapInArrow(send_runs, _PAYLOAD))
-    return runs.mapInArrow(sort_runs, "batch bigint, ranges binary")
+    schema = "batch bigint, ranges binary, part bigint, payload binary"
+    once = scratch.write(dealt(asked.mapInArrow(send_runs, _PAYLOAD)).mapInArrow(sort_runs, schema))
+    again = dealt(once.where("part is not null").select("part", "batch", "payload")).mapInArrow(sort_runs, schema)
+    return once.where("ranges is not null").unionByName(again).select("batch", "ranges")
 
 
 def _repeats(buffer, runs, begin, count, ids, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -383,6 +466,7 @@ def suffix_dedup(
     with_text: bool = False,
     batch_bytes: int = BATCH_BYTES,
     sort_at_once: int = SORT_AT_ONCE,
+    hot_batches: int = HOT_BATCHES,
 ) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row, and ``kept``, the bytes that stay, if asked for.
 
@@ -397,9 +481,9 @@ def suffix_dedup(
     scratch = Scratch(spark, "suffixes")
     source = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     packed = scratch.write(pack_batches(source, batch_bytes))
-    total = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    total, batches = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     parts = max(3 * shuffle_partitions(spark), -(-total // PART_BYTES))
-    ranges = repeated_ranges(packed, length, parts, sort_at_once).groupBy("batch").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = repeated_ranges(packed, length, parts, isqrt(batches) + 1, scratch, sort_at_once, hot_batches).groupBy("batch").agg(F.collect_list("ranges").alias("ranges"))
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

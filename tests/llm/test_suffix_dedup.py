@@ -47,8 +47,19 @@ def test_matches_brute_force(spark, size):
     rows = corpus(np.random.default_rng(size))
     docs = spark.createDataFrame([(d, t, 1, b"") for d, t in rows], "doc_id long, text string, batch int, blob binary").repartition(3)
     for n in (50, 12) if size == 700 else (50,):
-        got = sorted((tuple(r) for r in S.suffix_dedup(docs, length=n, batch_bytes=size, sort_at_once=2000).collect()), key=repr)
-        assert got == brute(rows, n)
+        for hot in (64, 2):
+            found = S.suffix_dedup(docs, length=n, batch_bytes=size, sort_at_once=2000, hot_batches=hot)
+            assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows, n)
+
+
+def test_strings_that_all_texts_share_are_met_in_levels(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    line = " ".join(word() for _ in range(30))
+    rows = [(int(i), " ".join([word(), word() * (i % 7), line, word() * (i % 5), line[: 60 + i % 20]])) for i in rng.permutation(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.suffix_dedup(docs, batch_bytes=300, hot_batches=4).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
 def test_kept_text_and_empty_table(spark):
