@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running
 from .common import Scratch, only
 
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -30,38 +31,29 @@ WEAK_HOST = r"""(?i)(?:https?|jdbc:[a-z]+|ftp|s3|ssh)://[^\x20\x09-\x0D"'<>]+|(?
 #: Base kinds in the order that settles equal starts.
 KINDS = ("assign", "access", "hex", "id", "part", "host")
 ROLE = {"assign": 2, "access": 1, "hex": 2, "id": 1, "part": 2, "host": 4}
-SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
+SPAN = "struct<start:bigint,rank:int,end:bigint>"
 
 
-def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
-    """Spans (code points) of a pattern's leftmost matches that do not overlap and for which ``keep(match)`` holds.
+def _spans(text: Column, pattern: str, kind) -> Column:
+    """Spans (code points) of a pattern's leftmost matches that do not overlap, each of the kind ``kind(match)``.
 
     The text between matches gives their positions: a match starts after all pieces and matches before it.
     """
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    rank = F.lit(KINDS.index(kind))
-    ends = F.aggregate(
-        F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("m"))),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"),
-            F.when(
-                x["m"].isNotNull() & keep(x["m"]),
-                F.concat(
-                    F.coalesce(acc["out"], F.array().cast(SPAN)),
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["gap"]).alias("start"), rank.alias("rank"), (acc["at"] + x["gap"] + x["size"]).alias("end")
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: F.coalesce(acc["out"], F.array().cast(SPAN)),
+    each = F.zip_with(
+        pieces,
+        found,
+        lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.coalesce(F.length(m), F.lit(0)).cast("long").alias("size"), F.when(m.isNotNull(), kind(m)).alias("rank")),
     )
-    return F.when(F.rlike(text, F.lit(pattern)), ends).otherwise(F.array().cast(SPAN))
+    span = lambda x, at: F.when(
+        x["rank"].isNotNull(), F.struct((at + x["gap"]).alias("start"), x["rank"].alias("rank"), (at + x["gap"] + x["size"]).alias("end"))
+    )
+    spans = running(each, lambda x: x["gap"] + x["size"], span, SPAN)
+    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _kind(name: str) -> Column:
+    return F.lit(KINDS.index(name))
 
 
 def _value_length(match: Column) -> Column:
@@ -84,7 +76,6 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     source = only(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    yes = lambda m: F.lit(True)
     text = F.col("text")
     assigned = source.select(
         "id",
@@ -93,20 +84,18 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = assigned.select(
         "id",
         F.when(text == "", 0).otherwise(F.xxhash64("text")).alias("h"),
-        _spans(text, ASSIGN, "assign", lambda m: _value_length(m) >= 12).alias("assign"),
-        _spans(text, ACCESS, "access", lambda m: F.length(m) >= 18).alias("access"),
-        _spans(text, HEX, "hex", yes).alias("hex"),
-        F.concat(_spans(text, WEAK_ID, "id", yes), _spans(text, ACCESS, "id", lambda m: F.length(m) < 18)).alias("weak_id"),
-        F.concat(_spans(text, ASSIGN, "part", lambda m: _value_length(m) < 12), _spans(text, WEAK_SECRET, "part", lambda m: (F.length(m) == 40) & ~m.contains("="))).alias("weak_part"),
-        _spans(text, WEAK_HOST, "host", yes).alias("host"),
+        F.concat(
+            _spans(text, ASSIGN, lambda m: F.when(_value_length(m) >= 12, _kind("assign")).otherwise(_kind("part"))),
+            _spans(text, ACCESS, lambda m: F.when(F.length(m) >= 18, _kind("access")).otherwise(_kind("id"))),
+            _spans(text, HEX, lambda m: _kind("hex")),
+            _spans(text, WEAK_ID, lambda m: _kind("id")),
+            _spans(text, WEAK_SECRET, lambda m: F.when((F.length(m) == 40) & ~m.contains("="), _kind("part"))),
+            _spans(text, WEAK_HOST, lambda m: _kind("host")),
+        ).alias("all"),
     )
+    strong = lambda s: s["rank"] < KINDS.index("id")
     found = scratch.write(
-        scanned.select(
-            "id",
-            "h",
-            F.array_sort(F.concat("assign", "access", "hex")).alias("base"),
-            F.concat("weak_id", "weak_part", "host").alias("weak"),
-        )
+        scanned.select("id", "h", F.array_sort(F.filter("all", strong)).alias("base"), F.filter("all", lambda s: ~strong(s)).alias("weak"))
     )
     role = F.element_at(F.array(*(F.lit(ROLE[k]) for k in KINDS)), F.col("s.rank") + 1)
     parts = found.where(F.size("weak") > 0).select("id", "h", F.explode(F.array_distinct(F.concat("weak", "base"))).alias("s"))
@@ -125,7 +114,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     linked = weak.join(other, near, "left_semi").groupBy("id", "h").agg(F.array_sort(F.collect_set("s")).alias("linked"))
     linked = scratch.write(linked)
-    none = F.array().cast(SPAN)
+    none = F.array().cast(f"array<{SPAN}>")
     alone = found.where(F.size("weak") == 0).select("id", "base", none.alias("linked"))
     some = found.where(F.size("weak") > 0).alias("f").join(
         linked.alias("l"), F.col("f.id").eqNullSafe(F.col("l.id")) & (F.col("f.h") == F.col("l.h")), "left"
