@@ -165,7 +165,8 @@ def fit(bags: list[np.ndarray], y: np.ndarray, *, epochs: int = 40, seed: int =
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_documents: int, max_passages: int):
-    """Features and labels of at most ``max_documents`` labelled rows, the first by their id's hash."""
+    """Features and labels of at most ``max_documents`` labelled ids, the first by their hash; of several rows with one id the
+    one whose features sort first stands for all, chosen before anything is collected."""
     marked = labels.where(F.col(f"`{label_col}`").isin(0, 1)).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y"))
     chosen = marked.where("id is not null").groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_documents)
     texts = only(docs, id=id_col, text=text_col)
@@ -182,7 +183,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], ["id", "x", "y"])
 
     found = rows.select("id", "text", F.col("y").cast("int")).mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, x binary, y int")
-    got = sorted((r.id, bytes(r.x), r.y) for r in found.collect())
+    one = found.groupBy("id").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+    got = sorted((r.id, bytes(r.x), r.y) for r in one.collect())
     return [np.frombuffer(x, dtype=np.float32).reshape(-1, FEATURES) for _, x, _ in got], np.array([y for *_, y in got], dtype=np.float64)
 
 

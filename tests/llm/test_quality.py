@@ -49,3 +49,32 @@ def test_odd_rows(spark):
     assert {r.score for r in Q.score(docs, none).collect()} == {0.5}
     assert Q.score(docs.limit(0), none).count() == 0
     assert len(Q.features("é" * 5000)) == -(-10_000 // Q.PASSAGE) and not Q.features(None).any()
+
+
+def test_scores_match_a_plain_computation(spark):
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    m = Q.train(docs, labels)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    got = {r.id: r.score for r in Q.score(docs, m).collect()}
+    for r in docs.collect():
+        hidden, logits = [], []
+        for x in Q.features(r.text):
+            size = float(x[Q.SIZE]) * Q.PASSAGE
+            x = [(float(a) - b) / c * size / (size + Q.SHRINK) for a, b, c in zip(x, m.mean, m.scale)]
+            h = [math.tanh(sum(a * w for a, w in zip(x, m.w[:, j])) + m.b[j]) for j in range(Q.HIDDEN)]
+            gate = [math.tanh(sum(a * v for a, v in zip(h, m.v[:, j]))) * sigmoid(sum(a * u for a, u in zip(h, m.u[:, j]))) for j in range(Q.GATE)]
+            hidden.append(h)
+            logits.append(sum(g * a for g, a in zip(gate, m.a)))
+        e = [math.exp(v - max(logits)) for v in logits]
+        z = [sum(w * h[j] for w, h in zip(e, hidden)) / sum(e) for j in range(Q.HIDDEN)]
+        assert got[r.doc_id] == pytest.approx(sigmoid(sum(a * c for a, c in zip(z, m.c)) + float(m.d)), abs=1e-6)
+
+
+def test_repeated_labelled_ids_count_once(spark):
+    docs = spark.createDataFrame([(1, "same id"), (2, "other")], "doc_id long, text string")
+    many = docs.unionByName(spark.range(5000).select(Q.F.lit(1).cast("long").alias("doc_id"), Q.F.concat(Q.F.lit("text "), Q.F.col("id").cast("string")).alias("text")))
+    bags, y = Q.training_sample(many, spark.createDataFrame([(1, 0), (2, 1), (1, 0)], "doc_id long, quality int"), "doc_id", "text", "quality", 10, 16)
+    assert len(bags) == 2 and sorted(y) == [0, 1]
