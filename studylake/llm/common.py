@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,12 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"{name}_{i}") not in taken)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -50,13 +57,16 @@ class Scratch:
     """Parquet tables under ``spark.checkpoint.dir``, the folder that driver and executors share.
 
     Writing a table and reading it again cuts lineage in a form that survives lost executors. ``drop`` removes a table as
-    soon as nothing reads it; the rest goes when the driver's interpreter ends.
+    soon as nothing reads it; the rest goes when the driver's interpreter ends. Without the setting a local session takes a
+    temporary folder, and one on a cluster is refused.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             root = f"{tempfile.gettempdir()}/studylake-checkpoints"

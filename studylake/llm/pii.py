@@ -4,11 +4,14 @@ Detected entities get keyed replacements of their own type: e-mail addresses, te
 card numbers, IBANs, US social security numbers, and names after a title ("Mr Smith", "Frau Lena Vogel").
 A replacement is a function of the key, the type and the normalised entity, so an entity has one surrogate in all texts.
 It keeps the entity's format: digits stay digits with their separators, a card's checksum stays right or wrong as it was,
-letters keep script and case, a name keeps its number of parts and the gender of its title.
+letters keep script and case, a name keeps its title, its number of parts and the gender that the title tells.
+
+A name's parts are entities of their own, by gender, so "Mr Smith" and "Mr John Smith" share a surrogate for "Smith", and
+"Mrs Smith" has its stem with another ending; in a text where a surname was found, later mentions of it without a title are replaced too.
 
 Texts are read twice and not moved. The first pass gathers the different entities and checks them: entities that would
 share a surrogate, or get one that is itself an entity of the corpus, take the next attempt of their keyed sequence, until
-none collide. Only those exceptions reach the second pass, which rewrites texts in place: as a literal map if they are
+none collide. Where a format is too crowded for that, attempts from ``CROWDED`` on are longer than the entity. Only those exceptions reach the second pass, which rewrites texts in place: as a literal map if they are
 few, else by a join on the texts that hold one.
 """
 
@@ -19,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only
+from .common import Scratch, fresh, only, shuffle_partitions
 
 _NAME = r"\p{Lu}[\p{L}\p{M}'’-]+"
 #: Titles by the gender that they tell.
@@ -47,6 +50,11 @@ CYRILLIC = ("ба", "ве", "ги", "до", "жу", "за", "ке", "ли", "м
 #: Endings that tell gender, where the title does.
 ENDING = {"m": "n", "f": "a", "": "s"}
 _HEX_DIGITS = 60
+#: Attempts that keep an entity's length; a later one adds digits or syllables.
+CROWDED = 16
+#: Kinds of a name's parts: they share one space of surrogates.
+SURNAME, GIVEN = "surname-", "given-"
+CAPITALISED = r"(?<![\p{L}\p{N}\p{M}'’-])\p{Lu}[\p{L}\p{M}'’-]+"
 
 
 def type_of(entity: Column) -> Column:
@@ -54,11 +62,28 @@ def type_of(entity: Column) -> Column:
     return reduce(lambda acc, x: acc.when(x[1], x[0]), whole[1:], F.when(whole[0][1], whole[0][0]))
 
 
+def _is_part(kind: Column) -> Column:
+    return F.startswith(kind, F.lit(SURNAME)) | F.startswith(kind, F.lit(GIVEN))
+
+
+def _title(entity: Column) -> Column:
+    return F.regexp_extract(entity, rf"^(?:{_TITLE})\.?\x20", 0)
+
+
+def name_parts(entity: Column) -> Column:
+    """The parts of a titled name as ``(kind, part)``: a given name, if there are two, and the surname, both with the
+    title's gender in their kind."""
+    title = _title(entity)
+    bare = F.regexp_replace(title, r"\.?\x20$", "")
+    gender = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("")
+    parts = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), r"\x20")
+    return F.transform(parts, lambda p, i: F.struct(F.concat(F.when(i == F.size(parts) - 1, SURNAME).otherwise(GIVEN), gender).alias("kind"), p.alias("part")))
+
+
 def normal_form(entity: Column, kind: Column) -> Column:
-    """What makes two spellings one entity: case of addresses, separators of numbers, title and its dot of names."""
+    """What makes two spellings one entity: case of addresses and names' parts, separators of numbers."""
     return (
-        F.when(kind == "email", F.lower(entity))
-        .when(kind == "name", F.regexp_replace(entity, r"\.?\x20", " "))
+        F.when((kind == "email") | _is_part(kind), F.lower(entity))
         .when(kind == "ip", entity)
         .otherwise(F.regexp_replace(entity, r"[\x20().-]", ""))
     )
@@ -100,9 +125,9 @@ def _luhn(digits: Column) -> Column:
     )
 
 
-def _word(like: Column, digest: Column, syllables: tuple[str, ...], ending: Column) -> Column:
-    """A made-up name of capital, syllables and ending."""
-    n = F.greatest(F.lit(2), F.least(F.lit(5), F.ceil(F.length(like) / 2).cast("int")))
+def _word(like: Column, digest: Column, more: Column, syllables: tuple[str, ...], ending: Column) -> Column:
+    """A made-up name of capital, syllables and ending; all in capitals if ``like`` is."""
+    n = F.greatest(F.lit(3), F.least(F.lit(5), F.ceil(F.length(like) / 2).cast("int"))) + more
     made = F.array_join(
         F.transform(
             F.sequence(F.lit(1), n),
@@ -110,11 +135,21 @@ def _word(like: Column, digest: Column, syllables: tuple[str, ...], ending: Colu
         ),
         "",
     )
-    return F.initcap(F.concat(made, ending))
+    whole = F.concat(made, ending)
+    return F.when((like == F.upper(like)) & (F.length(like) > 1), F.upper(whole)).otherwise(F.initcap(whole))
+
+
+def part_surrogate(part: Column, kind: Column, attempt: Column, key: str) -> Column:
+    """Replacement of a name's part, in its script: a stem that gender does not change, and the gender's ending."""
+    digest = _digest(key, F.substring_index(kind, "-", 1), normal_form(part, kind), attempt, "a")
+    more = F.least(F.greatest(attempt - (CROWDED - 1), F.lit(0)), F.lit(50))
+    ending = F.when(F.endswith(kind, F.lit("-m")), ENDING["m"]).when(F.endswith(kind, F.lit("-f")), ENDING["f"]).otherwise(ENDING[""])
+    latin = _word(part, digest, more, SYLLABLES, ending)
+    return F.when(F.rlike(part, F.lit(r"\p{IsCyrillic}")), _word(part, digest, more, CYRILLIC, F.translate(ending, "nas", "нас"))).otherwise(latin)
 
 
 def surrogate(entity: Column, kind: Column, attempt: Column, key: str) -> Column:
-    """The entity's replacement at an attempt of its keyed sequence."""
+    """The replacement of an entity, or of a name's part, at an attempt of its keyed sequence."""
     normal = normal_form(entity, kind)
     one, two = _digest(key, kind, normal, attempt, "a"), _digest(key, kind, normal, attempt, "b")
     digits = _decimal(one)
@@ -151,28 +186,16 @@ def surrogate(entity: Column, kind: Column, attempt: Column, key: str) -> Column
     number = F.when(F.rlike(local, F.lit("[0-9]$")), F.substring(digits, 13, 2)).otherwise("")
     dot = F.when(F.contains(local, F.lit(".")), F.concat(F.substring(shape, 1, 6), F.lit("."), F.substring(shape, 7, 6))).otherwise(shape)
     email = F.concat(dot, number, F.lit("@"), F.substring(two, 1, 6), F.when(top == "", ".org").otherwise(F.concat(F.lit(".example"), top)))
-    title = F.regexp_extract(entity, rf"^(?:{_TITLE})\.?\x20", 0)
-    bare_title = F.regexp_replace(title, r"\.?\x20$", "")
-    gender = F.when(bare_title.isin(*MALE), ENDING["m"]).when(bare_title.isin(*FEMALE), ENDING["f"]).otherwise(ENDING[""])
-    parts = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), r"\x20")
-    russian = F.rlike(entity, F.lit(r"\p{IsCyrillic}\s\p{IsCyrillic}|\p{IsCyrillic}+$"))
-    cyrillic_end = F.translate(gender, "nas", "нас")
-
-    def made(part: Column, digest: Column, last: bool) -> Column:
-        tell = gender if not last else F.lit("")
-        return F.when(russian, _word(part, digest, CYRILLIC, cyrillic_end if not last else F.lit(""))).otherwise(_word(part, digest, SYLLABLES, tell))
-
-    full = F.concat(title, made(parts[0], one, False), F.lit(" "), made(F.get(parts, F.lit(1)), two, True))
-    name = F.when(F.size(parts) > 1, full).otherwise(F.concat(title, made(parts[0], one, False)))
-    return (
+    made = (
         F.when(kind == "email", email)
         .when(kind == "iban", iban)
         .when(kind == "card", card)
         .when(kind == "ip", ip)
         .when(kind == "phone", phone)
-        .when(kind == "name", name)
         .otherwise(plain)
     )
+    made = F.when(attempt >= CROWDED, F.concat(made, F.substring(_decimal(two), F.lit(1), F.least(attempt - (CROWDED - 5), F.lit(_HEX_DIGITS))))).otherwise(made)
+    return F.when(_is_part(kind), part_surrogate(entity, kind, attempt, key)).otherwise(made)
 
 
 def _found(text: Column) -> Column:
@@ -183,52 +206,63 @@ def _key_of(entity: Column, kind: Column) -> Column:
     return F.concat(kind, F.lit("\x00"), normal_form(entity, kind))
 
 
+def _keys_of(entity: Column) -> Column:
+    """Keys of an entity, or of a name's parts."""
+    kind = type_of(entity)
+    return F.when(kind == "name", F.transform(name_parts(entity), lambda p: _key_of(p["part"], p["kind"]))).otherwise(F.array(_key_of(entity, kind)))
+
+
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Different entities of the corpus: ``(kind, normal, entity)``, the spelling that sorts first standing for all."""
+    """Different entities of the corpus: ``(kind, normal, entity)``, the spelling that sorts first standing for all. Names
+    give their parts."""
     found = only(docs, text=text_col).where("text is not null").select(F.explode(F.array_distinct(_found(F.col("text")))).alias("entity"))
-    typed = found.distinct().withColumn("kind", type_of(F.col("entity"))).withColumn("normal", normal_form(F.col("entity"), F.col("kind")))
-    return typed.groupBy("kind", "normal").agg(F.min("entity").alias("entity"))
+    typed = found.distinct().withColumn("kind", type_of(F.col("entity")))
+    whole = F.array(F.struct(F.col("kind"), F.col("entity").alias("part")))
+    each = typed.select(F.explode(F.when(F.col("kind") == "name", name_parts(F.col("entity"))).otherwise(whole)).alias("p")).select("p.kind", F.col("p.part").alias("entity"))
+    each = each.withColumn("normal", normal_form(F.col("entity"), F.col("kind")))
+    return each.groupBy("kind", "normal").agg(F.min("entity").alias("entity"))
 
 
-def exceptions(known: DataFrame, key: str, scratch: Scratch, max_attempts: int = 64) -> DataFrame:
+def exceptions(known: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """Entities whose surrogate isn't the first of their sequence: ``(name, attempt)``, with name as in ``_key_of``.
 
     In each round the entities are given their surrogates; of those that share one all but the first move on, and so do
-    those whose surrogate is an entity of the corpus. Rounds go on until there is none.
+    those whose surrogate is an entity of the corpus. Rounds go on until there is none, which later attempts' greater length
+    brings about in any corpus. Surrogates are costly, so entities are spread over all tasks.
     """
-    now = scratch.write(known.withColumn("attempt", F.lit(0)))
-    reals = known.select("kind", F.col("normal").alias("taken"))
-    for _ in range(max_attempts):
-        made = now.withColumn("taken", normal_form(surrogate(F.col("entity"), F.col("kind"), F.col("attempt"), key), F.col("kind")))
+    n = shuffle_partitions(known.sparkSession)
+    now = scratch.write(known.withColumn("attempt", F.lit(0)).repartition(n, "kind", "normal"))
+    space = F.when(_is_part(F.col("kind")), "part").otherwise(F.col("kind"))
+    reals = now.select(space.alias("space"), F.col("normal").alias("taken")).distinct()
+    me = F.struct("normal", "kind")
+    while True:
+        made = now.select("kind", "normal", space.alias("space"), normal_form(surrogate(F.col("entity"), F.col("kind"), F.col("attempt"), key), F.col("kind")).alias("taken"))
         made = scratch.write(made)
-        shared = made.groupBy("kind", "taken").agg(F.min("normal").alias("first"), F.count("*").alias("n")).where("n > 1")
-        late = made.join(shared, ["kind", "taken"]).where("normal <> first").select("kind", "normal")
-        real = made.join(reals, ["kind", "taken"], "left_semi").select("kind", "normal")
+        shared = made.groupBy("space", "taken").agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1")
+        late = made.join(shared, ["space", "taken"]).where(me != F.col("first")).select("kind", "normal")
+        real = made.join(reals, ["space", "taken"], "left_semi").select("kind", "normal")
         again = scratch.write(late.unionByName(real).distinct())
         if again.isEmpty():
             out = now.where("attempt > 0").select(F.concat("kind", F.lit("\x00"), "normal").alias("name"), "attempt")
             return scratch.write(out)
         bumped = now.join(again.withColumn("more", F.lit(1)), ["kind", "normal"], "left")
-        then = scratch.write(bumped.select("kind", "normal", "entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")))
-        scratch.drop(now)
+        bumped = bumped.select("kind", "normal", "entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
+        then = scratch.write(bumped.repartition(n, "kind", "normal"))
         scratch.drop(made)
         now = then
-    raise ValueError(f"surrogates still collide after {max_attempts} attempts: too many entities of one short format")
 
 
 def replace_pii(docs: DataFrame, text_col: str = "text", *, key: str, count_col: str | None = None, max_literals: int = 500) -> DataFrame:
     """``docs`` with surrogates in place of the entities of ``text_col``; all other columns and rows stay as they are.
 
-    ``count_col`` adds the number of entities replaced. A null text stays null, with 0 entities; so does an empty one.
+    ``count_col`` adds the number of entities detected; mentions of a surname without a title are replaced uncounted. A null text stays null, with 0 entities; so does an empty one.
     Repeated rows are replaced alike. An empty table gives no rows. ``max_literals`` bounds the exceptions that go into
     the plan; above it they are joined to the texts that hold them.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    odd = exceptions(scratch.write(entities(docs, text_col)), key, scratch)
+    odd = exceptions(entities(docs, text_col), key, scratch)
     few = odd.limit(max_literals + 1).collect()
-    taken = set(docs.columns)
-    fresh = lambda name: next(n for i in range(len(taken) + 1) if (n := f"{name}_{i}") not in taken)
-    found, tries = fresh("pii_found"), fresh("pii_tries")
+    found, tries, new = (fresh(docs, n) for n in ("pii_found", "pii_tries", "pii_new"))
     text = F.col(f"`{text_col}`")
     source = docs.withColumn(found, F.coalesce(_found(text), F.array().cast("array<string>")))
     if not few:
@@ -239,22 +273,34 @@ def replace_pii(docs: DataFrame, text_col: str = "text", *, key: str, count_col:
     else:
         # Texts that hold an exception, by their hash and length; each with its own exceptions.
         holder = source.where(F.size(found) > 0).select(F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("s"), F.explode(F.array_distinct(found)).alias("e"))
-        named = holder.withColumn("kind", type_of(F.col("e"))).select("h", "s", _key_of(F.col("e"), F.col("kind")).alias("name")).distinct()
+        named = holder.select("h", "s", F.explode(_keys_of(F.col("e"))).alias("name")).distinct()
         own = named.join(odd, "name").groupBy("h", "s").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias(tries))
         own = scratch.write(own)
-        h, s2 = fresh("pii_h"), fresh("pii_s")
+        h, s2 = fresh(source, "pii_h"), fresh(source, "pii_s")
         keyed = source.withColumn(h, F.xxhash64(text)).withColumn(s2, F.sha2(text, 256))
         own = own.withColumnRenamed("h", h).withColumnRenamed("s", s2)
         source = keyed.join(own, [h, s2], "left").drop(h, s2)
         attempt = lambda name: F.coalesce(F.try_element_at(F.col(tries), name), F.lit(0))
 
+    part = lambda p, kind: part_surrogate(p, kind, attempt(_key_of(p, kind)), key)
+
     def replaced(entity: Column) -> Column:
         kind = type_of(entity)
-        return surrogate(entity, kind, attempt(_key_of(entity, kind)), key)
+        name = F.concat(_title(entity), F.array_join(F.transform(name_parts(entity), lambda p: part(p["part"], p["kind"])), " "))
+        return F.when(kind == "name", name).otherwise(surrogate(entity, kind, attempt(_key_of(entity, kind)), key))
 
     pieces = F.split(text, ANY, -1)
     mixed = F.zip_with(pieces, F.transform(found, replaced), lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
-    new = F.when(F.size(found) > 0, F.array_join(mixed, "")).otherwise(text)
-    columns = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    rewritten = source.withColumn(new, F.when(F.size(found) > 0, F.array_join(mixed, "")).otherwise(text))
+    # Later mentions of a surname, without its title, in the same text.
+    names = F.filter(F.col(found), lambda e: F.rlike(e, F.lit(f"^(?:{PATTERNS['name']})$")))
+    surnames = F.array_distinct(F.transform(names, lambda e: F.element_at(name_parts(e), -1)))
+    words, between = F.regexp_extract_all(F.col(new), F.lit(CAPITALISED), F.lit(0)), F.split(F.col(new), CAPITALISED, -1)
+    meant = lambda w: F.get(F.filter(surnames, lambda s: s["part"] == w), F.lit(0))
+    mention = lambda w: F.coalesce(F.when(F.exists(surnames, lambda s: s["part"] == w), part(w, meant(w)["kind"])), w, F.lit(""))
+    again = F.array_join(F.zip_with(between, words, lambda b, w: F.concat(b, mention(w))), "")
+    titled = F.rlike(F.array_join(found, "\n"), F.lit(f"(?m)^(?:{_TITLE})\\.?\\x20"))
+    final = F.when(titled, again).otherwise(F.col(new))
+    columns = [final.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     count = [F.size(found).cast("long").alias(count_col)] if count_col else []
-    return source.select(*columns, *count)
+    return rewritten.select(*columns, *count)

@@ -70,3 +70,51 @@ def test_collisions_are_resolved(spark, monkeypatch, literals):
     made = [got[i].text.split(" twice ") for i in range(4)]
     assert all(a == b for a, b in made) and len({a for a, _ in made}) == 4
     assert got[6].text == got[0].text and got[4].text == "none" and got[5].text is None
+
+
+def test_parts_of_names_are_shared_and_later_mentions_follow(spark):
+    got = run(spark, ["Mr Smith met Mr John Smith. Later Smith and Smithson left, and SMITH too.", "Mrs Smith, and Smith.", "Smith alone", "Dr SMITH"])
+    one, given, two, later, rest = re.fullmatch(r"Mr (\w+) met Mr (\w+) (\w+)\. Later (\w+) and Smithson left, and (\w+) too\.", got[0].text).groups()
+    assert one == two == later and given not in ("John", one) and rest == "SMITH" and got[0].n == 2
+    woman, again = re.fullmatch(r"Mrs (\w+), and (\w+)\.", got[1].text).groups()
+    assert woman == again and woman[:-1] == one[:-1] and woman != one
+    assert got[2].text == "Smith alone" and got[3].text == "Dr " + (one[:-1] + "s").upper()
+
+
+def test_crowded_formats_get_longer_surrogates(spark, monkeypatch):
+    # Digests of all entities alike, and attempts that repeat: a format without room.
+    monkeypatch.setattr(P, "CROWDED", 2)
+    monkeypatch.setattr(P, "_digest", lambda key, kind, normal, attempt, part: P.F.sha2(P.F.lit(part), 256))
+    texts = [f"{n}11-22-3333 " for n in range(1, 7)] + [f"Mr {n}" for n in ("Able", "Baker", "Charlie")]
+    got = run(spark, texts)
+    made = [got[i].text for i in range(len(texts))]
+    assert len(set(made)) == len(texts) and not set(made) & set(texts)
+
+
+def test_replacement_matches_a_row_by_row_one(spark):
+    """Texts are rebuilt from their pieces: what stands between entities stays, and one mapping of entities explains all."""
+    import regex
+
+    pattern = regex.compile(P.ANY.replace("\\p{IsCyrillic}", "\\p{Cyrillic}"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r.text or "" for r in docs.collect()}
+    after = {r.doc_id: r.text or "" for r in P.replace_pii(docs, key="k").collect()}
+    mapping, n = {}, 0
+    for d, text in before.items():
+        at, out = 0, after[d]
+        rest = regex.compile("(.*?)".join(regex.escape(p) for p in _pieces(pattern, text)), regex.DOTALL).fullmatch(out)
+        assert rest, d
+        for m, new in zip(pattern.finditer(text), rest.groups()):
+            n += 1
+            form = regex.sub(r"[ ().-]", "", m[0].lower()) if not "@" in m[0] else m[0].lower()
+            assert mapping.setdefault(form, new) == new or regex.sub(r"\D", "", mapping[form]) == regex.sub(r"\D", "", new)
+            assert new != m[0]
+    assert n > 5 and len(set(mapping.values())) == len(mapping) and not set(mapping.values()) & set(mapping)
+
+
+def _pieces(pattern, text):
+    at, out = 0, []
+    for m in pattern.finditer(text):
+        out.append(text[at : m.start()])
+        at = m.end()
+    return [*out, text[at:]]
