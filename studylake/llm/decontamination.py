@@ -18,11 +18,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, words_of
+from .common import Scratch, fresh, only, words_of
 
 BITS = 64
 #: Items up to this number of different shingles are sent to all tasks; beyond, Spark joins by a shuffle as sizes tell.
 BROADCAST_KEYS = 50_000
+#: Words of a text whose windows are cut at a time.
+STRETCH = 1 << 14
 
 
 def _shingles(words: Column, shingle: int) -> Column:
@@ -124,13 +126,15 @@ def find_items(
     held = steps.withColumn("n", F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("p").over(along)).where("n >= need")
     placed = held.select("id", "h1", "h2", "row", "w", F.explode(F.sequence(F.col("p"), F.col("next") - 1)).alias("start"))
     windows = scratch.write(placed.select("id", "h1", "h2", "row", "w", "start").distinct())
-    per_text = scratch.write(windows.groupBy("id", "h1", "h2").agg(F.collect_set(F.struct("start", "w", "row")).alias("places")))
+    # A text meets its windows a stretch at a time, so what a row holds is bounded for texts of any length.
+    stretch = F.floor(F.col("start") / STRETCH)
+    per_text = windows.groupBy("id", "h1", "h2", stretch.alias("stretch")).agg(F.collect_list(F.struct("start", "w", "row")).alias("places"))
     texts = source.select(*_row_key(), "text")
-    held = texts.alias("t").join(per_text.hint("merge").alias("p"), _same("t", "p")).select("t.id", "t.h1", "t.h2", words_of(F.col("t.text")).alias("words"), "places")
-    start = lambda p: F.greatest(p["start"], F.lit(0))
-    cut = lambda p: F.struct(start(p).alias("start"), F.slice("words", start(p) + 1, p["w"] + F.least(p["start"], F.lit(0))).alias("cut"), p["row"].alias("row"))
-    within = F.filter("places", lambda p: p["start"] < F.size("words"))
-    placed = held.select("id", "h1", "h2", F.explode(F.transform(within, cut)).alias("p")).select("id", "h1", "h2", "p.start", "p.cut", "p.row")
+    held = texts.alias("t").join(scratch.write(per_text).hint("merge").alias("p"), _same("t", "p")).select("t.id", "t.h1", "t.h2", words_of(F.col("t.text")).alias("words"), "places")
+    each = held.select("id", "h1", "h2", "words", F.explode("places").alias("p")).where(F.col("p.start") < F.size("words"))
+    first = F.greatest(F.col("p.start"), F.lit(0))
+    cut = F.slice("words", first + 1, F.col("p.w") + F.least(F.col("p.start"), F.lit(0)))
+    placed = each.select("id", "h1", "h2", first.alias("start"), cut.alias("cut"), F.col("p.row").alias("row"))
     printed = placed.withColumn("hashes", _shingles(F.col("cut"), shingle)).select(
         "id", "h1", "h2", "row", "start", F.size("cut").alias("n_words"), _simhash(F.col("hashes")).alias("fp"), _numbered(F.col("hashes")).alias("shingles")
     )
@@ -153,8 +157,9 @@ def find_items(
 
 
 def drop_contaminated(docs: DataFrame, matches: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` without a match in ``find_items``' result; all columns stay."""
-    found = matches.select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct()
+    """Rows of ``docs`` without a match in ``find_items``' result; all columns stay, whatever their names."""
+    own, h1, h2 = (fresh(docs, n) for n in ("found_id", "found_h1", "found_h2"))
+    found = matches.select(F.col("id").alias(own), F.col("h1").alias(h1), F.col("h2").alias(h2)).distinct()
     text = F.col(f"`{text_col}`")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h1")) & (F.length(text) == F.col("__h2"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(h1)) & (F.length(text) == F.col(h2))
     return docs.join(found, same, "left_anti")
