@@ -9,6 +9,9 @@ block: every block value has an anchor within R (its home), and a value within t
 Each distinct fingerprint is therefore sent to every anchor within R + t in every block, and compared there with the
 fingerprints whose home the anchor is. No linked pair is missed.
 
+Which blocks and code are taken depends on the number of fingerprints (``PLANS``): the more there are, the more anchors,
+so that a cell's size is bounded and the work grows with the input.
+
 Cells of an anchor are compared within one task on eight bytes a fingerprint. A task gives a spanning forest of its
 cell's links rather than the links, so what leaves it is linear in the cell. Cells above ``cell_limit`` are cut into
 parts that meet pairwise, so no task holds more than two parts.
@@ -20,6 +23,7 @@ from array import array
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, only, shuffle_partitions, tidy
+from .common import Scratch, connected_components, fresh, only, shuffle_partitions, tidy
 from .local_graph import roots
 
 BITS = 64
@@ -109,23 +113,52 @@ class Code:
         return rows, values[rows] ^ self.patterns[s[rows], rank], rank == 0
 
 
+#: Covering codes: check bits, covering radius, and the syndrome of bit i of a block.
+CODES = {
+    "golay": (11, 3, lambda i: _golay_checks()[i]),
+    "hamming": (4, 1, lambda i: i + 1 if i < 15 else 0),
+    "hamming31": (5, 1, lambda i: i + 1 if i < 31 else 0),
+    "full": (0, 0, lambda i: 0),
+}
+#: Blocks and code, from few copies of a fingerprint and few anchors to many.
+PLANS = ((3, "hamming"), (3, "full"), (2, "hamming31"), (2, "full"))
+
+
+def _widths(blocks: int) -> list[int]:
+    return [BITS // blocks + (i < BITS % blocks) for i in range(blocks)]
+
+
+def cell_load(count: int, max_distance: int, blocks: int, code: str) -> float:
+    """Mean size of the cells of the narrowest block for ``count`` fingerprints."""
+    checks, radius, _ = CODES[code]
+    width = max(23, min(_widths(blocks))) if code == "golay" else min(_widths(blocks))
+    reach = sum(comb(width, w) for w in range(radius + max_distance // blocks + 1))
+    return count * reach / 2**checks / 2 ** (min(_widths(blocks)) - checks)
+
+
+def choose_plan(count: int, max_distance: int, cell_limit: int) -> tuple[int, str]:
+    """The first of ``PLANS`` whose cells hold ``cell_limit`` fingerprints at most on average, else that of the smallest."""
+    fits = [p for p in PLANS if cell_load(count, max_distance, *p) <= cell_limit]
+    return fits[0] if fits else min(PLANS, key=lambda p: cell_load(count, max_distance, *p))
+
+
 class Anchors:
     """A covering code for each block of a fingerprint.
 
-    ``hamming``: the perfect [15, 11] code of radius 1 on the first 15 bits of a block, the further bits as they are.
-    ``golay``: the perfect [23, 12] code of radius 3 on the block, padded with zeros: fewer anchors, and fewer copies.
+    ``hamming``: the perfect [15, 11] code of radius 1 on the first 15 bits of a block, the further bits as they are;
+    ``hamming31``: the same with the [31, 26] code. ``full``: every value, of radius 0. ``golay``: the perfect [23, 12] code
+    of radius 3 on the block, padded with zeros: fewer anchors, and fewer copies.
     """
 
     def __init__(self, max_distance: int, blocks: int, code: str):
-        widths = [BITS // blocks + (i < BITS % blocks) for i in range(blocks)]
-        spread = max_distance // blocks
-        if code == "hamming":
-            made = {w: Code([i + 1 if i < 15 else 0 for i in range(w)], 1 + spread) for w in set(widths)}
-        elif code == "golay" and max(widths) <= 23:
-            made = dict.fromkeys(widths, Code(_golay_checks(), 3 + spread))
-        else:
+        widths = _widths(blocks)
+        checks, radius, syndrome = CODES[code]
+        if code == "golay" and max(widths) > 23 or code.startswith("hamming") and min(widths) < 2**checks - 1:
             raise ValueError(f"no covering code {code!r} for blocks of {max(widths)} bits")
+        reach = radius + max_distance // blocks
+        made = {w: Code([syndrome(i) for i in range(23 if code == "golay" else w)], reach) for w in set(widths)}
         self.blocks = [(sum(widths[:i]), w, made[w]) for i, w in enumerate(widths)]
+        self.copies = sum(int(c.counts.max()) for *_, c in self.blocks)
 
     def cells(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For uint64 fingerprints: index of the fingerprint, cell (block and anchor), and whether the cell is its home."""
@@ -202,19 +235,20 @@ def _search(fps: np.ndarray, home: np.ndarray, max_distance: int) -> tuple[np.nd
 
 
 def link_fingerprints(
-    distinct: DataFrame, max_distance: int, blocks: int, code: str, cell_limit: int, scratch: Scratch
+    distinct: DataFrame, max_distance: int, plan: tuple[int, str] | None, cell_limit: int, scratch: Scratch
 ) -> DataFrame:
     """Component of each distinct fingerprint that is linked to another: ``(node, root)``, both fingerprints."""
     spark = distinct.sparkSession
-    anchors = Anchors(max_distance, blocks, code)
+    anchors = Anchors(max_distance, *(plan or choose_plan(distinct.count(), max_distance, cell_limit)))
+    step = max(16, (1 << 18) // anchors.copies)
     schema = "cell bigint, away boolean, fp bigint"
 
     @tidy
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(fps), 4096):
-                some = fps[at : at + 4096]
+            for at in range(0, len(fps), step):
+                some = fps[at : at + step]
                 index, cell, home = anchors.cells(some)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell), pa.array(~home), pa.array(some[index].view(np.int64))], ["cell", "away", "fp"]
@@ -278,8 +312,7 @@ def simhash_components(
     *,
     shingle: int = 5,
     max_distance: int = 4,
-    blocks: int = 3,
-    code: str = "hamming",
+    plan: tuple[int, str] | None = None,
     cell_limit: int = 20_000,
 ) -> DataFrame:
     """Near-duplicate components of all rows: ``(id, fp, component)``.
@@ -287,12 +320,16 @@ def simhash_components(
     ``fp`` is the fingerprint as a signed long, ``component`` the smallest id that links reach. One row comes out for each
     row of ``docs``, repeated rows included. A null or blank text has fingerprint 0 and is linked like any other. A row
     whose id is null takes part in links, but is never the smallest; in a component of such rows alone, the component is
-    null. An empty table gives no rows. Other columns of ``docs`` are not read.
+    null. An empty table gives no rows. Other columns of ``docs`` are not read. ``plan`` names blocks and code of the
+    anchors; without it they follow from the number of different fingerprints.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(fingerprints(docs, id_col, text_col, shingle))
+    return _components(scratch.write(fingerprints(docs, id_col, text_col, shingle)), max_distance, plan, cell_limit, scratch)
+
+
+def _components(marked: DataFrame, max_distance: int, plan: tuple[int, str] | None, cell_limit: int, scratch: Scratch) -> DataFrame:
     distinct = scratch.write(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    linked = link_fingerprints(distinct, max_distance, blocks, code, cell_limit, scratch)
+    linked = link_fingerprints(distinct, max_distance, plan, cell_limit, scratch)
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -371,7 +408,7 @@ def _settle_large(left: DataFrame, similarity: float, block_texts: int, scratch:
     gone = []
     while not left.isEmpty():
         order = Window.partitionBy("component").orderBy(F.col("least").asc_nulls_last(), "sha")
-        first = left.select("component", "least", "sha", F.size("shingles").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= block_texts)
+        first = left.select("component", "least", "sha", "n").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= block_texts)
         first = first.withColumn("total", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         first = scratch.write(first.where((F.col("total") <= BLOCK_SHINGLES) | (F.col("rank") == 1)).select("sha"))
         block = scratch.write(left.join(first, "sha", "left_semi"))
@@ -382,9 +419,9 @@ def _settle_large(left: DataFrame, similarity: float, block_texts: int, scratch:
         left = rest
         if rest.isEmpty():
             break
-        parts = rest.groupBy("component").agg(F.ceil(F.sum(F.size("shingles")) / F.lit(BLOCK_SHINGLES)).cast("int").alias("n")).select("component", F.greatest("n", F.lit(1)).alias("n"))
-        stay = block.join(out, "sha", "left_anti").join(parts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        ask = rest.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("sha"), F.col("n")).cast("int"))
+        parts = rest.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("k")).select("component", F.greatest("k", F.lit(1)).alias("k"))
+        stay = block.join(out, "sha", "left_anti").join(parts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        ask = rest.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("sha"), F.col("k")).cast("int"))
         near = scratch.write(_settle(_dealt(stay, F.col("part"), True, True).unionByName(_dealt(ask, F.col("part"), False, False)), similarity))
         gone.append(near)
         left = scratch.write(rest.join(near, "sha", "left_anti"))
@@ -394,8 +431,8 @@ def _settle_large(left: DataFrame, similarity: float, block_texts: int, scratch:
 
 
 #: MinHash bands for candidates: a pair of similarity s shares one with probability 1 - (1 - s**BAND_ROWS)**BANDS, which is
-#: 0.999995 at 0.8 and more above.
-BANDS, BAND_ROWS = 40, 6
+#: 0.9994 at 0.8 and more above, and 0.003 at 0.3, so that texts which share a passage alone make no large components.
+BANDS, BAND_ROWS = 40, 8
 _draw = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 _MASKS, _FACTORS = _draw[0] << np.uint64(1), (_draw[1] << np.uint64(1)) | np.uint64(1)
 
@@ -418,11 +455,12 @@ def _band_links(texts: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 some = batch.slice(at, 1024)
-                keys = np.array([band_keys(shingle_hashes(t.as_py(), shingle)) for t in some.column(1)], dtype=np.uint64).ravel()
-                nodes = np.repeat(some.column(0).to_numpy(), BANDS)
+                nodes, first = np.unique(some.column(0).to_numpy(), return_index=True)  # copies of a text once
+                keys = np.array([band_keys(shingle_hashes(some.column(1)[int(i)].as_py(), shingle)) for i in first], dtype=np.uint64).ravel()
+                nodes = np.repeat(nodes, BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], ["band", "node"])
 
-    bands = scratch.write(texts.mapInArrow(run, "band bigint, node bigint"))
+    bands = scratch.write(texts.mapInArrow(run, "band bigint, node bigint").distinct())
     first = bands.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("band", "b")
     return bands.join(first, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
@@ -432,29 +470,6 @@ def _node(sha: str):
     return F.conv(F.substring(sha, 1, 15), 16, 10).cast("bigint")
 
 
-def _settle_small(groups: DataFrame, similarity: float) -> DataFrame:
-    """Texts of small groups that go: in the order of ids, a text goes if it is alike one that stays. ``(sha)``."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, stay = None, []
-        for batch in batches:
-            gone = []
-            for i, (group, sha) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if group != now:
-                    now, stay = group, []
-                mine = batch.column(2)[i].values.to_numpy()
-                if any(_alike(mine, other, similarity) for other in stay):
-                    gone.append(sha)
-                else:
-                    stay.append(mine.copy())
-            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], ["sha"])
-
-    n = shuffle_partitions(groups.sparkSession)
-    ordered = groups.repartition(n, "component").sortWithinPartitions("component", F.col("least").asc_nulls_last(), "sha")
-    return ordered.select("component", "sha", "shingles").mapInArrow(run, "sha string")
-
-
 def drop_near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -463,66 +478,68 @@ def drop_near_duplicates(
     shingle: int = 5,
     similarity: float = 0.8,
     fingerprint_shingle: int = 2,
-    max_distance: int = 8,
-    small_group: int = 256,
+    max_distance: int = 4,
+    block_texts: int = 2048,
 ) -> DataFrame:
     """Rows of ``docs`` that stay when one of each group of near duplicates does; all columns stay.
 
     Texts are near duplicates if their sets of ``shingle``-word shingles have that Jaccard similarity. Candidates are the
     components of two kinds of links: those of ``simhash_components`` over ``fingerprint_shingle`` words, whose fingerprints
     move less under an edit than those of long shingles, and shared MinHash bands of the ``shingle``-word shingles, as a
-    pair of similarity 0.8 may lie far beyond ``max_distance`` bits: 5 pairs in a million of just 0.8 have no band. Within a component texts go in the order of their smallest id, nulls last: a text is
-    dropped if it is near a text that stays, and only then. A component of more than ``small_group`` different texts, or of
-    more than ``BLOCK_SHINGLES`` shingles, is settled in blocks of at most eight times that, one after the other, with the
-    same result.
+    pair of similarity 0.8 may lie far beyond ``max_distance`` bits: 6 pairs in 10,000 of just 0.8 have no band. Within a
+    component texts go in the order of their smallest id, nulls last: a text is dropped if it is near a text that stays, and
+    only then. A task settles ``block_texts`` texts and ``BLOCK_SHINGLES`` shingles of a component; of a larger one all other
+    texts are compared with those of the block that stay, and the next block follows, with the same result.
 
     Of rows with one text the one of the smallest id stays, of equal rows one. Null, empty and blank texts are near each
-    other. An empty table gives no rows.
+    other. An empty table gives no rows. Rows meet by text and id, so no task gets all copies of a text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    taken = set(docs.columns)
-    key = next(n for i in range(len(taken) + 1) if (n := f"text_sha_{i}") not in taken)
-    text = F.col(f"`{text_col}`")
+    key, stay_id, stay_sha = (fresh(docs, n) for n in ("text_sha", "stay_id", "stay_sha"))
+    text, own = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     marked = docs.withColumn(key, F.sha2(F.coalesce(text, F.lit("")), 256))
-    rows = scratch.write(marked.groupBy(F.col(f"`{id_col}`").alias("id"), F.col(key).alias("sha")).count())
-    least = rows.groupBy("sha").agg(F.min("id").alias("least"))
-    found = simhash_components(marked, key, text_col, shingle=fingerprint_shingle, max_distance=max_distance, blocks=3, code="golay")
-    links = found.select(_node("id").alias("a"), _node("component").alias("b")).where("a <> b").distinct()
-    links = links.unionByName(_band_links(marked.select(_node(key).alias("node"), text.alias("text")), shingle, scratch))
+    rows = scratch.write(marked.groupBy(own.alias("id"), F.col(key).alias("sha")).count())
+    least = scratch.write(rows.groupBy("sha").agg(F.min("id").alias("least")))
+    nodes = marked.select(_node(key).alias("node"), text.alias("text"))
+    prints = scratch.write(fingerprints(nodes, "node", "text", fingerprint_shingle).distinct())
+    found = _components(prints, max_distance, None, 20_000, scratch)
+    links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
+    links = links.unionByName(_band_links(nodes, shingle, scratch))
     linked = connected_components(links, "a", "b", scratch)
-    nodes = least.select("sha", _node("sha").alias("node"))
-    found = scratch.write(nodes.join(linked, "node", "left").select("sha", F.coalesce("root", "node").alias("component")))
-    several = found.groupBy("component").count().where("count > 1")
-    members = scratch.write(found.join(several, "component").join(least, "sha").select("component", "count", "sha", "least"))
+    named = least.withColumn("node", _node("sha")).join(linked, "node", "left")
+    found = scratch.write(named.select("sha", "least", F.coalesce("root", "node").alias("component")))
+    several = found.groupBy("component").agg(F.count("*").alias("count")).where("count > 1")
+    members = scratch.write(found.join(several, "component").select("component", "count", "sha", "least"))
 
     @tidy
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
-                made = pa.array([shingle_hashes(t.as_py(), shingle) for t in some.column(4)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(4)), made], ["component", "count", "sha", "least", "shingles"])
+                made = [shingle_hashes(t.as_py(), shingle) for t in some.column(4)]
+                columns = [*(some.column(i) for i in range(4)), pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["component", "count", "sha", "least", "n", "shingles"])
 
     # One row stands for its text: that of the smallest id, and any of several equal ones.
-    held = marked.select(F.col(key).alias("sha"), text.alias("text"), F.col(f"`{id_col}`").alias("id")).join(members, "sha").where(F.col("id").eqNullSafe(F.col("least")))
-    schema = f"component bigint, count bigint, sha string, least {members.schema['least'].dataType.simpleString()}, shingles array<bigint>"
-    held = held.select("component", "count", "sha", "least", "text").mapInArrow(shingles, schema)
-    held = scratch.write(held)
-    if rows.where("count > 1").limit(1).count():
+    stands = (F.col(key) == F.col("sha")) & F.col(stay_id).eqNullSafe(F.col("least"))
+    held = marked.select(key, own.alias(stay_id), text.alias(stay_sha)).join(members.hint("merge"), stands)
+    schema = f"component bigint, count bigint, sha string, least {members.schema['least'].dataType.simpleString()}, n bigint, shingles array<bigint>"
+    held = scratch.write(held.select("component", "count", "sha", "least", stay_sha).mapInArrow(shingles, schema))
+    twice = scratch.write(rows.where("count > 1").select(F.col("id").alias(stay_id), F.col("sha").alias(stay_sha)))
+    repeats = not twice.isEmpty()
+    if repeats:
         held = scratch.write(held.dropDuplicates(["sha"]))
-    sizes = scratch.write(held.groupBy("component").agg(F.sum(F.size("shingles")).alias("n")).where(F.col("n") > BLOCK_SHINGLES).select("component", F.lit(True).alias("long")))
+    size = held.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("texts"))
+    sizes = scratch.write(size.where((F.col("total") > BLOCK_SHINGLES) | (F.col("texts") > block_texts)).select("component", F.lit(True).alias("large")))
     held = held.join(sizes, "component", "left")
-    large = (F.col("count") > small_group) | F.col("long").isNotNull()
-    gone = [scratch.write(_settle(_dealt(held.where(~large), F.lit(0), False, True), similarity))]
-    gone += _settle_large(scratch.write(held.where(large).select("component", "least", "sha", "shingles")), similarity, 8 * small_group, scratch)
-    dropped = scratch.write(gone[0] if len(gone) == 1 else reduce(DataFrame.unionByName, gone))
-    out_rows = rows.join(least, "sha").where(~F.col("id").eqNullSafe(F.col("least"))).select("id", "sha")
-    out_rows = out_rows.unionByName(rows.join(dropped, "sha").select("id", "sha")).distinct()
-    out_rows = scratch.write(out_rows.select(F.col("id").alias("__id"), F.col("sha").alias("__sha")))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__sha"))
-    stay = marked.join(out_rows, same, "left_anti")
-    twice = scratch.write(rows.where("count > 1").select(F.col("id").alias("__id"), F.col("sha").alias("__sha")))
-    if not twice.isEmpty():
+    gone = [scratch.write(_settle(_dealt(held.where("large is null"), F.lit(0), False, True), similarity))]
+    if not sizes.isEmpty():
+        gone += _settle_large(scratch.write(held.where("large").select("component", "least", "sha", "n", "shingles")), similarity, block_texts, scratch)
+    dropped = reduce(DataFrame.unionByName, gone)
+    stayers = scratch.write(least.join(dropped, "sha", "left_anti").select(F.col("least").alias(stay_id), F.col("sha").alias(stay_sha)))
+    same = own.eqNullSafe(F.col(stay_id)) & (F.col(key) == F.col(stay_sha))
+    stay = marked.join(stayers.hint("merge"), same, "left_semi")
+    if repeats:
         stay = stay.join(twice, same, "left_anti").unionByName(stay.join(twice, same, "left_semi").dropDuplicates([id_col, key]))
     return stay.drop(key)

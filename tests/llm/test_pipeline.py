@@ -23,9 +23,10 @@ def test_one_of_each_group_stays(spark):
             rows.append((100 + 10 * i + j, " ".join(edited)))
         rows.append((1000 + i, " ".join(w)))
     rows += [(2000, None), (2001, ""), (2002, " "), (3, rows[3][1]), (3, rows[3][1]), (None, rows[4][1]), (None, "alone and null"), (None, "alone and null")]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, sha string")
-    for small in (256, 1):
-        got = simhash.drop_near_duplicates(docs, small_group=small).collect()
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, sha string, __id string, text_sha_0 string")
+    for block in (2048, 1):
+        got = simhash.drop_near_duplicates(docs, block_texts=block).collect()
+        assert all(tuple(r)[2:] == ("x", "y", "z") for r in got)
         kept = [(r.doc_id, r.text) for r in got]
         assert len(kept) == len(set(kept)) and all(k in rows for k in kept)
         assert {d for d, _ in kept} == {*range(25), 2000, None}
@@ -101,5 +102,31 @@ def test_large_components_are_settled_exactly(spark):
             stay.append(i)
     assert 300 < len(stay) < 420
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (256, 10):
-        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, small_group=small).collect()) == stay
+    for block in (2048, 120):
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, block_texts=block).collect()) == stay
+
+
+def test_chains_leave_no_text_without_a_kept_neighbour(spark):
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = []
+    for _ in range(40):  # each text is near the one before it, and the ends of a chain are not near each other
+        w = [word() for _ in range(100)]
+        for _ in range(15):
+            rows.append((int(rng.integers(0, 1 << 40)), " ".join(w)))
+            w = list(w)
+            for at in rng.choice(100, 2, replace=False):
+                w[int(at)] = word()
+    sets, stay = {d: set(simhash.shingle_hashes(t, 5).tolist()) for d, t in rows}, []
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    for d in sorted(sets):
+        if not any(near(d, k) for k in stay):
+            stay.append(d)
+    docs = spark.createDataFrame(rows + [(-1 - i, rows[7][1]) for i in range(600)], "doc_id long, text string")
+    want = {-600 if d == rows[7][0] else d for d in stay}
+    for block in (2048, 6):
+        kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, block_texts=block).collect()}
+        sets[-600] = sets[rows[7][0]]
+        assert all(any(near(d, k) for k in kept) for d in sets)
+        assert not any(near(a, b) for a in kept for b in kept if a < b)
+        assert len(kept) <= 1.1 * len(want)

@@ -42,7 +42,7 @@ def rows_of(df):
     return sorted(((r.id, r.fp & (2**64 - 1), r.component) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize(("code", "distance", "blocks"), [("hamming", 4, 3), ("golay", 8, 3), ("hamming", 3, 4)])
+@pytest.mark.parametrize(("code", "distance", "blocks"), [("hamming", 4, 3), ("golay", 8, 3), ("hamming", 3, 4), ("full", 4, 3), ("hamming31", 4, 2), ("full", 3, 2)])
 def test_anchors_cover_every_pair_within_the_distance(code, distance, blocks):
     rng = np.random.default_rng(1)
     anchors = simhash.Anchors(distance, blocks, code)
@@ -90,5 +90,17 @@ def test_dense_cells_keep_every_link(spark):
     assert len(a) == len(seen) - 1  # a forest: as many edges as nodes reached from a root
 
 
+def test_anchors_grow_with_the_fingerprints(spark):
+    plans = [simhash.choose_plan(10**n, 4, 20_000) for n in (3, 6, 8, 9, 10, 11)]
+    assert plans[0] == plans[2] == (3, "hamming") and plans[3] == (3, "full") and plans[4] == (2, "hamming31") and plans[5] == (2, "full")
+    assert all(simhash.cell_load(10**n, 4, *p) <= 20_000 for n, p in zip((3, 6, 8, 9, 10, 11), plans))
+    rng = np.random.default_rng(5)
+    base = [" ".join(f"w{rng.integers(0, 90)}" for _ in range(60)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t + " tail") for i, t in enumerate(base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for plan in simhash.PLANS:
+        assert rows_of(simhash.simhash_components(docs, shingle=4, plan=plan)) == brute_components(rows, 4, 4), plan
+
+
 def test_empty_table(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
