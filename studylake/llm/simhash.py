@@ -507,25 +507,24 @@ def drop_near_duplicates(
     links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
     links = links.unionByName(_band_links(nodes, shingle, scratch))
     linked = connected_components(links, "a", "b", scratch)
-    named = least.withColumn("node", _node("sha")).join(linked, "node", "left")
-    found = scratch.write(named.select("sha", "least", F.coalesce("root", "node").alias("component")))
-    several = found.groupBy("component").agg(F.count("*").alias("count")).where("count > 1")
-    members = scratch.write(found.join(several, "component").select("component", "count", "sha", "least"))
+    # Texts that have a link, roots among them; all others stay.
+    several = linked.unionByName(linked.select(F.col("root").alias("node"), "root")).distinct()
+    members = scratch.write(least.withColumn("node", _node("sha")).join(several, "node").select(F.col("root").alias("component"), "sha", "least"))
 
     @tidy
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
-                made = [shingle_hashes(t.as_py(), shingle) for t in some.column(4)]
-                columns = [*(some.column(i) for i in range(4)), pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["component", "count", "sha", "least", "n", "shingles"])
+                made = [shingle_hashes(t.as_py(), shingle) for t in some.column(3)]
+                columns = [*(some.column(i) for i in range(3)), pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["component", "sha", "least", "n", "shingles"])
 
     # One row stands for its text: that of the smallest id, and any of several equal ones.
     stands = (F.col(key) == F.col("sha")) & F.col(stay_id).eqNullSafe(F.col("least"))
     held = marked.select(key, own.alias(stay_id), text.alias(stay_sha)).join(members.hint("merge"), stands)
-    schema = f"component bigint, count bigint, sha string, least {members.schema['least'].dataType.simpleString()}, n bigint, shingles array<bigint>"
-    held = scratch.write(held.select("component", "count", "sha", "least", stay_sha).mapInArrow(shingles, schema))
+    schema = f"component bigint, sha string, least {members.schema['least'].dataType.simpleString()}, n bigint, shingles array<bigint>"
+    held = scratch.write(held.select("component", "sha", "least", stay_sha).mapInArrow(shingles, schema))
     twice = scratch.write(rows.where("count > 1").select(F.col("id").alias(stay_id), F.col("sha").alias(stay_sha)))
     repeats = not twice.isEmpty()
     if repeats:
