@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import relational as rel
+from .store import written
 
 
 @dataclass(frozen=True)
@@ -28,11 +30,7 @@ class Settings:
     def problems(self) -> list[str]:
         """Ranges and pairs that do not hold; empty if the settings are valid."""
         found = [f"{k} must be from {low} to {high}" for k, (low, high) in RANGES.items() if not low <= asdict(self)[k] <= high]
-        for small, large in (
-            ("quick_context_max_tokens", "study_context_max_tokens"),
-            ("quick_context_percent", "study_context_percent"),
-            ("digest_older_message_characters", "digest_latest_message_characters"),
-        ):
+        for small, large in ORDERED:
             if asdict(self)[large] < asdict(self)[small]:
                 found.append(f"{large} must be at least {small}")
         return found
@@ -52,6 +50,20 @@ RANGES = {
 }
 
 
+#: Settings of which the second must be the first at least.
+ORDERED = (
+    ("quick_context_max_tokens", "study_context_max_tokens"),
+    ("quick_context_percent", "study_context_percent"),
+    ("digest_older_message_characters", "digest_latest_message_characters"),
+)
+
+
+def settings_problems() -> Column:
+    """``Settings.problems`` for a table with a column for each setting (CTX-8): what does not hold, an empty array if all does."""
+    ranges = [F.when(~F.col(k).between(low, high), f"{k} must be from {low} to {high}") for k, (low, high) in RANGES.items()]
+    return F.array_compact(F.array(*ranges, *(F.when(F.col(large) < F.col(small), f"{large} must be at least {small}") for small, large in ORDERED)))
+
+
 def full_estimate(text: Column, branch_json: Column, s: Settings) -> Column:
     """Tokens of text, branch and the reserve (CTX-3)."""
     return tx.token_estimate(text) + tx.token_estimate(branch_json) + s.reserved_prompt_tokens
@@ -125,19 +137,21 @@ def active_branch(threads: DataFrame, messages: DataFrame, limit: int = 32) -> D
 
     ``threads``: thread_id, parent_message_id; ``messages``: message_id, thread_id, created_at. ``cutoff`` is the time up to
     which an ancestor's messages count, null for the leaf. A cycle ends at the limit. The parents are resolved first, so a
-    step of the recursion is one join, and steps are as many as the deepest thread's.
+    level is one join; levels are as many as the deepest thread has, ``limit`` at most, and rows are not bounded.
     """
     up = threads.select("thread_id", "parent_message_id").join(
         messages.select(F.col("message_id").alias("parent_message_id"), F.col("thread_id").alias("parent_thread"), "created_at"), "parent_message_id"
     )
-    up.select("thread_id", "parent_thread", "created_at").createOrReplaceTempView("__branch_up")
-    threads.select("thread_id").createOrReplaceTempView("__branch_leaf")
-    return threads.sparkSession.sql(f"""
-        WITH RECURSIVE walk(leaf_id, depth, thread_id, cutoff) AS (
-          SELECT thread_id, 0, thread_id, CAST(NULL AS TIMESTAMP_NTZ) FROM __branch_leaf
-          UNION ALL
-          SELECT w.leaf_id, w.depth + 1, u.parent_thread, CAST(u.created_at AS TIMESTAMP_NTZ) FROM walk w JOIN __branch_up u ON u.thread_id = w.thread_id WHERE w.depth + 1 < {int(limit)}
-        ) SELECT * FROM walk""")
+    up = written(up.select("thread_id", "parent_thread", F.col("created_at").cast("timestamp_ntz").alias("cutoff")), "branch")
+    level = written(threads.select(F.col("thread_id").alias("leaf_id"), F.lit(0).alias("depth"), "thread_id", F.lit(None).cast("timestamp_ntz").alias("cutoff")), "branch")
+    levels = [level]
+    while len(levels) < limit:
+        step = level.select("leaf_id", "depth", "thread_id").join(up, "thread_id")
+        level = written(step.select("leaf_id", (F.col("depth") + 1).alias("depth"), F.col("parent_thread").alias("thread_id"), "cutoff"), "branch")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def branch_messages(branch: DataFrame, messages: DataFrame) -> DataFrame:

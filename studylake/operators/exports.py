@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .relational import numbered
 
 INLINE, FOOTNOTE = 400, 1200
 DEFAULT_NOTE = "Highlighted without a note."
@@ -19,10 +20,10 @@ def placement(note: Column) -> Column:
 
 def footnotes(notes: DataFrame, key: str, order: str, quote: str, note: str) -> DataFrame:
     """``(key, ordinal, line)``: numbered footnotes of each document, a sentence where the note is empty (EX-4)."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long")
     body = tx.or_else(F.col(note), F.lit(DEFAULT_NOTE))
     line = F.concat(F.lit("[^"), F.col("ordinal").cast("string"), F.lit("]: "), body)
-    return notes.withColumn("ordinal", n).select(key, "ordinal", line.alias("line"), F.concat(F.lit("> "), F.col(quote), F.lit(" [^"), F.col("ordinal").cast("string"), F.lit("]")).alias("quote"))
+    marked = F.concat(F.lit("> "), F.col(quote), F.lit(" [^"), F.col("ordinal").cast("string"), F.lit("]"))
+    return numbered(notes, key, order, "ordinal").select(key, "ordinal", line.alias("line"), marked.alias("quote"))
 
 
 def notebook(notes: DataFrame, key: str, order: str, quote: str, note: str) -> DataFrame:
@@ -44,13 +45,40 @@ def embed_assets(pages: DataFrame, assets: DataFrame, key: str, html: str) -> Da
     return pages.join(listed, key, "left").withColumn(html, swap).drop("__assets")
 
 
-def export_data(documents: DataFrame, versions: DataFrame, highlights: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Newest version of each document with checked highlights by offset and promoted artifacts by time (EX-1)."""
-    newest = versions.groupBy("document_id").agg(F.max_by(F.struct("version", "version_id", "canonical_text"), "version").alias("v"))
+def without_scripts(html: Column) -> Column:
+    """HTML without its scripts (EX-1)."""
+    return F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>", "")
+
+
+def export_data(documents: DataFrame, versions: DataFrame, highlights: DataFrame, artifacts: DataFrame, assets: DataFrame | None = None, transcript: DataFrame | None = None) -> DataFrame:
+    """Newest version of each document with checked highlights by offset and promoted artifacts by time (EX-1).
+
+    Where ``versions`` has ``html``, it comes without scripts and, with ``assets`` (version_id, asset_id, mime, content), with
+    these embedded. ``transcript`` (document_id, created_at, role, content) adds the messages of the discussions in order.
+    """
+    values = [c for c in ("version", "version_id", "canonical_text", "html") if c in versions.columns]
+    newest = versions.groupBy("document_id").agg(F.max_by(F.struct(*values), "version").alias("v"))
     notes = highlights.where("checked").groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("start_offset", "exact_quote", "note"))).alias("highlights"))
     kept = artifacts.where("promoted").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "kind", "content"))).alias("artifacts"))
-    out = documents.join(newest, "document_id").select(*documents.columns, "v.version", "v.version_id", "v.canonical_text")
-    return out.join(notes, "version_id", "left").join(kept, "document_id", "left")
+    out = documents.join(newest, "document_id").select(*documents.columns, *(f"v.{c}" for c in values))
+    if "html" in values:
+        out = out.withColumn("html", without_scripts(F.col("html")))
+        out = out if assets is None else embed_assets(out, assets, "version_id", "html")
+    out = out.join(notes, "version_id", "left").join(kept, "document_id", "left")
+    if transcript is None:
+        return out
+    said = transcript.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "role", "content"))).alias("transcript"))
+    return out.join(said, "document_id", "left")
+
+
+def library(exported: DataFrame, key: str, title: str, html: str = "html") -> DataFrame:
+    """``(key, filename, html)``: a page for each exported document under a name of its own (SNK-12)."""
+    return unique_names(exported, key, title).select(key, "filename", html)
+
+
+def log_exports(history: DataFrame, exported: DataFrame, fmt: str, at: Column) -> DataFrame:
+    """The history of exports with new rows (SNK-11): document_id, format, created_at."""
+    return history.unionByName(exported.select("document_id", F.lit(fmt).alias("format"), at.alias("created_at")))
 
 
 def manifest(exported: DataFrame, fields: list[str], name: str = "documents") -> DataFrame:
@@ -63,10 +91,12 @@ def manifest(exported: DataFrame, fields: list[str], name: str = "documents") ->
 
 
 def unique_names(documents: DataFrame, key: str, title: str, suffix: str = ".html", normalize: bool = True) -> DataFrame:
-    """File names that differ even where titles agree: later ones carry their key (HTM-14, SNK-12)."""
+    """File names that differ even where titles agree: all but the first key's carry their key (HTM-14, SNK-12)."""
     named = documents.withColumn("stem", tx.file_stem(F.col(title), normalize=normalize))
-    n = F.row_number().over(Window.partitionBy(F.lower("stem")).orderBy(key))
-    return named.withColumn("n", n).withColumn("filename", F.concat("stem", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col(key).cast("string"))).otherwise(""), F.lit(suffix))).drop("n", "stem")
+    first = named.groupBy(F.lower("stem").alias("__stem")).agg(F.min(key).alias("__first"))
+    joined = named.join(first, F.lower("stem") == F.col("__stem"))
+    tail = F.when(F.col(key) != F.col("__first"), F.concat(F.lit("-"), F.col(key).cast("string"))).otherwise("")
+    return joined.withColumn("filename", F.concat("stem", tail, F.lit(suffix))).drop("__stem", "__first", "stem")
 
 
 def thread_label(quote: Column, title: Column, default: str = "Discussion") -> Column:

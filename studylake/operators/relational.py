@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 
 def newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key by ``order``, with all its columns (JN-4, JN-10, JN-15, SRT-7).
@@ -69,11 +71,26 @@ def running_start(df: DataFrame, key: str, order: str, length: str, gap: int = 2
 
 def messages_json(df: DataFrame, key: str, order: str, fields: list[str], name: str = "messages") -> DataFrame:
     """Rows of a key as a JSON array of objects, in order inside the array (AGG-7)."""
-    rows = F.array_sort(F.collect_list(F.struct(order, *fields)))
-    objects = F.transform(rows, lambda r: F.struct(*(r[f].alias(f) for f in fields)))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*fields).alias("row"))))
+    objects = F.transform(rows, lambda r: r["row"])
     return df.groupBy(key).agg(F.count("*").cast("long").alias("n_messages"), F.to_json(objects).alias(name))
 
 
+def numbered(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """Rows numbered from 1 within their key by ``order``, for keys of any size.
+
+    Rows are sorted into ranges, numbered within a range, and moved up by the rows of the key in the ranges before: a window
+    over the key alone would hold all its rows in one task. ``order`` is unique within a key.
+    """
+    ranged = written(df.repartitionByRange(key, order).withColumn("__range", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy(key, "__range").agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    moved = counts.select(F.col(key).alias("__key"), F.col("__range").alias("__at"), F.coalesce(before, F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(key, "__range").orderBy(order))
+    placed = ranged.withColumn(name, own).join(moved, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__at")))
+    return placed.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).select(*df.columns, name)
+
+
 def first_value(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     """The value of each key's first row (AGG-8)."""
     return df.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))

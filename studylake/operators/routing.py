@@ -98,6 +98,13 @@ def ready(routed: DataFrame, models: DataFrame, providers: DataFrame) -> DataFra
     return routed.join(F.broadcast(owned), "model_id", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))
 
 
+def first_ready(requests: DataFrame, key: list[str], models: DataFrame, profiles: DataFrame, latency: DataFrame, providers: DataFrame, classified: str | None = None) -> DataFrame:
+    """``route`` to the first of the eligible models whose provider is enabled and has a secret (RT-6)."""
+    able = providers.where(F.col("enabled") & F.col("has_secret")).select(F.col("id").alias("provider_id"))
+    routed = route(requests, key, models.join(able, "provider_id", "left_semi"), profiles, latency, classified)
+    return routed.withColumn("ready", F.col("model_id").isNotNull())
+
+
 def attempts(runs: DataFrame) -> DataFrame:
     """Last attempt of each run: ``(run_id, attempts, status)`` from ``(run_id, attempt, status)`` (RT-8)."""
     return runs.groupBy("run_id").agg(F.count("*").alias("attempts"), F.max_by("status", "attempt").alias("status"))

@@ -6,6 +6,11 @@ writes beside the present one.
 
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +88,39 @@ def cancel_jobs(jobs: DataFrame, reason: str) -> DataFrame:
     return jobs.withColumn("error", F.when(live, reason).otherwise(F.col("error"))).withColumn("status", F.when(live, "cancelled").otherwise(F.col("status")))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share. Without that setting a local session
+    takes a temporary folder, and one on a cluster is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/studylake-checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table that is computed once, however often it is read; the folder goes when the interpreter ends."""
+    spark, schema = df.sparkSession, df.schema
+    path = shared_folder(spark, name)
+
+    def drop() -> None:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may be gone when the interpreter ends
+            pass
+
+    atexit.register(drop)
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def expiry(start: Column, days: int = 30) -> Column:
+    """When something that started then expires (TIME)."""
+    return start + F.make_dt_interval(F.lit(days))
+
+
 class Snapshots:
     """A table as numbered folders; a reader takes the highest that was finished, so a failed write is never seen (SNK-1)."""
 

@@ -70,7 +70,7 @@ c AS (SELECT q.conv_id, q.turn, q.profile, q.rule, m.id, m.provider_id, row_numb
 CASE WHEN c.id IS NULL THEN NULL WHEN q.rule IS NOT NULL THEN 'deterministic ' || q.profile || ' rule' ELSE 'freeform deterministic fallback' END AS reason
 FROM q LEFT JOIN c ON c.conv_id = q.conv_id AND c.turn = q.turn AND c.k = 1""")
 def route_model(spark, sf_dir):
-    """RT-2, RT-3, SRT-5, AGG-4: models are named after event types, whose mean values are their latencies."""
+    """RT-2, RT-3, SRT-5, AGG-4, JN-19 (profiles, models and latencies by id): models are named after event types, whose mean values are their latencies."""
     models, profiles = _models(spark)
     events = read(spark, sf_dir, "events").where("event_type <> 'error' and value is not null")
     latency = events.groupBy(F.col("event_type").alias("model_id")).agg(F.round(F.avg("value"), 6).alias("ttft"))
@@ -78,15 +78,15 @@ def route_model(spark, sf_dir):
     return routed.select("conv_id", "turn", "model_id", "reason")
 
 
-@query(f"WITH {_ROUTED} SELECT q.conv_id, q.turn, coalesce(c.provider_id = 'a', false) AS ready FROM q LEFT JOIN c ON c.conv_id = q.conv_id AND c.turn = q.turn AND c.k = 1")
+@query(f"""WITH {_ROUTED}, k AS (SELECT conv_id, turn, arg_min(id, k) AS id FROM c WHERE provider_id = 'b' GROUP BY 1, 2)
+SELECT q.conv_id, q.turn, k.id AS model_id, k.id IS NOT NULL AS ready FROM q LEFT JOIN k ON k.conv_id = q.conv_id AND k.turn = q.turn""")
 def model_readiness(spark, sf_dir):
-    """PRJ-5, RT-6: one provider has a secret, the other none."""
+    """PRJ-5, RT-6: the first eligible model of a ready provider; one provider has a secret, the other none."""
     models, profiles = _models(spark)
     events = read(spark, sf_dir, "events").where("event_type <> 'error' and value is not null")
     latency = events.groupBy(F.col("event_type").alias("model_id")).agg(F.round(F.avg("value"), 6).alias("ttft"))
-    routed = routing.route(_requests(spark, sf_dir), ["conv_id", "turn"], models, profiles, latency)
-    providers = spark.createDataFrame([("a", True, True), ("b", True, False)], "id string, enabled boolean, has_secret boolean")
-    return routing.ready(routed, models, providers).select("conv_id", "turn", "ready")
+    providers = spark.createDataFrame([("a", True, False), ("b", True, True)], "id string, enabled boolean, has_secret boolean")
+    return routing.first_ready(_requests(spark, sf_dir), ["conv_id", "turn"], models, profiles, latency, providers).select("conv_id", "turn", "model_id", "ready")
 
 
 @query("""SELECT user_id AS run_id, count(*) AS attempts, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id""")
@@ -128,12 +128,12 @@ def context_article(spark, sf_dir):
     return _tiers(spark, sf_dir).select("doc_id", "profile", text.alias("a")).select("doc_id", "profile", F.length("a").cast("long").alias("article_chars"), F.sha2("a", 256).alias("article_hash"))
 
 
-@query("""SELECT source, count(*) AS note_count, CAST(sum(length(CASE WHEN l.toxic = 1 THEN substr(text, 1, 40) ELSE 'checked' END)) AS BIGINT) AS note_chars
+@query("""SELECT source, count(*) AS note_count, CAST(sum(length(CASE WHEN l.toxic = 1 THEN text ELSE 'checked' END)) AS BIGINT) AS note_chars
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality = 1 GROUP BY source""")
 def curated_notes(spark, sf_dir):
     """CTX-7, JN-1, PRJ-4: labels of quality 1 as checked highlights; toxic ones have an empty note and fall back to the quote."""
     docs, labels = read(spark, sf_dir, "documents", "labels")
-    anchors = docs.select(F.col("doc_id").alias("anchor_id"), F.col("source").alias("version"), F.substring("text", 1, 40).alias("exact_quote"))
+    anchors = docs.select(F.col("doc_id").alias("anchor_id"), F.col("source").alias("version"), F.col("text").alias("exact_quote"))
     highlights = labels.select(F.col("doc_id").alias("anchor_id"), (F.col("quality") == 1).alias("checked"), F.when(F.col("toxic") == 1, "").otherwise("checked").alias("note"))
     notes = context.curated_notes(highlights, anchors, "version")
     return notes.groupBy(F.col("version").alias("source")).agg(F.count("*").alias("note_count"), F.sum(F.length("note")).cast("long").alias("note_chars"))
@@ -145,7 +145,7 @@ g AS (SELECT conv_id, string_agg(i || '. ' || role || ': ' || substr(text, 1, CA
 
 @query(f"WITH {_BRANCH} SELECT conv_id, length(digest) AS digest_chars, sha256(digest) AS digest_hash FROM g")
 def branch_digest(spark, sf_dir):
-    """CTX-6. Texts are cut before they are shuffled: an older message to its length, any to the latest's."""
+    """CTX-6, ARRAY. Texts are cut before they are shuffled: an older message to its length, any to the latest's."""
     s = context.Settings()
     turns = read(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
     cut = turns.select("conv_id", F.struct("turn", "role", F.substring("text", 1, s.digest_latest_message_characters).alias("content")).alias("m"))

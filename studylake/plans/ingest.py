@@ -42,7 +42,7 @@ def path_normalize(spark, sf_dir):
 
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://www.youtube-nocookie.com/embed/video' || page_id || '?start=5&rel=0' END AS embed FROM pages""")
 def video_url(spark, sf_dir):
-    """HTM-8: known hosts keep known parameters, in their order; others and plain pages give none."""
+    """HTM-8, TXT-9 (address parts and parameters): known hosts keep known parameters, in their order; others and plain pages give none."""
     k, n = F.col("page_id") % 3, F.col("page_id").cast("string")
     value = F.when(k == 0, F.concat(F.lit("https://www.youtube.com/embed/video"), n, F.lit("?rel=0&x=1&start=5"))).when(k == 1, F.concat(F.lit("https://example.org/embed/video"), n)).otherwise(F.col("url"))
     return read(spark, sf_dir, "pages").select("page_id", assets.embed_url_column(value).alias("embed"))

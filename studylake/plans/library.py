@@ -17,7 +17,8 @@ c AS (SELECT d.source, d.lang, count(*) AS n FROM documents d JOIN labels l ON l
 SELECT v.doc_id, v.source AS group_name, CAST(ceil(length(text) / 4.0) AS BIGINT) AS token_estimate, coalesce(c.n, 0) AS checked_count, v.version
 FROM v LEFT JOIN c ON c.source = v.source AND c.lang = v.lang WHERE back = 1""")
 def library_shelf(spark, sf_dir):
-    """JN-4, JN-6, AGG-1, SRT-1: newest version of each article with the checked labels of all its versions. Documents of one
+    """JN-4, JN-6, AGG-1, SRT-1, PRJ-1 (a row's columns with computed ones): newest version of each article with the checked
+    labels of all its versions. Documents of one
     source and language are an article's versions; the version number is their count, so no text is sorted or numbered."""
     docs, labels = read(spark, sf_dir, "documents", "labels")
     keys = ["source", "lang"]
@@ -106,12 +107,11 @@ def next_version(spark, sf_dir):
     return rel.next_version(customer.select(F.col("c_custkey").alias("o_custkey")), orders, "o_custkey")
 
 
-@query("""SELECT conv_id, count(*) AS n_messages, string_agg(role || ':' || length(text), ',' ORDER BY turn) AS messages FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, count(*) AS n_messages, '[' || string_agg('{"turn":' || turn || ',"role":' || to_json(role) || ',"content":' || to_json(text) || '}', ',' ORDER BY turn) || ']' AS messages FROM conversations GROUP BY conv_id""")
 def thread_json_aggregate(spark, sf_dir):
-    """AGG-7: messages in order, as a delimited digest of role and length."""
-    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", "role", F.length("text").cast("string")).alias("m"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda s: s["m"])
-    return turns.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.array_join(ordered, ",").alias("messages"))
+    """AGG-7, JSON: a thread's messages in order as a JSON array of objects."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return rel.messages_json(turns, "conv_id", "turn", ["turn", "role", "content"])
 
 
 @query("""SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id""")
@@ -207,10 +207,11 @@ def tag_replace(spark, sf_dir):
     return store.joined_children(store.replace_children(old, new, "doc_id"), "doc_id", "tag", "tags")
 
 
-@query("""SELECT user_id, count(*) AS live FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id""")
+@query("""SELECT user_id, count(*) AS live FROM events WHERE ts + INTERVAL 30 DAY > TIMESTAMP '2024-02-14 00:00:00' GROUP BY user_id""")
 def session_purge(spark, sf_dir):
-    """SNK-10, FLT-8."""
-    left = store.purge(read(spark, sf_dir, "events"), "ts", F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    """SNK-10, FLT-8, TIME: sessions last 30 days; the present is a parameter."""
+    sessions = read(spark, sf_dir, "events").withColumn("expires", store.expiry(F.col("ts")))
+    left = store.purge(sessions, "expires", F.lit("2024-02-14 00:00:00").cast("timestamp_ntz"))
     return left.groupBy("user_id").agg(F.count("*").alias("live"))
 
 

@@ -123,42 +123,42 @@ def note_placement(spark, sf_dir):
 
 
 @query("""SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal,
-'[^' || row_number() OVER (PARTITION BY source ORDER BY doc_id) || ']: ' || CASE WHEN doc_id % 3 = 0 THEN 'Highlighted without a note.' ELSE substr(text, 1, 60) END AS line FROM documents""")
+'[^' || row_number() OVER (PARTITION BY source ORDER BY doc_id) || ']: ' || CASE WHEN doc_id % 3 = 0 OR text = '' THEN 'Highlighted without a note.' ELSE text END AS line FROM documents""")
 def markdown_footnotes(spark, sf_dir):
     """EX-4."""
-    note = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 1, 60))
-    docs = read(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 20).alias("quote"), note.alias("note"))
+    note = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text"))
+    docs = read(spark, sf_dir, "documents").select("source", "doc_id", F.split("text", "\n")[0].alias("quote"), note.alias("note"))
     return exports.footnotes(docs, "source", "doc_id", "quote", "note").select("source", "ordinal", "line")
 
 
-@query("""SELECT page_id, replace(html, 'href=', 'data:text/plain;base64,' || base64(encode('p' || page_id)) || '=') AS html FROM (SELECT page_id, substr(html, 1, 2000) AS html FROM pages)""")
+@query("""SELECT page_id, replace(html, 'href=', 'data:text/plain;base64,' || base64(encode('p' || page_id)) || '=') AS html FROM pages""")
 def asset_inline(spark, sf_dir):
-    """EX-2: each page with one asset of its own. A report of the pages' heads."""
-    pages = read(spark, sf_dir, "pages").select("page_id", F.replace(F.substring("html", 1, 2000), F.lit("href="), F.lit("asset:a1=")).alias("html"))
+    """EX-2, ENC: each page with one asset of its own."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("href="), F.lit("asset:a1=")).alias("html"))
     content = F.encode(F.concat(F.lit("p"), F.col("page_id").cast("string")), "UTF-8")
     assets = pages.select("page_id", F.lit("a1").alias("asset_id"), F.lit("text/plain").alias("mime"), content.alias("content"))
     return exports.embed_assets(pages, assets, "page_id", "html")
 
 
-@query()
+@query("""SELECT page_id, replace(html, 'href=', 'data:text/plain;base64,' || base64(encode('p' || page_id)) || '=') AS html FROM pages""")
 def asset_inline_whole(spark, sf_dir):
-    """EX-2 over whole pages, each with one asset of its own; the SQL of ``asset_inline`` covers 2000 characters alone."""
+    """EX-2 over whole pages, as ``asset_inline``."""
     pages = read(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("href="), F.lit("asset:a1=")).alias("html"))
     content = F.encode(F.concat(F.lit("p"), F.col("page_id").cast("string")), "UTF-8")
     assets = pages.select("page_id", F.lit("a1").alias("asset_id"), F.lit("text/plain").alias("mime"), content.alias("content"))
     return exports.embed_assets(pages, assets, "page_id", "html")
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 300), '[\\x00-\\x1F\\x7F]', ' ', 'g'), '[<>:"/\\\\|?*]', '', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM documents""")
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x1F\\x7F]', ' ', 'g'), '[<>:"/\\\\|?*]', '', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM documents""")
 def filename_clean(spark, sf_dir):
     """HTM-14 but for its compatibility forms, length and dots."""
-    clean = F.regexp_replace(F.substring("text", 1, 300), r"[\x00-\x1F\x7F]", " ")
+    clean = F.regexp_replace("text", r"[\x00-\x1F\x7F]", " ")
     return read(spark, sf_dir, "documents").select("doc_id", tx.collapse(F.regexp_replace(clean, tx.RESERVED, "")).alias("cleaned"))
 
 
-@query()
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x1F\\x7F]', ' ', 'g'), '[<>:"/\\\\|?*]', '', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM documents""")
 def filename_clean_whole(spark, sf_dir):
-    """``filename_clean`` over whole texts, whose SQL covers the first 300 characters alone."""
+    """``filename_clean`` again, under the name that it had for whole texts."""
     clean = F.regexp_replace("text", r"[\x00-\x1F\x7F]", " ")
     return read(spark, sf_dir, "documents").select("doc_id", tx.collapse(F.regexp_replace(clean, tx.RESERVED, "")).alias("cleaned"))
 
@@ -186,11 +186,29 @@ def edit_history(spark, sf_dir):
     return edits.history(revisions, customer.select(F.col("c_custkey").alias("document_id"))).select("document_id", "revision")
 
 
-@query("""SELECT user_id, count(*) AS n_events, min(ts) AS first_ts, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id""")
+_RUN = """e AS (SELECT *, CASE event_type WHEN 'view' THEN 'text_delta' WHEN 'click' THEN 'citation' WHEN 'purchase' THEN 'usage' ELSE 'completed' END AS type FROM events)"""
+
+
+@query(f"""WITH {_RUN}, c AS (SELECT user_id, 'u' || event_id % 5 AS url, min(event_id) AS o FROM e WHERE type = 'citation' GROUP BY 1, 2),
+l AS (SELECT user_id, string_agg(url, ',' ORDER BY o) AS citations FROM c GROUP BY 1)
+SELECT e.user_id, count(*) AS n_events, coalesce(string_agg('d' || event_id, '' ORDER BY event_id) FILTER (WHERE type = 'text_delta'), '') AS answer, min(ts) FILTER (WHERE type = 'text_delta') AS first_text_at,
+  arg_max(event_id % 100, event_id) FILTER (WHERE type = 'usage') AS input_tokens, arg_max(event_id % 10, event_id) FILTER (WHERE type = 'usage') AS output_tokens,
+  arg_max('end' || event_id % 3, event_id) FILTER (WHERE type = 'completed') AS finish_reason, coalesce(max(citations), '') AS citations
+FROM e LEFT JOIN l ON l.user_id = e.user_id GROUP BY e.user_id""")
 def event_fold(spark, sf_dir):
-    """AGG-15, CTX-11: a fold of ordered events."""
-    events = read(spark, sf_dir, "events")
-    return events.groupBy("user_id").agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+    """AGG-15, CTX-11: a user's events as a run's: views are deltas, clicks citations, purchases usage, errors the end."""
+    id_, kind = F.col("event_id"), F.col("event_type")
+    type_ = F.when(kind == "view", "text_delta").when(kind == "click", "citation").when(kind == "purchase", "usage").otherwise("completed")
+    cited = F.when(kind == "click", F.struct(F.lit("t").alias("title"), F.concat(F.lit("u"), (id_ % 5).cast("string")).alias("url")))
+    events = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"), id_.alias("seq"), type_.alias("type"), F.concat(F.lit("d"), id_.cast("string")).alias("delta"), cited.alias("citation"),
+        F.when(kind == "purchase", id_ % 100).alias("input_tokens"), F.when(kind == "purchase", id_ % 10).alias("output_tokens"),
+        F.when(type_ == "completed", F.concat(F.lit("end"), (id_ % 3).cast("string"))).alias("finish_reason"), "ts",
+    )
+    return ev.fold(events).select(
+        F.col("run_id").alias("user_id"), "n_events", "answer", "first_text_at", "usage.input_tokens", "usage.output_tokens", "finish_reason",
+        F.array_join(F.transform("citations", lambda c: c["url"]), ",").alias("citations"),
+    )
 
 
 @query("""SELECT conv_id AS run_id, string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant') AS answer_raw, count(*) AS n_events FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'assistant') > 0""")

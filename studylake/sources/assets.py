@@ -14,12 +14,14 @@ from urllib.parse import parse_qsl, urlencode, urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Media types by extension, limits of archives and images.
 MIME = {"css": "text/css", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "woff": "font/woff", "woff2": "font/woff2", "ttf": "font/ttf", "otf": "font/otf"}
 EXTENSIONS = frozenset(MIME) | {"html", "htm"}
 MAX_HTML, MAX_ZIP, MAX_EXPANDED, MAX_ENTRIES, MAX_RATIO = 10 << 20, 100 << 20, 250 << 20, 1000, 200
 MAX_IMAGE_CHARS, MAX_IMAGE_BYTES = 12 << 20, 8 << 20
+RASTER = ("image/png", "image/jpeg", "image/gif", "image/webp")
 VIDEO_HOSTS = frozenset(("youtube.com", "www.youtube.com", "youtube-nocookie.com", "www.youtube-nocookie.com"))
 VIDEO_PARAMETERS = ("start", "autoplay", "controls", "rel", "loop", "mute", "cc_lang_pref", "cc_load_policy", "hl")
 REMOTE = r"(?i)^(?:https?:|data:|javascript:|vbscript:|file:|//)"
@@ -50,11 +52,40 @@ def normal_path_column(base: Column, value: Column) -> Column:
     return F.when(~bad, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
 
 
+def _css_end(css: str, at: int, stop: str) -> int:
+    """Place after the next ``stop`` outside of quotes, or the end."""
+    quote = ""
+    while at < len(css):
+        c = css[at]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c == stop:
+            return at + 1
+        at += 1
+    return at
+
+
 def safe_css(css: str, rewrite) -> str:
-    """Styles without imports and expressions, addresses rewritten by ``rewrite`` (HTM-7)."""
-    css = re.sub(r"(?is)@import.*?(?:;|$)", "", css)
-    css = re.sub(r"(?i)expression\s*\([^)]*\)", "", css)
-    return re.sub(r"(?i)url\(\s*(['\"]?)(.*?)\1\s*\)", lambda m: f'url("{rewrite(m[2]) or ""}")', css)
+    """Styles without imports and expressions, addresses rewritten by ``rewrite`` (HTM-7): one scan over names before a bracket."""
+    out, at, lower = [], 0, css.lower()
+    while at < len(css):
+        if lower.startswith("@import", at):
+            at = _css_end(css, at, ";")
+        elif lower.startswith("url(", at):
+            end = _css_end(css, at + 4, ")")
+            address = css[at + 4 : end].removesuffix(")").strip()
+            if len(address) > 1 and address[0] == address[-1] and address[0] in "\"'":
+                address = address[1:-1]
+            out.append(f'url("{rewrite(address) or ""}")')
+            at = end
+        elif lower.startswith("expression", at) and lower[at + 10 :].lstrip().startswith("("):
+            at = _css_end(css, at + 10, ")")
+        else:
+            out.append(css[at])
+            at += 1
+    return "".join(out)
 
 
 def image_type(data: bytes) -> str | None:
@@ -69,10 +100,12 @@ def image_type(data: bytes) -> str | None:
 
 def safe_data_uri(value: str) -> str | None:
     """A canonical data URI of a raster image, or None (SRC-8)."""
-    m = re.fullmatch(r"(?i)data:(image/(?:png|jpeg|gif|webp));base64,([a-z0-9+/=\s]+)", value)
-    if not m:
+    head, comma, rest = value.partition(",")
+    scheme, _, kind = head.lower().partition(":")
+    mime, _, coding = kind.partition(";")
+    payload = "".join(rest.split())
+    if (scheme, coding) != ("data", "base64") or mime not in RASTER or not comma or not payload:
         return None
-    mime, payload = m[1].lower(), re.sub(r"\s+", "", m[2])
     bare = payload.rstrip("=")
     if len(payload) > MAX_IMAGE_CHARS or len(bare) % 4 == 1:
         return None
@@ -84,6 +117,12 @@ def safe_data_uri(value: str) -> str | None:
     return f"data:{mime};base64,{payload}" if data and len(data) <= MAX_IMAGE_BYTES and canonical and image_type(data) == mime else None
 
 
+@F.pandas_udf(StringType())
+def safe_data_uri_column(values: pd.Series) -> pd.Series:
+    """``safe_data_uri`` of a column."""
+    return values.map(safe_data_uri, na_action="ignore")
+
+
 def embed_url(value: str) -> str | None:
     """The private address of an embedded video, with the parameters that are known, or None (HTM-8)."""
     try:

@@ -12,30 +12,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.arrays import running
 from .assets import embed_url, normal_path, safe_css, safe_data_uri
 
 # Fixed values of the block model.
-BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre figcaption table img svg figure video".split())
+BLOCKS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote", "pre", "figcaption", "table", "img", "svg", "figure", "video"))
 NESTED = frozenset(("img", "svg", "video"))
 TYPES = {"img": "image", "svg": "svg", "table": "table", "figure": "diagram", "video": "video"}
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements whose contents go with them.
-DROPPED = frozenset("script style form object embed textarea xmp noembed noframes plaintext title".split())
-KEPT = BLOCKS | frozenset(
-    "a abbr address article aside b bdi bdo body br circle cite code col colgroup data dd defs details dfn div dl dt ellipse em footer g head header hgroup hr html i iframe kbd line link main mark nav "
-    "ol path picture polygon polyline q rb rect rp rt rtc ruby s samp section small source span strong sub summary sup symbol tbody td text tfoot th thead time tr u ul use var wbr".split()
-)
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+# Elements whose contents go with them.
+DROPPED = frozenset(("script", "style", "form", "object", "embed", "textarea", "xmp", "noembed", "noframes", "plaintext", "title"))
+KEPT = BLOCKS | frozenset((
+    "a", "abbr", "address", "article", "aside", "b", "bdi", "bdo", "body", "br", "circle", "cite", "code", "col", "colgroup", "data", "dd", "defs", "details", "dfn", "div", "dl", "dt", "ellipse", "em",
+    "footer", "g", "head", "header", "hgroup", "hr", "html", "i", "iframe", "kbd", "line", "link", "main", "mark", "nav", "ol", "path", "picture", "polygon", "polyline", "q", "rb", "rect", "rp", "rt",
+    "rtc", "ruby", "s", "samp", "section", "small", "source", "span", "strong", "sub", "summary", "sup", "symbol", "tbody", "td", "text", "tfoot", "th", "thead", "time", "tr", "u", "ul", "use", "var", "wbr",
+))
 ATTRIBUTES = {
-    "*": "id class title aria-label aria-describedby role",
-    "a": "href name target rel", "img": "src alt width height srcset", "video": "controls width height aria-label", "source": "src srcset type media",
-    "iframe": "src title width height allow allowfullscreen loading referrerpolicy", "link": "href rel media", "svg": "viewbox width height xmlns fill stroke aria-label role",
-    "path": "d fill stroke stroke-width", "g": "transform fill stroke", "circle": "cx cy r fill stroke", "rect": "x y rx ry width height fill stroke", "line": "x1 y1 x2 y2 stroke",
-    "polyline": "points fill stroke", "polygon": "points fill stroke", "ellipse": "cx cy rx ry fill stroke", "text": "x y dx dy text-anchor font-size fill", "use": "href",
-    "table": "summary", "th": "scope colspan rowspan", "td": "colspan rowspan",
+    "*": ("id", "class", "title", "aria-label", "aria-describedby", "role"),
+    "a": ("href", "name", "target", "rel"), "img": ("src", "alt", "width", "height", "srcset"), "video": ("controls", "width", "height", "aria-label"), "source": ("src", "srcset", "type", "media"),
+    "iframe": ("src", "title", "width", "height", "allow", "allowfullscreen", "loading", "referrerpolicy"), "link": ("href", "rel", "media"),
+    "svg": ("viewbox", "width", "height", "xmlns", "fill", "stroke", "aria-label", "role"), "path": ("d", "fill", "stroke", "stroke-width"), "g": ("transform", "fill", "stroke"),
+    "circle": ("cx", "cy", "r", "fill", "stroke"), "rect": ("x", "y", "rx", "ry", "width", "height", "fill", "stroke"), "line": ("x1", "y1", "x2", "y2", "stroke"), "polyline": ("points", "fill", "stroke"),
+    "polygon": ("points", "fill", "stroke"), "ellipse": ("cx", "cy", "rx", "ry", "fill", "stroke"), "text": ("x", "y", "dx", "dy", "text-anchor", "font-size", "fill"), "use": ("href",),
+    "table": ("summary",), "th": ("scope", "colspan", "rowspan"), "td": ("colspan", "rowspan"),
 }
-ALLOWED = {k: frozenset(v.split()) for k, v in ATTRIBUTES.items()}
+ALLOWED = {k: frozenset(v) for k, v in ATTRIBUTES.items()}
 #: A start of one of these ends an open paragraph, as browsers have it.
-ENDS_P = BLOCKS - NESTED | frozenset("address article aside details div dl fieldset footer form header hr main nav ol section ul".split()) - {"figcaption"}
+ENDS_P = BLOCKS - NESTED | frozenset(
+    ("address", "article", "aside", "details", "div", "dl", "fieldset", "footer", "form", "header", "hr", "main", "nav", "ol", "section", "ul")
+) - {"figcaption"}
 _SPACE = re.compile(tx.SPACE + "+")
 
 
@@ -202,12 +207,7 @@ def page_blocks(pages: DataFrame, key: str, html: str, path: str | None = None,
     ``keep_ids`` leaves blocks the ids that the page gives them, as after an edit (HTM-11).
     """
     parsed = parse_pages(pages, key, html, path)
-    start = F.aggregate(
-        "blocks",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, b: F.struct((acc["at"] + F.length(b["text"]) + 2).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
-        lambda acc: acc["out"],
-    )
+    start = running("blocks", lambda b: (F.length(b["text"]) + 2).cast("long"), lambda _, at: at, "bigint")
     each = parsed.select(key, F.col("blocks").alias("all"), F.explode(F.arrays_zip("blocks", start.alias("starts"))).alias("z")).select(key, "all", "z.blocks.*", F.col("z.starts").alias("start"))
     before = F.size(F.filter(F.slice("all", F.lit(1), F.col("ordinal").cast("int")), lambda b: (b["tag"] == F.col("tag")) & (b["text"] == F.col("text"))))
     signature = F.concat_ws("\0", "tag", "text", before.cast("string"))

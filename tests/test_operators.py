@@ -213,3 +213,61 @@ def test_whole_texts_are_cleaned_for_filenames(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [tuple(r) for r in plans.QUERIES["filename_clean_whole"](spark, str(tmp_path)).collect()]
     assert got == [(1, " ".join("a b cd ef g" for _ in range(100)))]
+
+
+def test_rows_are_numbered_across_ranges(spark):
+    from studylake.operators import relational
+
+    df = spark.createDataFrame([("a" if i % 10 else "b", i) for i in range(500)], "k string, i long").repartition(7)
+    got = relational.numbered(df, "k", "i", "n").collect()
+    for k in "ab":
+        rows = sorted((r.i, r.n) for r in got if r.k == k)
+        assert [n for _, n in rows] == list(range(1, len(rows) + 1))
+    assert relational.numbered(df.limit(0), "k", "i", "n").count() == 0
+
+
+def test_quotes_meet_blocks_by_their_words(spark):
+    quotes = [(1, "quick brown fox jumps"), (2, "ick brown fo"), (3, "fox"), (4, "ck bro"), (5, "absent words stand here now"), (6, "“é” — ünder dem Tor, dem"), (7, "")]
+    texts = ["The quick brown fox jumps over.", "A quick brown, fox", "ein “é” — ünder dem Tor, dem alten", "fox fox"]
+    text = spark.createDataFrame([(7, i, t, 0) for i, t in enumerate(texts)], "d long, ordinal long, text string, start long")
+    anchor = spark.createDataFrame([(i, q, "", "", 0) for i, q in quotes], "anchor_id long, exact string, prefix string, suffix string, anchor_start long")
+    got = {r.anchor_id: (r.ordinal, r.start_offset) for r in anchors.exact_matches(anchor, text, [], ["d"]).collect()}
+    assert set(got) == {1, 2, 3, 4, 6}
+    assert all(texts[n].startswith(dict(quotes)[i], at) for i, (n, at) in got.items())
+    assert anchors.exact_matches(anchor.limit(0), text, [], ["d"]).count() == 0
+
+
+def test_positions_of_many_elements(spark):
+    from studylake.functions import arrays
+
+    df = spark.range(1).select(F.sequence(F.lit(1).cast("long"), F.lit(1000).cast("long")).alias("n"))
+    assert list(df.select(arrays.starts("n")).first()[0]) == [i * (i + 1) // 2 for i in range(1000)]
+    assert spark.range(1).select(arrays.starts(F.array().cast("array<bigint>"))).first()[0] == []
+
+
+def test_branches_of_many_threads(spark):
+    n = 4000
+    threads = spark.range(n).select(F.col("id").alias("thread_id"), F.when(F.col("id") % 40 > 0, F.col("id") - 1).alias("parent_message_id"))
+    messages = spark.range(n).select(F.col("id").alias("message_id"), F.col("id").alias("thread_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("created_at"))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")
+    try:
+        assert context.active_branch(threads, messages, 32).count() == sum(min(i % 40 + 1, 32) for i in range(n))
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_media_is_refused_after_other_edits(spark):
+    fields = "document_id long, block_id string, block_type string, text string, visual string"
+    original = spark.createDataFrame([(d, b, k, "old", v) for d in (1, 2, 3) for b, k, v in (("t", "text", None), ("i", "image", "asset:a"))], fields)
+    edited = spark.createDataFrame([(1, "t", "text", "new", None), (2, "t", "text", "new", None), (3, "t", "text", "new", None), (3, "i", "image", "", "asset:a")], fields)
+    history = spark.createDataFrame([(1, "replace_text"), (2, "resize"), (3, "format")], "document_id long, type string")
+    got = sorted((r.document_id, r.block_id, r.text, r.repaired) for r in edits.repair_media(original, edited, history).collect())
+    assert got == [(1, "i", "old", True), (1, "t", "new", True), (2, "t", "new", False), (3, "i", "", False), (3, "t", "new", False)]
+
+
+def test_settings_as_a_table(spark):
+    from dataclasses import asdict
+
+    rows = [context.Settings(), context.Settings(quick_context_max_tokens=100, study_context_percent=10), context.Settings(thread_ancestor_limit=0)]
+    df = spark.createDataFrame([tuple(asdict(s).values()) for s in rows], ", ".join(f"{k} int" for k in asdict(rows[0])))
+    assert [sorted(r[0]) for r in df.select(context.settings_problems()).collect()] == [sorted(s.problems()) for s in rows]

@@ -105,3 +105,10 @@ def test_text_functions(spark):
     assert column(spark, ['a/b: c?', "  ..", "ﬁ\x01x.", "y" * 130], lambda v: tx.file_stem(v)) == ["ab c", "Untitled", "fi x", "y" * 120]
     assert column(spark, ["same", "a b c", "", "x y"], lambda v: tx.similarity(v, F.lit("same"))) == [1.0, 0.0, 0.0, 0.0]
     assert column(spark, ["A b, b", "c"], lambda v: tx.similarity(v, F.lit("a B x"))) == [2 / 3, 0.0]
+
+
+def test_styles_are_scanned():
+    seen = lambda v: f"asset:{v}" if v and not v.startswith("http") else None
+    assert assets.safe_css('@IMPORT url("a;b.css"); p{background:URL( "x.png" )}', seen) == ' p{background:url("asset:x.png")}'
+    assert assets.safe_css("a{b:url('y)z.png');c:url(http://h)}", seen) == 'a{b:url("asset:y)z.png");c:url("")}'
+    assert assets.safe_css("i{width:expression (1)} @import x", seen) == "i{width:} "
