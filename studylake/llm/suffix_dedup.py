@@ -16,9 +16,10 @@ but only suffixes that can repeat are sorted:
 
 Texts meet batch by batch, whatever their keys, so a popular text or source makes no partition larger. A key that more than
 ``HOT_BATCHES`` batches hold is dealt otherwise: its strings go one by one, each to the part of its own hash, and of equal
-strings of a batch only those of the smallest id. They meet in two levels, among the batches of a group and then among the
-groups, with as many groups as batches in a group, so a part gets a popular string at most as often as the square root of
-the number of batches (and once more for each repeat within the text of the smallest id).
+strings of a batch only those of the smallest id. First their hashes alone, five bytes each, so a string that no other batch
+holds goes no further. The others meet in two levels, among the batches of a group and then among the groups, with as many
+groups as batches in a group, so a part gets a popular string at most as often as the square root of the number of batches
+(and once more for each repeat within the text of the smallest id).
 """
 
 from __future__ import annotations
@@ -314,23 +315,76 @@ def repeated_ranges(packed: DataFrame, length: int, parts: int, groups: int, scr
             rows.append((p, number, (b"H" if p >= parts else b"R") + _pack(key[o], ids[o], text[o], start[o], one, content, part[o])))
         return rows
 
-    def send_hot(number: int, b: Batch, runs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """The strings of runs with hot keys: the first among equal ones go to their hash's part of the first level."""
-        if not len(runs):
-            return
-        count = b.stop[runs] - b.start[runs]
-        run = np.repeat(runs, count)
-        at = b.start[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-        text, ids = b.text[run], b.ids[b.text[run]]
-        start = at - b.starts[text]
-        first = least_of_equal(b.buffer, at, ids, length)
-        lost = ~first
-        local = [(number % parts, number, b"L" + _pack(text[lost].astype(np.int64), start[lost], start[lost] + length))] if lost.any() else []
-        key = string_hashes(b.buffer, at[first], length)
-        part = _parts_of(key, parts)
-        to = parts + (part * groups + number % groups) % parts
-        sent = sent_strings(number, b.buffer, at[first], ids[first], text[first].astype(np.int32), start[first], part, key & np.uint64((1 << LOW_BITS) - 1), to)
-        yield _out(local + sent, *_ROW)
+    def unpack_answers(shared: list | None) -> dict[int, tuple[np.ndarray, int]]:
+        """Keys by part, those of few batches first, and how many these are."""
+        out = {}
+        for x in shared or []:
+            raw = np.zeros((len(x["payload"]) // 5, 8), dtype=np.uint8)
+            raw[:, :5] = np.frombuffer(x["payload"], dtype=np.uint8, offset=4).reshape(-1, 5)
+            out[x["part"]] = raw.view("<u8").ravel(), len(raw) - int.from_bytes(x["payload"][:4], "little")
+        return out
+
+    def answered(b: Batch, shared: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the key of each run is held by other batches, by few and by many."""
+        part, low = _parts_of(b.key, parts), b.key & np.uint64((1 << LOW_BITS) - 1)
+        few, many = np.zeros(len(b.key), dtype=bool), np.zeros(len(b.key), dtype=bool)
+        known, order = unpack_answers(shared), np.argsort(part, kind="stable")
+        for p, s in _slices(part[order]):
+            if p in known:
+                some, (keys, plain) = order[s], known[p]
+                few[some] = np.isin(low[some], keys[:plain])
+                many[some] = np.isin(low[some], keys[plain:])
+        return few, many
+
+    def hot_strings(b: Batch, runs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Place, id, text and start of the strings of some runs, and whether each is the first among equal ones here; all
+        strings of a key together, and as many keys at a time as make ``sort_at_once`` strings, one at least."""
+        runs = runs[np.argsort(b.key[runs], kind="stable")]
+        done = np.append(0, np.cumsum(b.stop[runs] - b.start[runs]))
+        ends = np.append(np.flatnonzero(b.key[runs][1:] != b.key[runs][:-1]) + 1, len(runs))
+        a = 0
+        while a < len(runs):
+            later = ends[ends > a]
+            fits = later[done[later] - done[a] <= sort_at_once]
+            e = int(fits[-1] if len(fits) else later[0])
+            some = runs[a:e]
+            count = b.stop[some] - b.start[some]
+            run = np.repeat(some, count)
+            at = b.start[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+            text = b.text[run]
+            yield at, b.ids[text], text, at - b.starts[text], least_of_equal(b.buffer, at, b.ids[text], length)
+            a = e
+
+    def send_hot_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            if not any(x["payload"][:4] != b"\0\0\0\0" for x in row["shared"] or []):
+                continue
+            b = _batch(row, length)
+            runs = np.flatnonzero(answered(b, row["shared"])[1])
+            keys = [np.unique(string_hashes(b.buffer, at[first], length)) for at, *_, first in hot_strings(b, runs)]
+            keys = np.unique(np.concatenate(keys)) if keys else b.key[:0]
+            part = _parts_of(keys, parts)
+            order = np.argsort(part, kind="stable")
+            low = keys[order].view(np.uint8).reshape(-1, 8)[:, :5]
+            yield _out([(p, row["batch"], np.ascontiguousarray(low[s]).tobytes()) for p, s in _slices(part[order])], *_ROW)
+
+    def send_hot(number: int, b: Batch, runs: np.ndarray, shared: list | None) -> Iterator[pa.RecordBatch]:
+        """The strings of runs with hot keys: the first among equal ones, if another batch holds them, go to the first level."""
+        known = unpack_answers(shared) if len(runs) else {}
+        for at, ids, text, start, first in hot_strings(b, runs):
+            lost = ~first
+            local = [(number % parts, number, b"L" + _pack(text[lost].astype(np.int64), start[lost], start[lost] + length))] if lost.any() else []
+            go = np.flatnonzero(first)
+            key = string_hashes(b.buffer, at[go], length)
+            part, low, elsewhere = _parts_of(key, parts), key & np.uint64((1 << LOW_BITS) - 1), np.zeros(len(go), dtype=bool)
+            order = np.argsort(part, kind="stable")
+            for p, s in _slices(part[order]):
+                if p in known:
+                    elsewhere[order[s]] = np.isin(low[order[s]], known[p][0])
+            go, part, low = go[elsewhere], part[elsewhere], low[elsewhere]
+            to = parts + (part * groups + number % groups) % parts
+            sent = sent_strings(number, b.buffer, at[go], ids[go], text[go].astype(np.int32), start[go], part, low, to)
+            yield _out(local + sent, *_ROW)
 
     def thin(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
         """First level of hot strings: those with an equal one of a smaller id are repeated; the others go on."""
@@ -355,22 +409,11 @@ def repeated_ranges(packed: DataFrame, length: int, parts: int, groups: int, scr
         for row in _rows(batches):
             b = _batch(row, length)
             part, low = _parts_of(b.key, parts), b.key & np.uint64((1 << LOW_BITS) - 1)
-            kept, often = np.zeros(len(b.key), dtype=bool), np.zeros(len(b.key), dtype=bool)
-            answered = {}
-            for x in row["shared"] or []:
-                raw = np.zeros((len(x["payload"]) // 5, 8), dtype=np.uint8)
-                raw[:, :5] = np.frombuffer(x["payload"], dtype=np.uint8, offset=4).reshape(-1, 5)
-                answered[x["part"]] = raw.view("<u8").ravel(), len(raw) - int.from_bytes(x["payload"][:4], "little")
-            order = np.argsort(part, kind="stable")
-            for p, s in _slices(part[order]):
-                if p in answered:
-                    some, (keys, plain) = order[s], answered[p]
-                    kept[some] = np.isin(low[some], keys[:plain])
-                    often[some] = np.isin(low[some], keys[plain:])
+            kept, often = answered(b, row["shared"])
             # Keys of two texts of this batch.
             pairs = np.unique(np.stack([b.key, b.text.astype(np.uint64)], axis=1), axis=0)[:, 0] if len(b.key) else b.key
             kept |= np.isin(b.key, pairs[1:][pairs[1:] == pairs[:-1]])
-            yield from send_hot(row["batch"], b, np.flatnonzero(often))
+            yield from send_hot(row["batch"], b, np.flatnonzero(often), row["again"])
             runs = np.flatnonzero(kept & ~often)
             if not len(runs):
                 continue
@@ -433,6 +476,9 @@ def repeated_ranges(packed: DataFrame, length: int, parts: int, groups: int, scr
             yield _out(rows, *_SORTED)
 
     asked = body.join(answers, "batch", "left").select(*body.columns, "shared")
+    again = dealt(asked.mapInArrow(send_hot_keys, _PAYLOAD)).mapInArrow(answer_keys, _PAYLOAD)
+    again = again.groupBy("batch").agg(F.collect_list(F.struct("part", "payload")).alias("again"))
+    asked = asked.join(again, "batch", "left").select(*asked.columns, "again")
     schema = "batch bigint, ranges binary, part bigint, payload binary"
     once = scratch.write(dealt(asked.mapInArrow(send_runs, _PAYLOAD)).mapInArrow(sort_runs, schema))
     again = dealt(once.where("part is not null").select("part", "batch", "payload")).mapInArrow(sort_runs, schema)
