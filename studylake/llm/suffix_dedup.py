@@ -45,8 +45,9 @@ SHALLOW = 16
 #: Low bits of a key that are sent; the bits above choose the part.
 LOW_BITS = 40
 PART_BYTES = 64 << 20
-#: A key that more batches hold is dealt string by string.
-HOT_BATCHES = 64
+#: A key that more batches hold is dealt string by string. Strings weigh more than runs, so only keys whose runs could fill a
+#: task are worth it.
+HOT_BATCHES = 256
 SORT_AT_ONCE = 1 << 20
 
 
@@ -304,17 +305,24 @@ def repeated_ranges(packed: DataFrame, length: int, parts: int, groups: int, scr
     answers = dealt(body.mapInArrow(send_keys, _PAYLOAD)).mapInArrow(answer_keys, _PAYLOAD)
     answers = answers.groupBy("batch").agg(F.collect_list(F.struct("part", "payload")).alias("shared"))
 
-    def sent_strings(number: int, data: np.ndarray, at, ids, text, start, part, key, to) -> list[tuple]:
-        """Rows of single strings for the places ``to``, in the form of runs."""
+    def sent_strings(number: int, data: np.ndarray, at, ids, text, start, to) -> list[tuple]:
+        """Rows of single strings for the places ``to``: beyond ``parts`` those of the first level."""
         order = np.argsort(to, kind="stable")
         rows = []
         for p, s in _slices(to[order]):
             o = order[s]
             content = data[at[o][:, None] + np.arange(length)].tobytes()
-            one = np.ones(len(o), dtype=np.int64)
-            rows.append((p, number, (b"H" if p >= parts else b"R") + _pack(key[o], ids[o], text[o], start[o], one, content, part[o])))
+            rows.append((p, number, b"S" + _pack(ids[o], text[o], start[o].astype(np.int32), content)))
         return rows
 
+    def received_strings(held: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+        """Bytes, ids, texts, starts and batches of the single strings among a part's rows."""
+        sent = [(number, _unpack(p[1:])) for number, p in held if p[:1] == b"S"]
+        data = np.frombuffer(b"".join(x[3] for _, x in sent), dtype=np.uint8)
+        none = [np.empty(0, dtype=np.int64)]
+        ids, text, start = (np.concatenate([x[i] for _, x in sent] or none) for i in range(3))
+        return data, ids, text, start.astype(np.int64), np.repeat([b for b, _ in sent], [len(x[0]) for _, x in sent]).astype(np.int64)
+
     def unpack_answers(shared: list | None) -> dict[int, tuple[np.ndarray, int]]:
         """Keys by part, those of few batches first, and how many these are."""
         out = {}
@@ -381,19 +389,16 @@ def repeated_ranges(packed: DataFrame, length: int, parts: int, groups: int, scr
             for p, s in _slices(part[order]):
                 if p in known:
                     elsewhere[order[s]] = np.isin(low[order[s]], known[p][0])
-            go, part, low = go[elsewhere], part[elsewhere], low[elsewhere]
+            go, part = go[elsewhere], part[elsewhere]
             to = parts + (part * groups + number % groups) % parts
-            sent = sent_strings(number, b.buffer, at[go], ids[go], text[go].astype(np.int32), start[go], part, low, to)
+            sent = sent_strings(number, b.buffer, at[go], ids[go], text[go].astype(np.int32), start[go], to)
             yield _out(local + sent, *_ROW)
 
     def thin(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
         """First level of hot strings: those with an equal one of a smaller id are repeated; the others go on."""
-        sent = [(number, _unpack(p[1:])) for number, p in held]
-        key, ids, text, start = (np.concatenate([x[i] for _, x in sent]) for i in range(4))
-        part = np.concatenate([x[6] for _, x in sent])
-        number = np.repeat([b for b, _ in sent], [len(x[0]) for _, x in sent])
-        data = np.frombuffer(b"".join(x[5] for _, x in sent), dtype=np.uint8)
-        at = np.arange(len(key)) * length
+        data, ids, text, start, number = received_strings(held)
+        at = np.arange(len(ids)) * length
+        part = _parts_of(string_hashes(data, at, length), parts)
         first = least_of_equal(data, at, ids, length)
         order = np.argsort(number, kind="stable")
         rows = []
@@ -402,7 +407,7 @@ def repeated_ranges(packed: DataFrame, length: int, parts: int, groups: int, scr
             lost, on = o[~first[o]], o[first[o]]
             if len(lost):
                 rows.append((b, _pack(text[lost].astype(np.int64), start[lost], start[lost] + length), None, None))
-            rows += [(b, None, p, payload) for p, _, payload in sent_strings(b, data, at[on], ids[on], text[on], start[on], part[on], key[on], part[on])]
+            rows += [(b, None, p, payload) for p, _, payload in sent_strings(b, data, at[on], ids[on], text[on], start[on], part[on])]
         return _out(rows, *_SORTED)
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,6 +450,13 @@ def repeated_ranges(packed: DataFrame, length: int, parts: int, groups: int, scr
                 yield thin(held)
                 continue
             yield _out([(number, p[1:], None, None) for number, p in held if p[:1] == b"L"], *_SORTED)
+            data, ids, text, start, number = received_strings(held)
+            if len(ids):
+                lost = ~least_of_equal(data, np.arange(len(ids)) * length, ids, length)
+                text, start, number = text[lost], start[lost], number[lost]
+                order = np.argsort(number, kind="stable")
+                spans = [(b, text[order[s]].astype(np.int64), start[order[s]]) for b, s in _slices(number[order])]
+                yield _out([(b, _pack(t, at, at + length), None, None) for b, t, at in spans], *_SORTED)
             sent = [(number, _unpack(p[1:])) for number, p in held if p[:1] == b"R"]
             del held
             if not sent:
