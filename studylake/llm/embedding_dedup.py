@@ -5,8 +5,8 @@ again and again; vectors near a split go to both sides, so a linked pair is part
 spill, and hardly in all. Vectors are compared in double precision within the leaves of every tree.
 
 The upper levels of the trees are fitted on a bounded sample (``sample`` classes, the first by hash); every class is sent
-down all trees. A leaf that still holds more than ``leaf_size`` is split on, on a fresh sample of that leaf, round after
-round, so leaves keep their size however many vectors there are. Lower levels project on random signs drawn from the leaf's
+down all trees. A leaf that holds more than ``leaf_limit`` is split on, on a fresh sample of that leaf, round after round, so
+leaves keep their size however many vectors there are, and the number of trees grows with their depth. Lower levels project on random signs drawn from the leaf's
 number, so only thresholds travel. A leaf that no split divides, a cluster narrower than the spill, is cut into parts of
 ``leaf_limit`` that meet pairwise, so a task holds two parts at most, and no pair is left out.
 A linked pair that meets in several leaves is counted in the first of them alone: each vector carries the leaves it is in.
@@ -142,12 +142,23 @@ def descend_leaf(x: np.ndarray, leaf: np.ndarray, thresholds: np.ndarray, spill:
     return rows, below.astype(np.int64)
 
 
-def refine(each: DataFrame, classes: DataFrame, width: int, leaf_size: int, spill: float, scratch: Scratch) -> DataFrame:
-    """``(class, leaf)`` with leaves over ``leaf_size`` split on until they fit or no split divides them."""
+#: Share of the pairs at the threshold that one more level parts, measured with the default spill, and of those that all trees
+#: together may part.
+PARTED, MISSED = 0.08, 0.001
+
+
+def trees_for(total: int, leaf_size: int) -> int:
+    """Trees that leave ``MISSED`` of the pairs at the threshold parted in all of them, eight at least."""
+    together = (1 - PARTED) ** max(1.0, np.log2(max(2.0, total / leaf_size)))
+    return max(8, int(np.ceil(np.log(MISSED) / np.log(1 - together))))
+
+
+def refine(each: DataFrame, classes: DataFrame, width: int, leaf_size: int, leaf_limit: int, spill: float, scratch: Scratch) -> DataFrame:
+    """``(class, leaf)`` with leaves over ``leaf_limit`` split on, down to ``leaf_size``, until they fit or no split divides them."""
     spark = each.sparkSession
     whole: DataFrame | None = None
     while True:
-        large = each.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf_size)
+        large = each.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf_limit)
         large = scratch.write(large if whole is None else large.join(whole, "leaf", "left_anti"))
         if large.isEmpty():
             return each
@@ -225,9 +236,9 @@ def embedding_links(
     vector_col: str = "embedding",
     *,
     cosine: float = 0.9,
-    trees: int = 10,
+    trees: int | None = None,
     leaf_size: int = 128,
-    spill: float = 0.035,
+    spill: float = 0.02,
     sample: int = 20_000,
     leaf_limit: int = 4096,
     seed: int = 11,
@@ -239,7 +250,7 @@ def embedding_links(
     non-finite components are linked to nothing: their component is their id. A shorter vector is compared as if filled
     with zeros. A row with a null id takes part, but its id is never the smallest; where all are null the component is
     null, and null ids are never kept. Repeated rows each come out, linked to each other. An empty table gives no rows.
-    Other columns are not read.
+    Other columns are not read. Without ``trees`` their number follows from that of the vectors.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
@@ -253,7 +264,7 @@ def embedding_links(
     total, width = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     picked = classes.orderBy(F.xxhash64("v")).select("v").limit(sample).toArrow()["v"].combine_chunks()
     picked = picked if isinstance(picked, pa.Array) else pa.concat_arrays(picked.chunks)
-    forest = spark.sparkContext.broadcast(Forest(_unit(picked, width), total, trees, leaf_size, spill, seed))  # bounded by the sample
+    forest = spark.sparkContext.broadcast(Forest(_unit(picked, width), total, trees or trees_for(total, leaf_size), leaf_size, spill, seed))  # bounded by the sample
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
@@ -264,7 +275,7 @@ def embedding_links(
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(leaf.astype(np.int64))], ["class", "leaf"])
 
     each = scratch.write(classes.select("class", "v").mapInArrow(descend, "class bigint, leaf bigint"))
-    each = refine(each, classes, width, leaf_size, spill, scratch)
+    each = refine(each, classes, width, leaf_size, leaf_limit, spill, scratch)
     placed = each.groupBy("class").agg(F.collect_list("leaf").alias("leaves"))
     large = scratch.write(each.groupBy("leaf").count().where(F.col("count") > leaf_limit).select("leaf", F.ceil(F.col("count") / leaf_limit).cast("int").alias("k")))
     k = F.coalesce("k", F.lit(1))

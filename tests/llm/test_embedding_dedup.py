@@ -58,6 +58,10 @@ def test_recall_on_borderline_pairs():
     forest = E.Forest(np.concatenate([x, y]), 50_000, 10, 1024, 0.035, 11)
     a, b = (set(zip(*map(np.ndarray.tolist, forest.leaves(z)))) for z in (x, y))
     assert len({row for row, _ in a & b}) / len(x) > 0.99
+    forest = E.Forest(np.concatenate([x, y]), 50_000, E.trees_for(50_000, 128), 128, 0.02, 11)
+    a, b = (set(zip(*map(np.ndarray.tolist, forest.leaves(z)))) for z in (x, y))
+    assert len({row for row, _ in a & b}) / len(x) > 0.99
+    assert E.trees_for(500, 128) == 8 < E.trees_for(50_000, 128) < E.trees_for(10**9, 128) < 100
 
 
 def test_large_leaves_are_split_on_and_keep_pairs():
