@@ -106,12 +106,31 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
 
+#: A key that holds more than one in ``HUBS`` of the rows is a hub; with fewer than ``HUB_ROWS`` rows none is.
+HUBS, HUB_ROWS = 4096, 1024
+
+
+def with_least(rows: DataFrame, key: str, value: str, least: str, count: int, scratch: Scratch) -> DataFrame:
+    """``rows`` with the smallest ``value`` of all rows of the same ``key`` in a column ``least``.
+
+    The smallest values come from map-side combine. A join would then bring all rows of a key into one task, so hubs are
+    set apart: at most ``HUBS`` keys can have that many of the ``count`` rows, which is what bounds the broadcast, and rows
+    of a hub stay where they are. ``rows`` is read three times, so it should be a table or a projection of one.
+    """
+    found = scratch.write(rows.groupBy(key).agg(F.min(value).alias(least), F.count("*").alias("many")))
+    big = found.where(F.col("many") > max(HUB_ROWS, count // HUBS)).drop("many")
+    if big.isEmpty():
+        return rows.join(found.drop("many"), key)
+    hubs = F.broadcast(big)
+    return rows.join(hubs, key).unionByName(rows.join(hubs.drop(least), key, "left_anti").join(found.drop("many"), key))
+
+
 def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
     """Smallest node of the component for every node that has an edge to another: ``(node, root)``.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edge set stands still, in a number of
-    rounds logarithmic in the longest path. Each step is an aggregation with map-side combine and an equi-join whose skewed
-    side Spark can split; no neighbourhood is ever collected.
+    rounds logarithmic in the longest path. Each step is an aggregation with map-side combine and ``with_least``, which
+    does not gather the edges of a hub; no neighbourhood is ever collected.
     """
     x, y = F.col(a), F.col(b)
     now = scratch.write(
@@ -120,13 +139,15 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch) ->
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        then = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        stars = with_least(both, "u", "v", "m", 2 * state[0], scratch).where("v > u")
+        large = scratch.write(stars.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        stars = with_least(large, "u", "v", "m", 2 * state[0], scratch)
+        # The edge to the smallest node links the star's centre to it, all others link their ends to it.
+        small = stars.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        then = scratch.write(small.distinct())
         before, state = state, _state(then)
         scratch.drop(now)
+        scratch.drop(large)
         now = then
         if state == before:
             break

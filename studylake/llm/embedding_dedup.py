@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, only, shuffle_partitions
+from .common import Scratch, connected_components, only, shuffle_partitions, with_least
 from .local_graph import roots
 
 
@@ -319,8 +319,8 @@ def embedding_links(
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     labelled = classes.select("class", "v", "least", "n").join(links, "class", "left").join(components.withColumnRenamed("node", "class"), "class", "left")
     labelled = labelled.select("class", "v", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    known = labelled.join(smallest, "root").select("v", "n_links", "component")
+    labelled = scratch.write(labelled)
+    known = with_least(labelled, "root", "least", "component", labelled.count(), scratch).select("v", "n_links", "component")
     joined = rows.where("v is not null").join(known, "v").select("id", "n_links", "component")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return joined.unionByName(alone).select("id", "n_links", "component", F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, fresh, only, shuffle_partitions, tidy
+from .common import Scratch, connected_components, fresh, only, shuffle_partitions, tidy, with_least
 from .local_graph import roots
 
 BITS = 64
@@ -333,8 +333,8 @@ def _components(marked: DataFrame, max_distance: int, plan: tuple[int, str] | No
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    labels = rooted.join(smallest, "root").select("fp", "component")
+    rooted = scratch.write(rooted)
+    labels = with_least(rooted, "root", "least", "component", rooted.count(), scratch).select("fp", "component")
     return marked.join(labels, "fp").select("id", "fp", "component")
 
 
