@@ -38,13 +38,19 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"
-    r"|(?<![0-9A-Za-z])\+[0-9]{7,14}(?![0-9])",
+    r"|(?<![0-9A-Za-z])\+[0-9]{7,14}(?![0-9])"
+    # After a country code, eight digits or more in groups of any size; after a trunk zero, four pairs or one long group.
+    r"|(?<![0-9A-Za-z])(?=\+(?:[\x20.-]?[0-9]){8})\+[0-9]{1,3}(?:[\x20.-][0-9]{1,8}){2,6}(?![0-9])"
+    r"|(?<![0-9A-Za-z+.,:/-])0[0-9](?:[\x20.-][0-9]{2}){4}(?![0-9]|[\x20.,:/-][0-9])"
+    r"|(?<![0-9A-Za-z+.,:/-])0[0-9]{1,4}[\x20-][0-9]{5,8}(?![0-9]|[\x20.,:/-][0-9])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?\x20{_NAME}(?:\x20{_NAME})?",
 }
 TYPES = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap sign that a text may hold an entity.
 SIGN = rf"@|[0-9][\x20.()-]{{0,2}}[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|(?:{_TITLE})\.?\x20"
+#: Telephone country codes are one digit for zones 1 and 7, two for these, three for all others.
+COUNTRY_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 SYLLABLES = ("ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu", "va")
 CYRILLIC = ("ба", "ве", "ги", "до", "жу", "за", "ке", "ли", "мо", "ну", "па", "ре", "си", "то", "фу", "ха")
 #: Endings that tell gender, where the title does.
@@ -175,8 +181,8 @@ def surrogate(entity: Column, kind: Column, attempt: Column, key: str) -> Column
     iban = F.concat(country, F.lpad((98 - mod).cast("string"), 2, "0"), tail)
     octet = lambda i: (F.conv(F.substring(one, i, 4), 16, 10).cast("int") % 254 + 1).cast("string")
     ip = F.concat_ws(".", octet(1), octet(5), octet(9), octet(13))
-    # A telephone number keeps its country code, what stands before its last ten digits.
-    code = F.when(F.substring(entity, 1, 1) == "+", F.greatest(F.length(bare) - 10, F.lit(0))).otherwise(0)
+    # A telephone number keeps its country code or trunk zero; both follow from its digits, not from how they are grouped.
+    code = F.when(F.substring(entity, 1, 1) == "+", F.length(F.regexp_extract(bare, COUNTRY_CODE, 0))).otherwise(F.length(F.regexp_extract(bare, "^0", 0)))
     phone = _refill(entity, F.concat(F.substring(bare, F.lit(1), code), digits))
     at = F.instr(entity, "@")
     local, domain = F.substring(entity, F.lit(1), at - 1), F.substring(entity, at + 1, F.length(entity))
