@@ -237,12 +237,14 @@ def exceptions(known: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     brings about in any corpus. Surrogates are costly, so entities are spread over all tasks.
     """
     n = shuffle_partitions(known.sparkSession)
-    now = scratch.write(known.withColumn("attempt", F.lit(0)).repartition(n, "kind", "normal"))
+    now = scratch.write(known.withColumn("attempt", F.lit(0)))
     space = F.when(_is_part(F.col("kind")), "part").otherwise(F.col("kind"))
     reals = now.select(space.alias("space"), F.col("normal").alias("taken")).distinct()
     me = F.struct("normal", "kind")
     while True:
-        made = now.select("kind", "normal", space.alias("space"), normal_form(surrogate(F.col("entity"), F.col("kind"), F.col("attempt"), key), F.col("kind")).alias("taken"))
+        # Dealt after the table is read: its small files would be read by one task.
+        spread = now.repartition(n, "kind", "normal")
+        made = spread.select("kind", "normal", space.alias("space"), normal_form(surrogate(F.col("entity"), F.col("kind"), F.col("attempt"), key), F.col("kind")).alias("taken"))
         made = scratch.write(made)
         shared = made.groupBy("space", "taken").agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1")
         late = made.join(shared, ["space", "taken"]).where(me != F.col("first")).select("kind", "normal")
@@ -253,7 +255,7 @@ def exceptions(known: DataFrame, key: str, scratch: Scratch) -> DataFrame:
             return scratch.write(out)
         bumped = now.join(again.withColumn("more", F.lit(1)), ["kind", "normal"], "left")
         bumped = bumped.select("kind", "normal", "entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
-        then = scratch.write(bumped.repartition(n, "kind", "normal"))
+        then = scratch.write(bumped)
         scratch.drop(made)
         now = then
 
