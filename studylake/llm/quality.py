@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import only, tidy
 
 PASSAGE = 1024
+#: Passages whose bytes are counted at a time.
+STRETCH = 1 << 12
 HIDDEN, GATE = 24, 16
 #: Bytes are counted by class: control, each ASCII sign, digits, capitals, each small letter, and bytes beyond ASCII.
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -58,11 +60,15 @@ def features(text: str | None) -> np.ndarray:
     out = np.zeros((n, FEATURES), dtype=np.float32)
     if not len(data):
         return out
-    where = np.arange(len(data)) // PASSAGE
-    counts = np.bincount(where * CLASSES + _CLASS[data], minlength=n * CLASSES).reshape(n, CLASSES)
+    raw = data.tobytes()
+    counts = np.empty((n, CLASSES), dtype=np.int64)
+    for at in range(0, n, STRETCH):
+        # A stretch at a time, so that a long text takes little besides its features.
+        some = data[at * PASSAGE : (at + STRETCH) * PASSAGE]
+        k = -(-len(some) // PASSAGE)
+        counts[at : at + k] = np.bincount(np.arange(len(some)) // PASSAGE * CLASSES + _CLASS[some], minlength=k * CLASSES).reshape(k, CLASSES)
     sizes = counts.sum(axis=1)
     out[:, :CLASSES] = np.sqrt(counts / sizes[:, None])
-    raw = data.tobytes()
     for i in range(n):
         words = raw[i * PASSAGE : (i + 1) * PASSAGE].split()
         k = len(words) or 1

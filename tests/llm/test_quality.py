@@ -78,3 +78,10 @@ def test_repeated_labelled_ids_count_once(spark):
     many = docs.unionByName(spark.range(5000).select(Q.F.lit(1).cast("long").alias("doc_id"), Q.F.concat(Q.F.lit("text "), Q.F.col("id").cast("string")).alias("text")))
     bags, y = Q.training_sample(many, spark.createDataFrame([(1, 0), (2, 1), (1, 0)], "doc_id long, quality int"), "doc_id", "text", "quality", 10, 16)
     assert len(bags) == 2 and sorted(y) == [0, 1]
+
+
+def test_long_texts_are_counted_in_stretches(monkeypatch):
+    text = "".join(chr(33 + (i * i + i // 7) % 200) + " " * (i % 5 == 0) for i in range(40_000))
+    whole = Q.features(text)
+    monkeypatch.setattr(Q, "STRETCH", 3)
+    assert len(whole) > 40 and np.array_equal(whole, Q.features(text))
