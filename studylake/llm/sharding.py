@@ -28,6 +28,10 @@ def _prefix(bits: Column, depth: Column | int) -> Column:
     return F.call_function("shiftright", bits, (F.lit(KEY_BITS) - depth).cast("int"))
 
 
+def _shifted(bits: str, by: int) -> Column:
+    return F.call_function("shiftright", F.col(bits), F.lit(by))
+
+
 def _name(prefix: Column, depth: Column) -> Column:
     return F.when(depth == 0, "").otherwise(F.lpad(F.bin(prefix), depth, "0"))
 
@@ -40,10 +44,10 @@ def _split(rows: DataFrame, limit: int, scratch: Scratch) -> tuple[DataFrame | N
         high = low + ROUND_BITS
         cells = left.groupBy(_prefix(F.col("bits"), high).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
         cells = scratch.write(cells)
-        depths = F.explode(F.sequence(F.lit(low if low == 0 else low + 1), F.lit(high)))
-        at = cells.withColumn("depth", depths).withColumn("prefix", F.expr(f"shiftright(cell, {high} - depth)"))
-        fits = at.groupBy("depth", "prefix").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).where((F.col("b") <= limit) | (F.col("n") == 1))
-        leaf = at.select("cell", "depth", "prefix").join(fits.select("depth", "prefix"), ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+        # A bucket that the last round left has at most 2**12 cells; sums over them at each depth need no more rows.
+        fits = lambda d: (F.sum("b").over(w := Window.partitionBy("bucket", _shifted("cell", high - d))) <= limit) | (F.sum("n").over(w) == 1)
+        depth = F.coalesce(*(F.when(fits(d), d) for d in range(low + (low > 0), high + 1)))
+        leaf = cells.withColumn("bucket", _shifted("cell", ROUND_BITS)).repartition("bucket").select("cell", depth.alias("depth")).where("depth is not null")
         leaf = scratch.write(leaf)
         keyed = left.withColumn("cell", _prefix(F.col("bits"), high))
         # The first round's table has 2**12 rows at most; later ones are as many as their buckets need.
