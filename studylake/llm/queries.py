@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, embedding_dedup, pii, quality, secrets, sentencepiece, sharding, simhash, suffix_dedup
+from . import chat_format, decontamination, embedding_dedup, fill_in_middle, pii, quality, secrets, sentencepiece, sharding, simhash, suffix_dedup
 from .common import table
 
 
@@ -105,6 +105,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select(
+        F.col("id").alias("doc_id"), F.length(back).cast("long").alias("n"), "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<s>', '<\\s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]'), '</s>', '<\\/s>')"
 
 #: The marks of a turn have 20 characters.
@@ -148,7 +157,7 @@ SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed,
 FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""
 
 
-ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_extendible_sharding, op4_embedding_near_dedup, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op9_suffix_array_dedup, op10_sentencepiece)
+ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_extendible_sharding, op4_embedding_near_dedup, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op9_suffix_array_dedup, op10_sentencepiece, op12_fill_in_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -156,4 +165,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_extendible_sharding": OP3_SQL, "op4_embedding_near_dedup": OP4_SQL, "op6_secret_scan": secrets.sql(), "op7_chat_formatting": OP7_SQL, "op9_suffix_array_dedup": OP9_SQL}
+    return {"op3_extendible_sharding": OP3_SQL, "op4_embedding_near_dedup": OP4_SQL, "op6_secret_scan": secrets.sql(), "op7_chat_formatting": OP7_SQL, "op9_suffix_array_dedup": OP9_SQL, "op12_fill_in_middle": fill_in_middle.SQL}
