@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, embedding_dedup, fill_in_middle, pii, quality, secrets, sentencepiece, sharding, simhash, suffix_dedup
+from . import chat_format, decontamination, embedding_dedup, fill_in_middle, pii, quality, secrets, sentencepiece, sharding, simhash, spelling, suffix_dedup
 from .common import table
 
 
@@ -105,6 +105,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     back = fill_in_middle.restore(F.col("output"), F.col("form"))
@@ -157,7 +161,7 @@ SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed,
 FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""
 
 
-ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_extendible_sharding, op4_embedding_near_dedup, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op9_suffix_array_dedup, op10_sentencepiece, op12_fill_in_middle)
+ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_extendible_sharding, op4_embedding_near_dedup, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op9_suffix_array_dedup, op10_sentencepiece, op11_spelling_variants, op12_fill_in_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -165,4 +169,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_extendible_sharding": OP3_SQL, "op4_embedding_near_dedup": OP4_SQL, "op6_secret_scan": secrets.sql(), "op7_chat_formatting": OP7_SQL, "op9_suffix_array_dedup": OP9_SQL, "op12_fill_in_middle": fill_in_middle.SQL}
+    return {"op3_extendible_sharding": OP3_SQL, "op4_embedding_near_dedup": OP4_SQL, "op6_secret_scan": secrets.sql(), "op7_chat_formatting": OP7_SQL, "op9_suffix_array_dedup": OP9_SQL, "op11_spelling_variants": spelling.SQL, "op12_fill_in_middle": fill_in_middle.SQL}
