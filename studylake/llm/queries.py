@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, embedding_dedup, fill_in_middle, pii, quality, secrets, sentencepiece, sharding, simhash, spelling, suffix_dedup
+from . import chat_format, decontamination, embedding_dedup, fill_in_middle, html_extraction, pii, quality, secrets, sentencepiece, sharding, simhash, spelling, suffix_dedup
 from .common import table
 
 
@@ -118,6 +118,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_extraction.extract(pages, html_extraction.train(pages), carry=("url",))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<s>', '<\\s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]'), '</s>', '<\\/s>')"
 
 #: The marks of a turn have 20 characters.
@@ -161,7 +167,7 @@ SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed,
 FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""
 
 
-ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_extendible_sharding, op4_embedding_near_dedup, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op9_suffix_array_dedup, op10_sentencepiece, op11_spelling_variants, op12_fill_in_middle)
+ALL = (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_extendible_sharding, op4_embedding_near_dedup, op5_pii_surrogates, op6_secret_scan, op7_chat_formatting, op8_quality_classifier, op9_suffix_array_dedup, op10_sentencepiece, op11_spelling_variants, op12_fill_in_middle, op13_html_extraction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -169,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_extendible_sharding": OP3_SQL, "op4_embedding_near_dedup": OP4_SQL, "op6_secret_scan": secrets.sql(), "op7_chat_formatting": OP7_SQL, "op9_suffix_array_dedup": OP9_SQL, "op11_spelling_variants": spelling.SQL, "op12_fill_in_middle": fill_in_middle.SQL}
+    return {"op3_extendible_sharding": OP3_SQL, "op4_embedding_near_dedup": OP4_SQL, "op6_secret_scan": secrets.sql(), "op7_chat_formatting": OP7_SQL, "op9_suffix_array_dedup": OP9_SQL, "op11_spelling_variants": spelling.SQL, "op12_fill_in_middle": fill_in_middle.SQL, "op13_html_extraction": html_extraction.SQL}
