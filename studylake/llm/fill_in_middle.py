@@ -51,24 +51,26 @@ def fill_in_middle(
     form = F.when(plain, "plain").when(_draw(digest, 4) % 100 < spm_percent, "spm").otherwise("psm")
     rows = rows.select("id", "text", digest.alias("digest"), form.alias("form"))
 
-    # Every stretch but a text's last holds STRETCH units.
-    several = rows.select(key.alias("key"), "digest", "form", _matches(F.col("text"), f"(?:{unit}){{1,{STRETCH}}}").alias("found"))
-    several = several.select("key", "digest", "form", F.size("found").alias("many"), F.posexplode("found").alias("stretch", "said"))
+    # Every stretch but a text's last holds STRETCH units. The first carries the numbers that choose the cuts, null if plain.
+    draws = [F.when(F.col("form") != "plain", _draw(F.col("digest"), n)).alias(f"draw{n}") for n in (1, 2)]
+    several = rows.select(key.alias("key"), *draws, _matches(F.col("text"), f"(?:{unit}){{1,{STRETCH}}}").alias("found"))
+    several = several.select("key", "draw1", "draw2", F.size("found").alias("many"), F.posexplode("found").alias("stretch", "said"))
     units = F.when(F.col("stretch") < F.col("many") - 1, STRETCH).otherwise(F.size(_matches(F.col("said"), unit)))
-    several = several.select("key", "digest", "form", "stretch", units.cast("long").alias("units"), F.length("said").cast("long").alias("chars"))
+    draws = [F.when(F.col("stretch") == 0, F.col(d)).alias(d) for d in ("draw1", "draw2")]
+    several = several.select("key", *draws, "stretch", units.cast("int").alias("units"), F.length("said").alias("chars"))
     several = several.repartition("key").dropDuplicates(["key", "stretch"])
     whole = Window.partitionBy("key")
     before = whole.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     placed = scratch.write(
         several.select(
-            "key", "digest", "form", "stretch", "chars", F.coalesce(F.sum("units").over(before), F.lit(0)).alias("unit_at"),
+            "key", "draw1", "draw2", "stretch", "chars", F.coalesce(F.sum("units").over(before), F.lit(0)).alias("unit_at"),
             F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("char_at"), F.sum("units").over(whole).alias("n_units"),
         )
     )
 
-    ends = [_draw(F.col("digest"), n) % (F.col("n_units") + 1) for n in (1, 2)]
+    ends = [F.col(d) % (F.col("n_units") + 1) for d in ("draw1", "draw2")]
     cuts = F.explode(F.array(*(F.struct(F.lit(i).alias("cut"), pick(*ends).alias("ordinal")) for i, pick in enumerate((F.least, F.greatest)))))
-    asked = placed.where("stretch = 0 AND form <> 'plain'").select("key", cuts.alias("c")).select("key", "c.cut", "c.ordinal")
+    asked = placed.where("stretch = 0 AND draw1 IS NOT NULL").select("key", cuts.alias("c")).select("key", "c.cut", "c.ordinal")
     # The stretch that holds the last unit before a cut.
     asked = asked.withColumn("stretch", F.expr(f"CAST(greatest(ordinal - 1, 0) DIV {STRETCH} AS INT)"))
     met = asked.join(placed.select("key", "stretch", "chars", "unit_at", "char_at"), ["key", "stretch"])
