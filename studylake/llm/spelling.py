@@ -34,7 +34,7 @@ RATIO = 10
 #: Outermost letters that group halves; not more than half of ``MIN_CHARS``.
 ANCHOR = 3
 #: Words of a group, patterns of a shard, and owners of a half that are compared one by one.
-GROUP_LIMIT, SHARD_PATTERNS, FEW = 20_000, 20_000, 6
+GROUP_LIMIT, SHARD_PATTERNS, FEW = 4_000, 20_000, 6
 
 ENTRY = "shard int, role int, path string, size int, word string, n long"
 
