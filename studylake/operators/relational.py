@@ -58,9 +58,10 @@ def neighbours(df: DataFrame, key: str, ordinal: str, text: str, name: str, reac
     return df.withColumn(name, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, text)).over(w)), lambda s: s[text]), "\n"))
 
 
-def next_version(keys: DataFrame, df: DataFrame, key: str, name: str = "next_version") -> DataFrame:
-    """One more than the highest version of each key, 1 where there is none; versions count rows (AGG-5)."""
-    return keys.join(df.groupBy(key).agg(F.count("*").alias("__n")), key, "left").select(key, (F.coalesce("__n", F.lit(0)) + 1).cast("long").alias(name))
+def next_version(keys: DataFrame, df: DataFrame, key: str, version: str, name: str = "next_version") -> DataFrame:
+    """One more than the highest version of each key, 1 where there is none (AGG-5); versions may have gaps."""
+    top = df.groupBy(key).agg(F.max(version).alias("__top"))
+    return keys.join(top, key, "left").select(key, (F.coalesce("__top", F.lit(0)) + 1).cast("long").alias(name))
 
 
 def running_start(df: DataFrame, key: str, order: str, length: str, gap: int = 2) -> Column:

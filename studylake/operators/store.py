@@ -1,7 +1,7 @@
-"""Changes to stored tables as joins, and snapshots that readers switch to as a whole.
+"""Changes to stored tables as joins.
 
-Parquet tables have no MERGE, UPDATE or DELETE: a change reads the table and gives its next state, which ``Snapshots``
-writes beside the present one.
+Parquet tables have no MERGE, UPDATE or DELETE: a change reads the table and gives its next state, which a commit of
+``commits.Log`` puts in place of the present one.
 """
 
 from __future__ import annotations
@@ -119,30 +119,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def expiry(start: Column, days: int = 30) -> Column:
     """When something that started then expires (TIME)."""
     return start + F.make_dt_interval(F.lit(days))
-
-
-class Snapshots:
-    """A table as numbered folders; a reader takes the highest that was finished, so a failed write is never seen (SNK-1)."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.fs_path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        if not self.fs.exists(self.fs_path(self.root)):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.fs_path(self.root))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and self.fs.exists(self.fs_path(f"{self.root}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{self.versions()[-1]}")
-
-    def write(self, df: DataFrame) -> int:
-        """Write the next state, which may be computed from the present one."""
-        version = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        return version
-
-    def append(self, df: DataFrame) -> int:
-        return self.write(self.read().unionByName(df) if self.versions() else df)

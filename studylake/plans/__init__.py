@@ -1,6 +1,6 @@
 """Registered queries over the library's operators."""
 
-from . import annotations, discussion, editing, ingest, library, sinks, study
+from . import annotations, discussion, editing, ingest, library, sinks, stored, study
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "annotations", "discussion", "editing", "ingest", "library", "sinks", "study"]
+__all__ = ["QUERIES", "SQL", "annotations", "discussion", "editing", "ingest", "library", "sinks", "stored", "study"]

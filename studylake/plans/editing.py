@@ -57,19 +57,21 @@ def _revisions(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT c_custkey, count(o_orderkey) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
-SELECT c_custkey AS document_id, top + CASE WHEN c_custkey % 3 = 0 AND top > 0 THEN 0 ELSE 1 END AS revisions, CASE WHEN c_custkey % 3 = 0 AND top > 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS conflicts FROM n""")
+SELECT c_custkey AS document_id, top + CASE WHEN c_custkey % 3 = 0 AND top > 0 THEN 0 ELSE 1 END AS revisions,
+  CASE WHEN c_custkey % 3 = 0 AND top > 0 THEN 2 ELSE 1 END + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS conflicts, CASE WHEN c_custkey % 3 = 0 AND top > 0 THEN 0 ELSE 1 END AS nulls FROM n""")
 def edit_save(spark, sf_dir):
-    """ED-7: every customer saves on the newest revision, each third on an old one; each second saves once more from nowhere."""
+    """ED-7: every customer saves twice the same without content on the newest revision, each third on an old one; each second
+    saves once more from nowhere."""
     revisions, customer = _revisions(spark, sf_dir), read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"))
     top = customer.join(revisions.groupBy("document_id").agg(F.max("revision").alias("top")), "document_id", "left").withColumn("top", F.coalesce("top", F.lit(0)))
     stale = (F.col("document_id") % 3 == 0) & (F.col("top") > 0)
-    saves = top.select("document_id", F.when(stale, F.col("top") - 1).otherwise(F.col("top")).alias("base_revision"), F.lit("mine").alias("content"))
+    saves = top.select("document_id", F.when(stale, F.col("top") - 1).otherwise(F.col("top")).alias("base_revision"), F.lit(None).cast("string").alias("content"))
     far = top.where("document_id % 2 = 0").select("document_id", (F.col("top") + 9).alias("base_revision"), F.lit("far").alias("content"))
-    after, bad = edits.save(revisions, saves.unionByName(far))
-    counts = after.groupBy("document_id").agg(F.max("revision").alias("revisions"))
+    after, bad = edits.save(revisions, saves.unionByName(saves).unionByName(far))
+    counts = after.groupBy("document_id").agg(F.max("revision").alias("revisions"), F.count_if(F.col("content").isNull()).alias("nulls"))
     conflicts = bad.groupBy("document_id").agg(F.count("*").alias("conflicts"))
     out = customer.join(counts, "document_id", "left").join(conflicts, "document_id", "left")
-    return out.select("document_id", F.coalesce("revisions", F.lit(0)).cast("long").alias("revisions"), F.coalesce("conflicts", F.lit(0)).cast("long").alias("conflicts"))
+    return out.select("document_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("revisions", "conflicts", "nulls")))
 
 
 @query("""WITH n AS (SELECT o_custkey, count(*) AS top, arg_min(o_orderstatus, o_orderkey) AS first FROM orders GROUP BY 1)

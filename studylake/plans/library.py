@@ -100,11 +100,11 @@ def neighbor_window(spark, sf_dir):
     return rel.neighbours(turns, "conv_id", "turn", "text", "neighbor_text").select("conv_id", "turn", "neighbor_text")
 
 
-@query("""SELECT c_custkey AS o_custkey, count(o_orderkey) + 1 AS next_version FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+@query("""SELECT c_custkey AS o_custkey, coalesce(max(o_orderkey), 0) + 1 AS next_version FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def next_version(spark, sf_dir):
-    """AGG-5, ART-1."""
+    """AGG-5, ART-1: order numbers as versions, with gaps."""
     customer, orders = read(spark, sf_dir, "customer", "orders")
-    return rel.next_version(customer.select(F.col("c_custkey").alias("o_custkey")), orders, "o_custkey")
+    return rel.next_version(customer.select(F.col("c_custkey").alias("o_custkey")), orders, "o_custkey", "o_orderkey")
 
 
 @query("""SELECT conv_id, count(*) AS n_messages, '[' || string_agg('{"turn":' || turn || ',"role":' || to_json(role) || ',"content":' || to_json(text) || '}', ',' ORDER BY turn) || ']' AS messages FROM conversations GROUP BY conv_id""")

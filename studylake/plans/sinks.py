@@ -94,16 +94,6 @@ def model_catalogue(spark, sf_dir):
     return raw.select(F.col("p_brand").alias("provider"), F.explode(sse.catalogue(F.col("raw"))).alias("m")).select("provider", "m.id", "m.label", "m.context_window")
 
 
-@query("""SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1""")
-def snapshot_append(spark, sf_dir):
-    """SNK-1: finished orders as a table's first state, all others appended; readers see whole states alone."""
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    table = store.Snapshots(spark, store.shared_folder(spark, "snapshots"))
-    table.write(orders.where("o_orderstatus = 'F'"))
-    table.append(orders.where("o_orderstatus <> 'F'"))
-    return table.read().groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-
-
 @query("""SELECT o_custkey AS document_id, count(*) + 1 AS exports, 'markdown' AS newest FROM orders GROUP BY 1""")
 def export_history(spark, sf_dir):
     """SNK-11: orders as the history of exports, and a new export of every document."""
