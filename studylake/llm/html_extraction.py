@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import only, tidy
 from .page_layouts import MARK, Layout
 
-#: Pages that training reads at most, layouts that each article is set in, and characters of an article used in them.
-SAMPLE_PAGES, LAYOUTS, ARTICLE_CHARS = 400, 5, 4000
+#: Pages that training reads at most, characters that such a page has at most, layouts that each article is set in, and
+#: characters of an article used in them.
+SAMPLE_PAGES, SAMPLE_CHARS, LAYOUTS, ARTICLE_CHARS = 400, 200_000, 5, 4000
 SEED = 13
 
 #: Fixed values of HTML: elements that start a block, that have no end tag, and whose content is not page text.
@@ -250,7 +251,7 @@ def article(html: str | None, model: Model, memo: dict | None = None) -> str:
     return "\n".join(b.text for b, keep in zip(found, viterbi(scores, model)) if keep)
 
 
-def fit(pages: list[tuple[list[Block], list[bool]]], rounds: int = 200, rate: float = 0.1, decay: float = 2e-4) -> Model:
+def fit(pages: list[tuple[list[Block], list[bool]]], rounds: int = 200, rate: float = 0.2, decay: float = 2e-5) -> Model:
     """Weights that make the labels of pages likeliest, by gradient steps (Adam) with a small quadratic penalty."""
     pages = [p for p in pages if p[0]]
     if not pages:
@@ -338,10 +339,15 @@ def labelled_pages(pages: list[str], seed: int = SEED, layouts: int = LAYOUTS) -
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Model:
-    """The model of at most ``sample`` pages: those whose ids hash lowest, so that the choice is the same in every run."""
-    rows = only(pages, id=id_col, html=html_col).where("html IS NOT NULL").withColumn("h", F.xxhash64("id"))
-    chosen = rows.orderBy("h", "id", F.md5("html")).limit(sample)  # a limit of the sample, which is what training may read
-    return fit(labelled_pages([r.html for r in chosen.select(F.col("html").cast("string")).collect()]))
+    """The model of at most ``sample`` pages of ``SAMPLE_CHARS`` at most: those whose ids hash lowest, so that the choice is the
+    same in every run. The hashes are chosen first, so that no task sends more pages to the driver than are used."""
+    rows = only(pages, id=id_col, html=html_col).withColumn("html", F.col("html").cast("string"))
+    rows = rows.where(F.length("html") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("id"))
+    lowest = [r.h for r in rows.select("h").orderBy("h").limit(sample).collect()]
+    if not lowest:
+        return fit(labelled_pages([]))
+    chosen = rows.where(F.col("h") <= lowest[-1]).orderBy("h", "id", F.md5("html")).limit(sample)
+    return fit(labelled_pages([r.html for r in chosen.select("html").collect()]))
 
 
 def extract(pages: DataFrame, model: Model, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -113,8 +113,8 @@ class Layout:
                 words = body.split(" ")
                 body = " ".join([*words[:1], f'<a href="/x">{" ".join(words[1:4])}</a>', *words[4:]])
             marked.append(f"<ul>{start}{body}{end}</ul>" if kind == "li" else f"{start}{body}" if kind == "p" and self.rng.random() < 0.05 else f"{start}{body}{end}")
-        if marked and self.rng.random() < 0.3:
-            for _ in range(self.rng.randint(1, 3)):
+        if marked and self.rng.random() < 0.6:
+            for _ in range(self.rng.randint(1, 4)):
                 marked.insert(self.rng.randint(0, len(marked)), self.rng.choice((self.advert, self.share, self.side, self.form, self.notice, self.menu, self.hidden))())
         if marked and self.rng.random() < 0.15:
             marked[0] = f"<header>{marked[0]}{self.share() if self.rng.random() < 0.5 else ''}</header>"
