@@ -136,22 +136,23 @@ def active_branch(threads: DataFrame, messages: DataFrame, limit: int = 32) -> D
     """``(leaf_id, depth, thread_id, cutoff)``: each thread's way up through parent messages (CTX-5, JN-18).
 
     ``threads``: thread_id, parent_message_id; ``messages``: message_id, thread_id, created_at. ``cutoff`` is the time up to
-    which an ancestor's messages count, null for the leaf. A cycle ends at the limit. The parents are resolved first, so a
-    level is one join; levels are as many as the deepest thread has, ``limit`` at most, and rows are not bounded.
+    which an ancestor's messages count, null for the leaf. A cycle ends at the limit. Ways are put together from ways of half
+    their length, so 32 levels take five joins; rows are not bounded.
     """
-    up = threads.select("thread_id", "parent_message_id").join(
-        messages.select(F.col("message_id").alias("parent_message_id"), F.col("thread_id").alias("parent_thread"), "created_at"), "parent_message_id"
+    up = threads.select(F.col("thread_id").alias("leaf_id"), "parent_message_id").join(
+        messages.select(F.col("message_id").alias("parent_message_id"), "thread_id", F.col("created_at").cast("timestamp_ntz").alias("cutoff")), "parent_message_id"
     )
-    up = written(up.select("thread_id", "parent_thread", F.col("created_at").cast("timestamp_ntz").alias("cutoff")), "branch")
-    level = written(threads.select(F.col("thread_id").alias("leaf_id"), F.lit(0).alias("depth"), "thread_id", F.lit(None).cast("timestamp_ntz").alias("cutoff")), "branch")
-    levels = [level]
-    while len(levels) < limit:
-        step = level.select("leaf_id", "depth", "thread_id").join(up, "thread_id")
-        level = written(step.select("leaf_id", (F.col("depth") + 1).alias("depth"), F.col("parent_thread").alias("thread_id"), "cutoff"), "branch")
-        if level.isEmpty():
+    ways = written(up.select("leaf_id", F.lit(1).alias("depth"), "thread_id", "cutoff"), "branch")
+    reach = 1
+    while reach < limit - 1:
+        far = ways.where(F.col("depth") == reach).select("leaf_id", F.col("thread_id").alias("__via"))
+        on = ways.select(F.col("leaf_id").alias("__via"), (F.col("depth") + reach).alias("depth"), "thread_id", "cutoff").where(F.col("depth") < limit)
+        more = written(far.join(on, "__via").select(*ways.columns), "branch")
+        if more.isEmpty():
             break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+        ways, reach = ways.unionByName(more), 2 * reach
+    own = threads.select(F.col("thread_id").alias("leaf_id"), F.lit(0).alias("depth"), "thread_id", F.lit(None).cast("timestamp_ntz").alias("cutoff"))
+    return own if limit < 2 else own.unionByName(ways)
 
 
 def branch_messages(branch: DataFrame, messages: DataFrame) -> DataFrame:
@@ -168,6 +169,41 @@ def jobs_to_queue(wanted: DataFrame, cached: DataFrame, jobs: DataFrame, keys: l
     return wanted.select(*keys).distinct().join(cached.select(*keys), keys, "left_anti").join(live, keys, "left_anti")
 
 
+#: States of a job and the moves between them (CTX-9); a job that has ended may be queued again.
+STATES = ("none", "queued", "running", "completed", "failed", "cancelled")
+MOVES = {
+    ("none", "queue"): "queued", ("completed", "queue"): "queued", ("failed", "queue"): "queued", ("cancelled", "queue"): "queued", ("queued", "start"): "running",
+    ("running", "result"): "completed", ("running", "fail"): "failed", ("queued", "cancel"): "cancelled", ("running", "cancel"): "cancelled", ("queued", "text_changed"): "cancelled", ("running", "text_changed"): "cancelled",
+}
+
+
+def job_states(moves: DataFrame, job: str, order: str, move: str, chunk: Column) -> DataFrame:
+    """``(job, status, errors, n_moves)``: each job's moves folded in order; an illegal move changes nothing and is counted.
+
+    Moves of a job are folded a ``chunk`` at a time (a number that grows with ``order``), from every state that it may begin in,
+    and the chunks are put together in their order: no task needs to hold all moves of a job.
+    """
+    table = F.create_map(*(F.lit(x) for (was, by), now in MOVES.items() for x in (f"{was} {by}", now)))
+    start = lambda state: F.struct(state.alias("state"), F.lit(0).cast("long").alias("errors"))
+
+    def step(acc: Column, m: Column) -> Column:
+        now = F.try_element_at(table, F.concat(acc["state"], F.lit(" "), F.coalesce(m["move"], F.lit(""))))
+        return F.struct(F.coalesce(now, acc["state"]).alias("state"), (acc["errors"] + now.isNull().cast("long")).alias("errors"))
+
+    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(move).alias("move"))))
+    parts = moves.groupBy(F.col(job).alias("job"), chunk.alias("chunk")).agg(steps.alias("steps"), F.count("*").alias("n"))
+    ends = F.map_from_arrays(F.array(*map(F.lit, STATES)), F.array(*(F.aggregate("steps", start(F.lit(s)), step) for s in STATES)))
+    parts = parts.select("job", "n", F.struct("chunk", ends.alias("ends")).alias("part"))
+    whole = parts.groupBy("job").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("part.chunk").alias("c"), F.map_values("part.ends").alias("ends")))), lambda p: p["ends"]).alias("parts"), F.sum("n").alias("n_moves"))
+
+    def chain(acc: Column, ends_: Column) -> Column:
+        end = F.element_at(ends_, F.array_position(F.array(*map(F.lit, STATES)), acc["state"]).cast("int"))
+        return F.struct(end["state"].alias("state"), (acc["errors"] + end["errors"]).alias("errors"))
+
+    done = whole.select("job", "n_moves", F.aggregate("parts", start(F.lit("none")), chain).alias("end"))
+    return done.select(F.col("job").alias(job), F.col("end.state").alias("status"), F.col("end.errors").alias("errors"), "n_moves")
+
+
 def finish_jobs(jobs: DataFrame, results: DataFrame, texts: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Running jobs with their outcome (CTX-9): a result counts if its text is still the current one and it has 1 token at
     least and its tier's limit at most. ``results``: job_id, content, text_hash; ``texts``: version_id, text_hash."""

@@ -33,16 +33,39 @@ def notebook(notes: DataFrame, key: str, order: str, quote: str, note: str) -> D
     return footnotes(notes, key, order, quote, note).groupBy(key).agg(F.concat(part("quote"), F.lit("\n\n"), part("line")).alias("markdown"))
 
 
+#: How a page or a style sheet names an asset.
+REFERENCE = r"asset:([A-Za-z0-9_-]+)"
+
+
+def with_references(text: Column, uris: Column) -> Column:
+    """A text with the assets that it names put in from a map; names are taken whole, and unknown ones stay."""
+    parts, names = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+    put = lambda i: F.coalesce(F.try_element_at(uris, F.get(names, i)), F.concat(F.lit("asset:"), F.get(names, i)), F.lit(""))
+    return F.array_join(F.transform(parts, lambda part, i: F.concat(part, put(i))), "")
+
+
 def embed_assets(pages: DataFrame, assets: DataFrame, key: str, html: str) -> DataFrame:
-    """HTML with its asset ids replaced by data URIs, stylesheets first (EX-2, SRC-9).
+    """HTML with its asset ids replaced by data URIs (EX-2, SRC-9).
 
-    ``assets``: key, asset_id, mime, content. Assets of a page meet in its row; references are ``asset:<id>``.
+    ``assets``: key, asset_id (unique in a page), mime, content. Assets of a page meet in its row; references are
+    ``asset:<id>``. Style sheets come after all others and in the order of their ids: each gets the URIs of the assets that it
+    names, earlier style sheets among them, before it is encoded itself.
     """
-    uri = F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.regexp_replace(F.base64("content"), r"\s", ""))
-    first = F.when(F.col("mime") == "text/css", 0).otherwise(1)
-    listed = assets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(first.alias("o"), "asset_id", uri.alias("uri")))).alias("__assets"))
-    swap = F.aggregate(F.coalesce("__assets", F.array().cast("array<struct<o:int,asset_id:string,uri:string>>")), F.col(html), lambda acc, a: F.replace(acc, F.concat(F.lit("asset:"), a["asset_id"]), a["uri"]))
-    return pages.join(listed, key, "left").withColumn(html, swap).drop("__assets")
+    encoded = lambda content: F.regexp_replace(F.base64(content), r"\s", "")
+    style = F.col("mime") == "text/css"
+    entry = F.struct("asset_id", F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), encoded(F.col("content"))).alias("uri"))
+    listed = assets.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.when(~style, entry))).alias("__plain"),
+        F.array_sort(F.collect_list(F.when(style, F.struct("asset_id", F.decode("content", "UTF-8").alias("text"))))).alias("__styles"),
+    )
+
+    def add(known: Column, sheet: Column) -> Column:
+        body = F.encode(with_references(sheet["text"], known), "UTF-8")
+        return F.map_concat(known, F.create_map(sheet["asset_id"], F.concat(F.lit("data:text/css;base64,"), encoded(body))))
+
+    uris = F.aggregate(F.col("__styles"), F.col("__plain"), add)
+    joined = pages.join(listed, key, "left").withColumn(html, F.when(F.col("__plain").isNull(), F.col(html)).otherwise(with_references(F.col(html), uris)))
+    return joined.drop("__plain", "__styles")
 
 
 def without_scripts(html: Column) -> Column:
@@ -50,17 +73,23 @@ def without_scripts(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>", "")
 
 
-def export_data(documents: DataFrame, versions: DataFrame, highlights: DataFrame, artifacts: DataFrame, assets: DataFrame | None = None, transcript: DataFrame | None = None) -> DataFrame:
+def export_data(documents: DataFrame, versions: DataFrame, highlights: DataFrame, artifacts: DataFrame, assets: DataFrame | None = None, transcript: DataFrame | None = None, revisions: DataFrame | None = None) -> DataFrame:
     """Newest version of each document with checked highlights by offset and promoted artifacts by time (EX-1).
 
     Where ``versions`` has ``html``, it comes without scripts and, with ``assets`` (version_id, asset_id, mime, content), with
-    these embedded. ``transcript`` (document_id, created_at, role, content) adds the messages of the discussions in order.
+    these embedded. ``revisions`` (version_id, revision and any of canonical_text and html) are its edits: the newest one stands
+    for the version. ``transcript`` (document_id, created_at, role, content) adds the messages of the discussions in order.
     """
     values = [c for c in ("version", "version_id", "canonical_text", "html") if c in versions.columns]
     newest = versions.groupBy("document_id").agg(F.max_by(F.struct(*values), "version").alias("v"))
     notes = highlights.where("checked").groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("start_offset", "exact_quote", "note"))).alias("highlights"))
     kept = artifacts.where("promoted").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "kind", "content"))).alias("artifacts"))
     out = documents.join(newest, "document_id").select(*documents.columns, *(f"v.{c}" for c in values))
+    if revisions is not None:
+        edited = [c for c in ("canonical_text", "html") if c in values and c in revisions.columns]
+        newer = revisions.groupBy("version_id").agg(F.max_by(F.struct(*edited), "revision").alias("__edit"))
+        out = out.join(newer, "version_id", "left")
+        out = out.select(*(F.coalesce(F.col(f"__edit.{c}"), F.col(c)).alias(c) if c in edited else F.col(c) for c in out.columns if c != "__edit"))
     if "html" in values:
         out = out.withColumn("html", without_scripts(F.col("html")))
         out = out if assets is None else embed_assets(out, assets, "version_id", "html")

@@ -167,6 +167,42 @@ def active_branch(spark, sf_dir):
     return branch.select("leaf_id", F.col("depth").cast("long").alias("depth"), F.col("thread_id").alias("node_id"))
 
 
+@query("""WITH RECURSIVE t AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+u AS (SELECT t.conv_id, c.conv_id AS parent, c.turn AS cut FROM t JOIN conversations c ON c.conv_id = t.conv_id - 1 AND c.turn = t.conv_id % 3),
+w AS (SELECT conv_id AS leaf, 0 AS depth, conv_id AS node, CAST(NULL AS BIGINT) AS cut FROM t UNION ALL SELECT w.leaf, depth + 1, u.parent, u.cut FROM w JOIN u ON u.conv_id = w.node WHERE depth + 1 < 32),
+m AS (SELECT leaf, depth, turn, text FROM w JOIN conversations c ON c.conv_id = w.node WHERE cut IS NULL OR turn <= cut)
+SELECT leaf AS conv_id, count(*) AS n_messages, max(depth) AS depth, sha256(string_agg(text, chr(10) ORDER BY depth DESC, turn)) AS branch_hash FROM m GROUP BY leaf""")
+def branch_cutoffs(spark, sf_dir):
+    """CTX-5: each conversation branches off an early turn of the one before it, and has its ancestors' messages up to there."""
+    turns = read(spark, sf_dir, "conversations")
+    said = turns.select((F.col("conv_id") * 100000 + F.col("turn")).alias("message_id"), F.col("conv_id").alias("thread_id"), "role", F.col("text").alias("content"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("turn").cast("int"))).alias("created_at"))
+    own = F.col("conv_id")
+    threads = turns.select("conv_id").distinct().select(own.alias("thread_id"), ((own - 1) * 100000 + own % 3).alias("parent_message_id"))
+    branch = context.active_branch(threads, said, 32)
+    joined = context.branch_messages(branch, said).select("leaf_id", F.size("branch").cast("long").alias("n_messages"), F.sha2(F.array_join(F.transform("branch", lambda m: m["content"]), "\n"), 256).alias("branch_hash"))
+    deepest = branch.join(said.select("thread_id", "created_at"), "thread_id").where("cutoff IS NULL OR created_at <= cutoff").groupBy("leaf_id").agg(F.max("depth").cast("long").alias("depth"))
+    return joined.join(deepest, "leaf_id").select(F.col("leaf_id").alias("conv_id"), "n_messages", "depth", "branch_hash")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'queue' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'result' WHEN 'error' THEN 'fail' ELSE 'text_changed' END AS move,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s AS (SELECT user_id, n, CAST(0 AS BIGINT) AS r, 'none' AS status, CAST(0 AS BIGINT) AS errors FROM e WHERE r = 1 UNION ALL
+  SELECT s.user_id, s.n, e.r, CASE WHEN move = 'queue' AND status NOT IN ('queued', 'running') THEN 'queued' WHEN move = 'start' AND status = 'queued' THEN 'running' WHEN move = 'result' AND status = 'running' THEN 'completed'
+    WHEN move = 'fail' AND status = 'running' THEN 'failed' WHEN move = 'text_changed' AND status IN ('queued', 'running') THEN 'cancelled' ELSE status END,
+  errors + CASE WHEN (move = 'queue' AND status NOT IN ('queued', 'running')) OR (move = 'start' AND status = 'queued') OR (move IN ('result', 'fail') AND status = 'running') OR (move = 'text_changed' AND status IN ('queued', 'running')) THEN 0 ELSE 1 END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)
+SELECT user_id, status, errors, n AS n_moves, status NOT IN ('queued', 'running') AS queued_again FROM s WHERE r = n""")
+def job_states(spark, sf_dir):
+    """CTX-9: a user's events as moves of a context job, folded in order; those without a live job are queued anew."""
+    kind = F.col("event_type")
+    move = F.when(kind == "view", "queue").when(kind == "click", "start").when(kind == "purchase", "result").when(kind == "error", "fail").otherwise("text_changed")
+    events = read(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), move.alias("move"))
+    states = context.job_states(events, "user_id", "at", "move", F.date_trunc("day", F.col("at.ts")))
+    none = states.select("user_id").where("false")
+    again = context.jobs_to_queue(states, none, states, ["user_id"]).withColumn("again", F.lit(True))
+    return states.join(again, "user_id", "left").select("user_id", "status", "errors", "n_moves", F.coalesce("again", F.lit(False)).alias("queued_again"))
+
+
 _ENVELOPE = " || ".join("'[" + v + "]' || chr(10) || " + {"articleContext": "text", "action": "action", "request": "'Please do this with the selection: ' || action || '.'", "contextTier": "'canonical'"}.get(v, "''") + " || chr(10)" for v in templates.ENVELOPE)
 
 

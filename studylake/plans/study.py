@@ -131,13 +131,16 @@ def markdown_footnotes(spark, sf_dir):
     return exports.footnotes(docs, "source", "doc_id", "quote", "note").select("source", "ordinal", "line")
 
 
-@query("""SELECT page_id, replace(html, 'href=', 'data:text/plain;base64,' || base64(encode('p' || page_id)) || '=') AS html FROM pages""")
+@query("""WITH u AS (SELECT page_id, html, 'data:text/plain;base64,' || base64(encode('p' || page_id)) AS a1, 'data:text/plain;base64,' || base64(encode('q' || page_id)) AS a10 FROM pages),
+s AS (SELECT *, 'data:text/css;base64,' || base64(encode('i{' || a1 || '}')) AS c0 FROM u), t AS (SELECT *, 'data:text/css;base64,' || base64(encode('b{url(' || a10 || ')} ' || c0)) AS c1 FROM s)
+SELECT page_id, replace(html, 'href=', a10 || '=') || '<link ' || c1 || '> ' || a1 || ' asset:a' AS html FROM t""")
 def asset_inline(spark, sf_dir):
-    """EX-2, ENC: each page with one asset of its own."""
-    pages = read(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("href="), F.lit("asset:a1=")).alias("html"))
-    content = F.encode(F.concat(F.lit("p"), F.col("page_id").cast("string")), "UTF-8")
-    assets = pages.select("page_id", F.lit("a1").alias("asset_id"), F.lit("text/plain").alias("mime"), content.alias("content"))
-    return exports.embed_assets(pages, assets, "page_id", "html")
+    """EX-2, ENC: whole pages with two assets, one's id a prefix of the other's, and two style sheets, one in the other."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.concat(F.replace("html", F.lit("href="), F.lit("asset:a10=")), F.lit("<link asset:c1> asset:a1 asset:a")).alias("html"))
+    own = lambda head: F.concat(F.lit(head), F.col("page_id").cast("string"))
+    made = {"a1": ("text/plain", own("p")), "a10": ("text/plain", own("q")), "c0": ("text/css", F.lit("i{asset:a1}")), "c1": ("text/css", F.lit("b{url(asset:a10)} asset:c0"))}
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("asset_id"), F.lit(m).alias("mime"), F.encode(c, "UTF-8").alias("content")) for i, (m, c) in made.items())))
+    return exports.embed_assets(pages, pages.select("page_id", each.alias("a")).select("page_id", "a.*"), "page_id", "html")
 
 
 @query("""SELECT page_id, replace(html, 'href=', 'data:text/plain;base64,' || base64(encode('p' || page_id)) || '=') AS html FROM pages""")

@@ -30,7 +30,11 @@ def events(chunks: DataFrame) -> DataFrame:
 
     Protocols: ``responses`` (typed events) and ``chat`` (choices with deltas, ended by [DONE]).
     """
-    each = bodies(chunks).select("run_id", "protocol", F.posexplode(frames(F.col("body"))).alias("seq", "data"))
+    return decoded(bodies(chunks).select("run_id", "protocol", F.posexplode(frames(F.col("body"))).alias("seq", "data")))
+
+
+def decoded(each: DataFrame) -> DataFrame:
+    """Events of frame rows ``(run_id, protocol, seq, data)``, in batch or as a stream; a time ``ts`` is kept."""
     get = lambda path: F.get_json_object("data", f"$.{path}")
     chat = F.col("protocol") == "chat"
     done = F.col("data") == "[DONE]"
@@ -55,6 +59,7 @@ def events(chunks: DataFrame) -> DataFrame:
         "run_id", F.col("seq").cast("long").alias("seq"), type_.alias("type"), delta.alias("delta"),
         F.when(url.isNotNull(), F.struct(title.alias("title"), url.alias("url"))).alias("citation"),
         tool.alias("tool_name"), tool_input.alias("tool_input"), used_in.alias("input_tokens"), used_out.alias("output_tokens"), finish.alias("finish_reason"),
+        *(["ts"] if "ts" in each.columns else []),
     )
 
 

@@ -1,4 +1,4 @@
-"""Folds of run events, in batch and as a stream."""
+"""Folds of run events in batch; ``runs`` is the same as a stream."""
 
 from __future__ import annotations
 
@@ -30,14 +30,3 @@ def tool_calls(events: DataFrame, key: str = "run_id") -> DataFrame:
     calls = events.where("type = 'tool_call'")
     parts = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("tool_input", F.lit("")).alias("part"))))
     return calls.groupBy(key, "tool_index").agg(F.max("tool_name").alias("tool_name"), F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("arguments"))
-
-
-def streaming_counts(stream: DataFrame, key: str, time: str, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    """Events of each key and window of time, for a stream: state of a window goes once it is ``delay`` late."""
-    marked = stream.withColumn("__ts", F.col(time).cast("timestamp")).withWatermark("__ts", delay)
-    return marked.groupBy(F.window("__ts", width).alias("window"), key).agg(F.count("*").alias("n_events"), F.max("__ts").alias("last_ts"))
-
-
-def streaming_fold(stream: DataFrame, sink, checkpoint: str, key: str = "run_id"):
-    """Start a query that hands each micro-batch's folded runs to ``sink(df, epoch)``, each batch exactly once."""
-    return stream.writeStream.foreachBatch(lambda df, epoch: sink(fold(df, key), epoch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -162,7 +162,7 @@ def test_cancelled_jobs(spark):
     assert [tuple(r) for r in store.cancel_jobs(jobs, "why").orderBy("id").collect()] == [(1, "cancelled", "why"), (2, "completed", None)]
 
 
-def test_event_folds_in_batch_and_stream(spark, tmp_path):
+def test_event_folds(spark):
     stamp = dt.datetime(2024, 1, 1)
     rows = [("r", 2, "text_delta", "b"), ("r", 1, "text_delta", "a"), ("r", 3, "tool_call", None), ("r", 4, "tool_call", None), ("r", 5, "completed", None)]
     full = [(*r, None, 0, "f" if r[1] == 3 else None, {3: "{", 4: "}"}.get(r[1]), 7 if r[1] == 5 else None, 8 if r[1] == 5 else None, "stop" if r[1] == 5 else None, stamp) for r in rows]
@@ -170,14 +170,6 @@ def test_event_folds_in_batch_and_stream(spark, tmp_path):
     row = ev.fold(df).first()
     assert (row.answer, tuple(row.usage), row.finish_reason, row.n_events) == ("ab", (7, 8), "stop", 5)
     assert tuple(ev.tool_calls(df).first())[1:] == (0, "f", "{}")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    seen = []
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = ev.streaming_fold(stream, lambda out, epoch: seen.extend(out.collect()), str(tmp_path / "ck"))
-    query.awaitTermination(120)
-    assert [r.answer for r in seen] == ["ab"]
-    counts = ev.streaming_counts(stream, "run_id", "ts")
-    assert counts.isStreaming and set(counts.columns) == {"window", "run_id", "n_events", "last_ts"}
 
 
 def test_whole_texts_are_escaped(spark, tmp_path):
