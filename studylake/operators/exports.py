@@ -33,6 +33,34 @@ def notebook(notes: DataFrame, key: str, order: str, quote: str, note: str) -> D
     return footnotes(notes, key, order, quote, note).groupBy(key).agg(F.concat(part("quote"), F.lit("\n\n"), part("line")).alias("markdown"))
 
 
+def notebook_lines(documents: DataFrame, notes: DataFrame, artifacts: DataFrame, messages: DataFrame) -> DataFrame:
+    """``(document_id, section, at, part, line)``: a whole Markdown notebook as rows, in the order of section, at and part (EX-4).
+
+    ``documents``: document_id, title, source_name; ``notes``: document_id, at, quote, note; ``artifacts``: document_id, at,
+    kind, content, source_refs; ``messages``: document_id, at, role, content; ``at`` orders the rows of a document. Sections
+    without rows have no heading. Lines stay rows: nothing of a document is gathered before a sink streams them.
+    """
+
+    def lines(rows: DataFrame, section: int, at: Column, *parts: Column) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(i).alias("part"), p.cast("string").alias("line")) for i, p in enumerate(parts)))
+        return rows.select("document_id", F.lit(section).alias("section"), at.cast("long").alias("at"), F.explode(each).alias("l")).select("document_id", "section", "at", "l.part", "l.line")
+
+    text = lambda *values: F.concat(*(F.coalesce(v, F.lit("")) if not isinstance(v, str) else F.lit(v) for v in values))
+    blank, first = F.lit(""), F.lit(-1)
+    head = lines(documents, 0, first, text("# ", F.col("title")), blank, text("Source: ", F.col("source_name")), blank, F.lit("## Checked highlights"), blank)
+    marks = numbered(notes, "document_id", "at", "ordinal")
+    number = F.col("ordinal").cast("string")
+    quotes = lines(marks, 1, F.col("ordinal"), text("> ", F.col("quote"), "[^", number, "]"), blank)
+    ends = lines(marks, 4, F.col("ordinal"), text("[^", number, "]: ", tx.or_else(F.col("note"), F.lit(DEFAULT_NOTE))))
+    titled = lambda rows, section, title: lines(rows.select("document_id").distinct(), section, first, F.lit(title), blank)
+    made = lines(artifacts, 2, F.col("at"), text("### ", F.col("kind")), F.coalesce("content", F.lit("")), blank, text("Sources: ", F.array_join("source_refs", ", ")), blank)
+    said = lines(messages, 3, F.col("at"), text("**", F.col("role"), ":** ", F.col("content")), blank)
+    out = head
+    for more in (quotes, titled(artifacts, 2, "## Promoted artifacts"), made, titled(messages, 3, "## Discussion appendix"), said, ends):
+        out = out.unionByName(more)
+    return out
+
+
 #: How a page or a style sheet names an asset.
 REFERENCE = r"asset:([A-Za-z0-9_-]+)"
 
