@@ -148,12 +148,15 @@ def manifest(exported: DataFrame, fields: list[str], name: str = "documents") ->
 
 
 def unique_names(documents: DataFrame, key: str, title: str, suffix: str = ".html", normalize: bool = True) -> DataFrame:
-    """File names that differ even where titles agree: all but the first key's carry their key (HTM-14, SNK-12)."""
+    """File names that differ even where titles agree: all but the first key's carry their key (HTM-14, SNK-12).
+
+    The first keys are joined by key, not by title, so that documents of one title don't meet in a task.
+    """
     named = documents.withColumn("stem", tx.file_stem(F.col(title), normalize=normalize))
-    first = named.groupBy(F.lower("stem").alias("__stem")).agg(F.min(key).alias("__first"))
-    joined = named.join(first, F.lower("stem") == F.col("__stem"))
-    tail = F.when(F.col(key) != F.col("__first"), F.concat(F.lit("-"), F.col(key).cast("string"))).otherwise("")
-    return joined.withColumn("filename", F.concat("stem", tail, F.lit(suffix))).drop("__stem", "__first", "stem")
+    first = named.groupBy(F.lower("stem").alias("__stem")).agg(F.min(key).alias("__first")).select("__first")
+    joined = named.join(first, F.col(key) == F.col("__first"), "left")
+    tail = F.when(F.col("__first").isNull(), F.concat(F.lit("-"), F.col(key).cast("string"))).otherwise("")
+    return joined.withColumn("filename", F.concat("stem", tail, F.lit(suffix))).drop("__first", "stem")
 
 
 def thread_label(quote: Column, title: Column, default: str = "Discussion") -> Column:
