@@ -326,13 +326,19 @@ def labelled_pages(pages: list[str], seed: int = SEED, layouts: int = LAYOUTS) -
             if mark and room > 0:
                 kept.append((b.own, b.text[:ARTICLE_CHARS]))
                 room -= len(b.text)
-        articles.append(kept)
+        if kept:
+            articles.append(kept)
     if not articles:
         spare = [" ".join("".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 9))) for _ in range(60)) + "." for _ in range(200)]
         articles = [[("h1", rng.choice(spare)[:60]), *(("p", rng.choice(spare)) for _ in range(rng.randint(1, 9)))] for _ in range(100)]
     for kept in articles * layouts:
-        if rng.random() < 0.3:  # paragraphs of other articles and other kinds of blocks
-            kept = kept + [(rng.choice(["h2", "h3", "li", "blockquote", "p", "pre", "td", "dd", "figcaption"]), rng.choice(spare)[: rng.choice([40, 200, 900])]) for _ in range(rng.randint(1, 5))]
+        if rng.random() < 0.5:  # paragraphs of other articles, short ones too, and other kinds of blocks
+            kept = list(kept)
+            for _ in range(rng.randint(1, 5)):
+                kind = rng.choice(["h2", "h3", "li", "blockquote", "p", "p", "p", "pre", "td", "dd", "figcaption"])
+                kept.insert(rng.randint(1, len(kept)), (kind, rng.choice(spare)[: rng.choice([8, 20, 40, 200, 900])].strip() or "a"))
+        if rng.random() < 0.3 and kept[0][0] == "h1":  # short titles
+            kept = [("h1", " ".join(kept[0][1].split()[: rng.randint(1, 3)]) or "a"), *kept[1:]]
         found = blocks(Layout(spare, rng).page(kept))
         out.append((found, [b.marked for b in found]))
     return out

@@ -17,16 +17,17 @@ ARTICLE = (
     "section.content", "div.text", "td.content", "article.post", "div.article__body", "div.page-body", "div.blog-post", "div.news-text", "section", "div.hentry", "div.body-copy",
 )
 AROUND = ("div.container", "div#wrapper", "div.row", "div.page", "div", "div.layout", "main", "div#root", "section.wrapper", "div.site")
+PARTS = ("section", "div", "div.chapter", "section.part", "div.body", "div.inner")
 MENU = ("nav", "nav.main-menu", "ul.menu", "div.navbar", "div#nav", "div.navigation", "ul#topnav", "div.breadcrumbs", "nav.breadcrumb", "div.menu-bar", "div", "ul.nav", "div.tabs", "div.pagination", "nav.toc", "ul")
 TOP = ("header", "div.header", "div#header", "header.site-header", "div.masthead", "div.top-bar", "div.banner", "header#top", "div.site-title")
 BOTTOM = ("footer", "div.footer", "div#footer", "footer.site-footer", "div.copyright", "div.legal", "div#colophon", "div.bottom", "footer")
-SIDE = ("aside", "aside.sidebar", "div.sidebar", "div#sidebar", "div.widget", "div.right-column", "aside.related", "div.related-posts", "section.recommended", "div.trending", "div.popular", "div.rail", "div.side")
+SIDE = ("aside", "aside", "aside", "aside.sidebar", "div.sidebar", "div#sidebar", "div.widget", "div.right-column", "aside.related", "div.related-posts", "section.recommended", "div.trending", "div.popular", "div.rail", "div.side")
 NOTICE = ("div.cookie-notice", "div.notice", "div#cookie-banner", "div.alert", "div.gdpr-consent", "section.notification", "div.message", "div.popup", "div.modal", "div.paywall", "div.announcement", "aside.notice", "p.notice", "div.disclaimer", "div.warning", "div.consent")
 ADVERT = ("div.ad", "div.advert", "div.advertisement", "div#ad-top", "div.sponsored", "aside.ads", "div.promo", "div.adsbox", "section.sponsor", "ins.adsbygoogle", "div.banner-ad", "p.ad", "div.promotion", "div.partner")
 FORM = ("form", "form.newsletter", "form#search", "div.subscribe", "form.signup", "div.search-form", "form.login", "div.newsletter-signup", "form.contact", "fieldset")
 COMMENTS = ("section.comments", "div#comments", "div.comment-list", "ol.commentlist", "section#discussion", "div.comments-area", "div.reader-comments", "div.responses", "section.user-comments", "div#disqus_thread", "ul.replies", "div.reactions")
 COMMENT = ("div.comment", "li.comment", "div.comment-body", "article.comment", "li", "div.reply", "p", "div")
-SHARE = ("div.share", "ul.social", "div.share-buttons", "div.social-links", "div.tags", "div.author-bio", "div.byline", "div.meta", "p.meta", "div.post-meta", "div.toolbar", "div.print")
+SHARE = ("div.share", "ul.social", "div.share-buttons", "div.social-links", "div.tags", "div.author-bio", "div.byline", "div.meta", "p.meta", "div.post-meta", "div.toolbar", "div.print", "footer", "footer.entry-footer")
 HIDDEN = ('div style="display:none"', "div hidden", 'span aria-hidden="true"', 'div aria-hidden="true"')
 
 
@@ -118,19 +119,27 @@ class Layout:
                 marked.insert(self.rng.randint(0, len(marked)), self.rng.choice((self.advert, self.share, self.side, self.form, self.notice, self.menu, self.hidden))())
         if marked and self.rng.random() < 0.15:
             marked[0] = f"<header>{marked[0]}{self.share() if self.rng.random() < 0.5 else ''}</header>"
+        if len(marked) > 2 and self.rng.random() < 0.25:
+            cut = self.rng.randint(1, len(marked) - 1)
+            marked = [self.within(PARTS, "".join(part)) for part in (marked[:cut], marked[cut:])]
         inside = "".join(marked)
-        if self.rng.random() < 0.25:
-            inside += self.comments()
         start, end = opened(self.rng.choice(ARTICLE))
+        if self.rng.random() < 0.12:  # bare text, its lines broken by hand
+            start, end = opened(self.rng.choice(("article", "article", *ARTICLE)), f" {MARK}")
+            inside = "<br>".join(escape(text) for _, text in article)
+        elif self.rng.random() < 0.25:
+            inside += self.comments()
         if start.startswith("<td"):
             start, end = f"<table><tr><td>{self.menu()}</td>{start}", f"{end}</tr></table>"
         before = [self.top] * (self.rng.random() < 0.6) + [self.menu] * (self.rng.random() < 0.7)
         body = [f() for f in before] + self.parts((self.notice, self.advert, self.menu, self.form, self.share, self.hidden), 3)
+        if self.rng.random() < 0.3:
+            body = []
         rest = self.parts((self.side, self.advert, self.share, self.form, self.notice, self.menu), 3)
         if self.rng.random() < 0.4:
             rest.append(self.comments())
         self.rng.shuffle(rest)
-        if self.rng.random() < 0.2:
+        if body and self.rng.random() < 0.2:
             body.append(self.side())
         body += [f"{start}{inside}{end}", *rest]
         if self.rng.random() < 0.8:
