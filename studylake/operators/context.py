@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,11 +93,6 @@ def article(text: Column, profile: Column, which: Column, cached: Column, s: Set
     return F.when(which == "canonical", text).otherwise(F.coalesce(cached, F.substr(text, F.lit(1), budget_chars(text, profile, s).cast("int"))))
 
 
-def cache_key(version: Column, which: Column, text: Column, s: Settings) -> Column:
-    """Key of a cached context: other settings or another text never find it (CTX-9, SNK-13)."""
-    return F.sha2(F.concat_ws("\0", version.cast("string"), which, F.sha2(text, 256), F.lit(repr(s))), 256)
-
-
 def curated_notes(highlights: DataFrame, anchors: DataFrame, version: str) -> DataFrame:
     """Checked notes, or their quotes where the note is empty (CTX-7, JN-1, PRJ-4)."""
     kept = highlights.where("checked").select("anchor_id", "note")

@@ -64,12 +64,6 @@ def next_version(keys: DataFrame, df: DataFrame, key: str, version: str, name: s
     return keys.join(top, key, "left").select(key, (F.coalesce("__top", F.lit(0)) + 1).cast("long").alias(name))
 
 
-def running_start(df: DataFrame, key: str, order: str, length: str, gap: int = 2) -> Column:
-    """Sum of the lengths before a row, each with a gap (AGG-11)."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(F.col(length) + gap).over(w), F.lit(0)).cast("long")
-
-
 def messages_json(df: DataFrame, key: str, order: str, fields: list[str], name: str = "messages") -> DataFrame:
     """Rows of a key as a JSON array of objects, in order inside the array (AGG-7)."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*fields).alias("row"))))

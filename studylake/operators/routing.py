@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -95,7 +95,7 @@ def ready(routed: DataFrame, models: DataFrame, providers: DataFrame) -> DataFra
     """``ready`` of each routed request: its model's provider is enabled and has a secret (PRJ-5, RT-6)."""
     state = providers.select(F.col("id").alias("provider_id"), (F.col("enabled") & F.col("has_secret")).alias("ready"))
     owned = models.select(F.col("id").alias("model_id"), "provider_id").join(state, "provider_id", "left").drop("provider_id")
-    return routed.join(F.broadcast(owned), "model_id", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))
+    return routed.join(owned, "model_id", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))
 
 
 def first_ready(requests: DataFrame, key: list[str], models: DataFrame, profiles: DataFrame, latency: DataFrame, providers: DataFrame, classified: str | None = None) -> DataFrame:
@@ -108,8 +108,3 @@ def first_ready(requests: DataFrame, key: list[str], models: DataFrame, profiles
 def attempts(runs: DataFrame) -> DataFrame:
     """Last attempt of each run: ``(run_id, attempts, status)`` from ``(run_id, attempt, status)`` (RT-8)."""
     return runs.groupBy("run_id").agg(F.count("*").alias("attempts"), F.max_by("status", "attempt").alias("status"))
-
-
-def first_capable(models: DataFrame, order: list[Column], key: str) -> DataFrame:
-    """First model of each key by an order (SRT-5)."""
-    return models.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("r = 1").drop("r")

@@ -123,7 +123,7 @@ def context_budget(spark, sf_dir):
 @query(f"""WITH {_TIERS} SELECT doc_id, profile, CASE WHEN tier = 'canonical' THEN n ELSE least(n, max_chars) END AS article_chars,
 sha256(substr(text, 1, CASE WHEN tier = 'canonical' THEN n ELSE max_chars END)) AS article_hash FROM x JOIN documents USING (doc_id)""")
 def context_article(spark, sf_dir):
-    """CTX-1, CTX-9: the text that goes into the context where none is cached."""
+    """CTX-1: the text that goes into the context where none is cached."""
     text = context.article(F.col("text"), F.col("profile"), F.col("tier"), F.lit(None).cast("string"))
     return _tiers(spark, sf_dir).select("doc_id", "profile", text.alias("a")).select("doc_id", "profile", F.length("a").cast("long").alias("article_chars"), F.sha2("a", 256).alias("article_hash"))
 
@@ -208,7 +208,7 @@ _ENVELOPE = " || ".join("'[" + v + "]' || chr(10) || " + {"articleContext": "tex
 
 @query(f"WITH {_REQUESTS} SELECT conv_id, turn, CAST(length({_ENVELOPE}) AS BIGINT) AS prompt_chars, sha256({_ENVELOPE}) AS prompt_hash FROM p")
 def prompt_render(spark, sf_dir):
-    """TPL-3, TPL-5: the envelope filled from a turn; a text's own braces are left alone."""
+    """TPL-3: the envelope filled from a turn; a text's own braces are left alone."""
     envelope = next(text for key, *_, text in templates.CATALOGUE if key == "user.envelope")
     request = templates.render("Please do this with the selection: {{action}}.", {"action": F.col("action")})
     prompt = templates.render(envelope, {"articleContext": F.col("input"), "action": F.col("action"), "contextTier": F.lit("canonical"), "request": request})

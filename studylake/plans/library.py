@@ -246,7 +246,7 @@ def optional_filters(spark, sf_dir):
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
 def existence_probe(spark, sf_dir):
-    """FLT-12, ANC-9, CTX-12."""
+    """FLT-12, ANC-9."""
     customer, orders = read(spark, sf_dir, "customer", "orders")
     live = orders.where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey")
     return rel.existing(customer.select("c_custkey", "c_name"), live, ["c_custkey"])
@@ -270,5 +270,5 @@ def top_three_per_key(spark, sf_dir):
 
 @query("""SELECT user_id, ts FROM (SELECT DISTINCT user_id, max(ts) OVER (PARTITION BY user_id) AS ts FROM events)""")
 def last_seen(spark, sf_dir):
-    """SRC-1, SRC-2, CTX-11: newest value per key."""
+    """SRC-1, SRC-2: newest value per key."""
     return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
