@@ -89,20 +89,16 @@ def cancel_jobs(jobs: DataFrame, reason: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share. Without that setting a local session
-    takes a temporary folder, and one on a cluster is refused."""
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; it goes when the interpreter ends.
+
+    Without that setting a local session takes a temporary folder, and one on a cluster is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{tempfile.gettempdir()}/studylake-checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table that is computed once, however often it is read; the folder goes when the interpreter ends."""
-    spark, schema = df.sparkSession, df.schema
-    path = shared_folder(spark, name)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def drop() -> None:
         try:
@@ -112,6 +108,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
             pass
 
     atexit.register(drop)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table that is computed once, however often it is read, in a ``shared_folder``."""
+    spark, schema = df.sparkSession, df.schema
+    path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 

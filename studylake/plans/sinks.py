@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import artifacts, context, exports, search, store
-from ..sources import assets, html, sse
+from ..sources import assets, html, imports, sse
 from ..streaming import events as ev
 from .registry import query, read
 
@@ -70,6 +70,20 @@ def zip_choice(spark, sf_dir):
     return found.select("path", "entry", F.array_join("choices", ",").alias("choices"), "error")
 
 
+@query("""WITH p AS (SELECT page_id, html, page_id % 6 AS k, CASE WHEN page_id % 10 = 0 THEN 'old-' || page_id ELSE 'doc-' || substr(sha256(html), 1, 20) END AS document_id FROM pages)
+SELECT 'h' || page_id AS path, 'html' AS kind, NULL AS entry, '' AS choices, NULL AS error, document_id, page_id % 10 = 0 AS duplicate FROM p
+UNION ALL SELECT 'z' || page_id, CASE WHEN k < 5 THEN 'zip' END, CASE WHEN k IN (0, 2) THEN 'index.html' END, CASE k WHEN 0 THEN 'index.html' WHEN 1 THEN 'b/other.htm,index.html' WHEN 2 THEN 'index.html' ELSE '' END,
+  CASE k WHEN 3 THEN 'unsafe path' WHEN 4 THEN 'extension' WHEN 5 THEN 'no page or archive, or too large' END, CASE WHEN k IN (0, 2) THEN document_id END, k IN (0, 2) FROM p""")
+def import_sources(spark, sf_dir):
+    """SRC-3, SRC-5, HTM-9: every page as it is and in an archive; each tenth page is stored already."""
+    pages = read(spark, sf_dir, "pages")
+    n, body = F.col("page_id").cast("string"), F.encode("html", "UTF-8")
+    alone = pages.select(F.concat(F.lit("h"), n).alias("path"), F.concat(n, F.lit(".html")).alias("name"), body.alias("content"))
+    packed = _archives(spark, sf_dir).select(F.concat(F.lit("z"), "path").alias("path"), F.concat("path", F.lit(".zip")).alias("name"), "content")
+    stored = pages.where("page_id % 10 = 0").select(F.sha2(body, 256).alias("content_hash"), F.concat(F.lit("old-"), n).alias("document_id"))
+    return imports.import_sources(alone.unionByName(packed), stored).withColumn("choices", F.array_join("choices", ","))
+
+
 @query("""WITH v AS (SELECT page_id, replace(base64(unhex('89504E470D0A1A0A') || encode('' || page_id)), chr(10), '') AS b FROM pages)
 SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'data:image/png;base64,' || b WHEN 4 THEN 'data:image/png;base64,' || b END AS uri FROM v""")
 def data_uri_check(spark, sf_dir):
