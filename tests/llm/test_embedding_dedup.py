@@ -80,3 +80,35 @@ def test_large_leaves_are_split_on_and_keep_pairs():
     pairs = [set(zip(*map(np.ndarray.tolist, z))) for z in (a, b)]
     assert len({r for r, _ in pairs[0] & pairs[1]}) > 0.85 * len(x)  # one tree's five levels; ten trees miss almost none
     assert np.isnan(E.split_leaf(1, 10_000, np.tile(x[:1], (512, 1)), 128, 0.035)[0])
+
+
+def test_links_survive_leaves_that_are_split_on(spark):
+    """Borderline pairs and a dense cluster, end to end, with trees that are grown on a sample of 300 and refined."""
+    rng = np.random.default_rng(21)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(1500, 64)))
+    noise = rng.normal(size=x.shape)
+    noise = unit(noise - (noise * x).sum(1, keepdims=True) * x)
+    close = unit(unit(rng.normal(size=(1, 64))) + 0.3 * unit(rng.normal(size=(300, 64))))
+    v = np.concatenate([x, 0.905 * x + np.sqrt(1 - 0.905**2) * noise, close])
+    near = v @ v.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {r[0]: r[1] for r in E.embedding_links(df, sample=300, leaf_size=64, leaf_limit=128).collect()}
+    want = near.sum(1)
+    assert all(got[i] <= want[i] for i in range(len(v)))
+    assert sum(got.values()) >= 0.99 * want.sum()
+    assert sum(got[i] for i in range(3000)) >= 0.99 * want[:3000].sum()
+    assert [got[i] for i in range(3000, 3300)] == want[3000:].tolist()  # dense: compared in parts, exactly
+
+
+def test_more_vectors_bring_few_more_entries():
+    rng = np.random.default_rng(5)
+    mean = []
+    for n in (5_000, 50_000):
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        rows, leaves = E.Forest(x[:20_000], n, E.trees_for(n, 256, 2), 256, 0.02, 11, 2, 0.0446).leaves(x)
+        mean.append(len(rows) / n)
+        assert (np.unique(leaves, return_counts=True)[1].astype(float) ** 2).sum() < 0.6 * n**2
+    assert mean[1] < 2 * mean[0] < 30
