@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding: Unigram Viterbi over a double-array trie of scored pieces.
 
 The pieces come from a model file; nothing is trained. The file is a BPE model: negative merge ranks stand in for log scores. A space is written as the marker U+2581, and one stands before the
-text. A piece holds markers at its start alone, so the best segmentation of a text is that of its units, each a run of
-markers and what follows up to the next; equal units are segmented once a task. Units of a batch are solved together, one
-array step for each position and piece length. A character that no piece of its own covers becomes its UTF-8 bytes;
+text. A piece holds markers at its start alone and joins characters of one group alone, such as Latin letters or signs, so
+the best segmentation of a text is that of its units, each a run of markers and the run of one group behind it; a task
+remembers short units. Units of a batch are solved together, one array step for each position and piece length, and their
+best paths are read off together, one step for each piece. A character that no piece of its own covers becomes its UTF-8 bytes;
 a literal U+2581 does too, so decoding gives back every text exactly.
 """
 
@@ -26,10 +27,10 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNK_PENALTY = 10.0
 #: Units up to this length are solved together; longer ones, such as texts without spaces, one at a time.
 BATCHED = 64
-#: Units that a task remembers.
-CACHE = 60_000
-
-_UNITS = re.compile(r" +[^ ]*")
+#: Units that a task remembers, and their length at most: some 200 bytes each, 800 if all their characters are bytes.
+CACHE, CACHED = 200_000, 32
+#: Ids that are decoded in one array step.
+DECODED = 1 << 16
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -103,6 +104,23 @@ class DoubleArray:
         self.base, self.check, self.value = (np.array((a + [f] * codes)[:end], dtype=np.int32) for a, f in ((base, 0), (check, -1), (value, -1)))
 
 
+def _units(pieces: list[str]) -> re.Pattern:
+    """Units of a text: no piece reaches across the end of one.
+
+    Two characters are of one group if a chain of neighbours within ``pieces`` leads from one to the other. Groups of 16 and
+    more characters are runs of their own; all others share one kind of run.
+    """
+    group: dict[str, list[str]] = {}
+    for piece in pieces:
+        for c in (word := piece.lstrip(MARK)):
+            if (mine := group.setdefault(c, [c])) is not (first := group[word[0]]):
+                less, more = sorted((mine, first), key=len)
+                more.extend(less)
+                group.update(dict.fromkeys(less, more))
+    large = ["".join(map(re.escape, sorted(g))) for g in {id(g): g for g in group.values()}.values() if len(g) >= 16]
+    return re.compile(" *(?:" + "".join(f"[{g}]+|" for g in large) + f"[^ {''.join(large)}]+)| +")
+
+
 class Pieces:
     """A model's pieces, their scores, and the trie over them."""
 
@@ -116,6 +134,7 @@ class Pieces:
         plain = [(i, t) for i, (t, _, kind) in enumerate(rows) if kind in (NORMAL, USER)]
         if any(MARK in t.lstrip(MARK) for _, t in plain):
             raise ValueError("a piece holds a marker after other characters, so texts can't be cut at markers")
+        self.units = _units([t for _, t in plain])
         self.bytes = {int(t[3:5], 16): i for i, (t, _, kind) in enumerate(rows) if kind == BYTE}
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte fallback")
@@ -127,9 +146,10 @@ class Pieces:
         self.longest = max(len(t) for _, t in plain)
         self.trie = DoubleArray([(self.code[[ord(c) for c in t.replace(MARK, " ")]].tolist(), i) for i, t in plain], len(alphabet) + 1)
         #: What a piece decodes to; control and unknown pieces decode to nothing.
-        self.output = [
-            bytes([int(t[3:5], 16)]) if kind == BYTE else t.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"" for t, _, kind in rows
-        ]
+        output = [bytes([int(t[3:5], 16)]) if kind == BYTE else t.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"" for t, _, kind in rows]
+        self.output = np.frombuffer(b"".join(output), dtype=np.uint8)
+        self.output_sizes = np.array([len(o) for o in output])
+        self.output_starts = np.cumsum(self.output_sizes) - self.output_sizes
 
     def _ids(self, unit: str, starts: list[int], pieces: list[int]) -> bytes:
         """The pieces on the best path to the end, as little-endian ints; ``starts[e]`` and ``pieces[e]`` end at ``e``."""
@@ -145,53 +165,76 @@ class Pieces:
 
     def solve(self, units: list[str]) -> list[bytes]:
         """Best segmentation of each unit. On ties the piece that starts first wins."""
-        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        order = np.argsort(sizes, kind="stable")
+        short = int(np.searchsorted(sizes[order], BATCHED, side="right"))
+        order = order.tolist()
         out: list[bytes] = [b""] * len(units)
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            short = [i for i in some if len(units[i]) <= BATCHED]
-            if short:
-                starts, pieces = self._paths([units[i] for i in short])
-                for i, s, p in zip(short, starts.tolist(), pieces.tolist()):
-                    out[i] = self._ids(units[i], s, p)
-            for i in some[len(short) :]:
-                out[i] = self._ids(units[i], *self._path(units[i]))
+        for at in range(0, short, 4096):
+            some = order[at : min(at + 4096, short)]
+            for i, ids in zip(some, self._together([units[i] for i in some])):
+                out[i] = ids
+        for i in order[short:]:
+            out[i] = self._ids(units[i], *self._path(units[i]))
         return out
 
     def _codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
 
-    def _paths(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _together(self, units: list[str]) -> list[bytes]:
+        """What ``_ids`` and ``_path`` give for each of ``units``, which come in order of length."""
         sizes = np.array([len(u) for u in units])
-        n, width = len(units), int(sizes.max())
-        codes = np.full((n, width + 1), -1, dtype=np.int32)
-        codes[np.arange(width + 1) < sizes[:, None]] = self._codes("".join(units))
-        best = np.full((n, width + 1), -np.inf)
-        best[:, 0] = 0
-        starts, pieces = np.zeros((n, width + 1), dtype=np.int32), np.full((n, width + 1), -1, dtype=np.int32)
-        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        starts, pieces = self._paths(units, sizes)
+        passed = np.zeros(starts.T.shape, dtype=bool)  # ends of pieces on the best paths
+        rows, ends = np.arange(len(units)), sizes
+        while (on := ends > 0).any():
+            rows, ends = rows[on], ends[on]
+            passed[rows, ends] = True
+            ends = starts[ends, rows]
+        rows, ends = np.nonzero(passed)
+        ids = pieces[ends, rows]
+        if (alone := ids < 0).any():
+            utf8 = [units[r][e - 1].encode("utf-8", "surrogatepass") for r, e in zip(rows[alone].tolist(), ends[alone].tolist())]
+            width = np.ones(len(ids), dtype=np.int64)
+            width[alone] = [len(u) for u in utf8]
+            rows, ids, alone = np.repeat(rows, width), np.repeat(ids, width), np.repeat(alone, width)
+            ids[alone] = [self.bytes[b] for b in b"".join(utf8)]
+        data = ids.astype("<i4").tobytes()
+        cuts = [0, *(4 * np.cumsum(np.bincount(rows, minlength=len(units)))).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _paths(self, units: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_path`` of each unit, a column each. Code 0 leads nowhere; it stands for the end and for characters of no piece."""
+        n, width = len(units), int(sizes[-1])
+        codes = np.zeros((n, width + 1), dtype=np.int32)
+        codes[np.arange(width + 1) < sizes[:, None]] = np.maximum(self._codes("".join(units)), 0)
+        codes = np.ascontiguousarray(codes.T)
+        best = np.full((width + 1, n), -np.inf)
+        best[0] = 0
+        starts, pieces = np.zeros((width + 1, n), dtype=np.int32), np.full((width + 1, n), -1, dtype=np.int32)
+        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         for i in range(width):
-            rows = np.flatnonzero(sizes > i)
-            state, alone = np.zeros(len(rows), dtype=np.int32), np.ones(n, dtype=bool)
+            first = int(np.searchsorted(sizes, i, side="right"))
+            rows, state, alone = np.arange(first, n), np.zeros(n - first, dtype=np.int32), np.ones(n, dtype=bool)
+            alone[:first] = False
             for end in range(i + 1, min(width, i + self.longest) + 1):
-                code = codes[rows, end - 1]
-                then = base[state] + np.maximum(code, 0)
-                on = (code > 0) & (check[then] == state)
-                rows, state = rows[on], then[on]
-                if not len(rows):
+                then = base[state] + codes[end - 1][rows]
+                on = np.flatnonzero(check[then] == state)
+                if not len(on):
                     break
+                rows, state = rows[on], then[on]
                 found = value[state]
-                hit = found >= 0
-                if end == i + 1:
-                    alone[rows[hit]] = False
+                hit = np.flatnonzero(found >= 0)
                 r, p = rows[hit], found[hit]
-                score = best[r, i] + self.scores[p]
-                better = score > best[r, end]
+                if end == i + 1:
+                    alone[r] = False
+                score = best[i][r] + scores[p]
+                better = np.flatnonzero(score > best[end][r])
                 r = r[better]
-                best[r, end], starts[r, end], pieces[r, end] = score[better], i, p[better]
-            r = np.flatnonzero(alone & (sizes > i))
-            r = r[best[r, i] + self.unknown > best[r, i + 1]]
-            best[r, i + 1], starts[r, i + 1], pieces[r, i + 1] = best[r, i] + self.unknown, i, -1
+                best[end][r], starts[end][r], pieces[end][r] = score[better], i, p[better]
+            r = np.flatnonzero(alone)
+            r = r[best[i][r] + self.unknown > best[i + 1][r]]
+            best[i + 1][r], starts[i + 1][r], pieces[i + 1][r] = best[i][r] + self.unknown, i, -1
         return starts, pieces
 
     def _path(self, unit: str) -> tuple[list[int], list[int]]:
@@ -222,17 +265,26 @@ class Pieces:
         return self._as_lists
 
     def encode(self, texts: list[str], cache: dict[str, bytes]) -> list[np.ndarray]:
-        cut = [_UNITS.findall(" " + t) if t else [] for t in texts]
-        new = list({u: None for units in cut for u in units if u not in cache})
+        cut = [self.units.findall(" " + t) if t else [] for t in texts]
+        known = [list(map(cache.get, units)) for units in cut]
+        new = list({u for units, found in zip(cut, known) for u, ids in zip(units, found) if ids is None})
+        solved = dict(zip(new, self.solve(new)))
         if len(cache) + len(new) > CACHE:
             cache.clear()
-            new = list({u: None for units in cut for u in units})
-        solved = cache if len(new) <= CACHE else {}
-        solved.update(zip(new, self.solve(new)))
-        return [np.frombuffer(b"".join(map(solved.__getitem__, units)), dtype="<i4") for units in cut]
+        if len(new) <= CACHE:
+            cache.update((u, ids) for u, ids in solved.items() if len(u) <= CACHED)
+        return [
+            np.frombuffer(b"".join([solved[u] if ids is None else ids for u, ids in zip(units, found)]), dtype="<i4") for units, found in zip(cut, known)
+        ]
 
     def decode(self, ids: np.ndarray) -> str:
-        data = b"".join(map(self.output.__getitem__, ids.tolist()))
+        parts = []
+        for at in range(0, len(ids), DECODED):
+            some = ids[at : at + DECODED]
+            sizes = self.output_sizes[some]
+            ends = np.cumsum(sizes)
+            parts.append(self.output[np.repeat(self.output_starts[some] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
+        data = b"".join(parts)
         return data[1 if data[:1] == b" " else 0 :].decode("utf-8", "replace")
 
 
@@ -265,7 +317,7 @@ def encode(
         for whole in batches:
             for at in range(0, len(whole), 128):
                 batch = whole.slice(at, 128)
-                ids = pieces.encode([t.as_py() or "" for t in batch.column(1)], cache)
+                ids = pieces.encode([t or "" for t in batch.column(1).to_pylist()], cache)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 n = pa.array([int(fallback[i].sum()) for i in ids], pa.int64())

@@ -61,3 +61,53 @@ def test_small_cache(pieces, monkeypatch):
     cache = {}
     assert [pieces.decode(i) for i in pieces.encode(texts, cache)] == texts
     assert [pieces.decode(i) for i in pieces.encode(texts[:1], cache)] == texts[:1]
+
+
+def test_units_hold_one_group_and_lose_no_piece(pieces):
+    rng = np.random.default_rng(7)
+    alphabet = list("aAbeéßtion  .,!\n\t$019▁😀汉取获жшї­\x00«")
+    texts = ["".join(rng.choice(alphabet, int(n))) for n in rng.integers(1, 200, 300)] + [t for t in TEXTS + ODD[1:-2] if t]
+    whole = [np.frombuffer(pieces._ids(" " + t, *pieces._path(" " + t)), dtype="<i4") for t in texts]
+    assert all(np.array_equal(a, b) for a, b in zip(pieces.encode(texts, {}), whole, strict=True))
+    assert pieces.units.findall(" the.\nThe,  2024!!") == [" the", ".", "\n", "The", ",", "  2024", "!!"]
+
+
+def test_a_word_is_solved_once_whatever_signs_follow(pieces, monkeypatch):
+    asked, solve = [], pieces.solve
+    monkeypatch.setattr(pieces, "solve", lambda units: asked.extend(units) or solve(units))
+    cache = {}
+    pieces.encode([f"wordy{s} wordy{s}\n" for s in ".,;:!?)"], cache)
+    assert asked.count(" wordy") == 1 and sorted(asked) == sorted([" wordy", "\n", *".,;:!?)"])
+    pieces.encode(["wordy!; " + "x" * 33], cache)
+    assert set(asked[9:]) == {"!;", " " + "x" * 33}
+    assert "!;" in cache and max(map(len, cache)) <= S.CACHED
+
+
+def test_units_at_hand_are_not_solved_again_when_the_cache_is_full(pieces, monkeypatch):
+    monkeypatch.setattr(S, "CACHE", 4)
+    asked, solve = [], pieces.solve
+    monkeypatch.setattr(pieces, "solve", lambda units: asked.extend(units) or solve(units))
+    cache = {}
+    pieces.encode(["one two three"], cache)
+    got = pieces.encode(["one two three four five"], cache)
+    assert pieces.decode(got[0]) == "one two three four five" and sorted(asked) == sorted([" one", " two", " three", " four", " five"])
+    assert len(cache) <= 4
+
+
+def test_solved_together_as_alone(pieces):
+    units = ["😀", " 汉字\n", "", " ", "   ", "▁", " a▁é😀", "«»", " tion", "x" * S.BATCHED, "\x00" * S.BATCHED, "y" * (S.BATCHED + 1)]
+    assert pieces.solve(units) == [pieces._ids(u, *pieces._path(u)) for u in units]
+    assert pieces.solve([]) == [] and pieces.solve([""]) == [b""]
+
+
+def test_ids_decode_in_parts(pieces, monkeypatch):
+    monkeypatch.setattr(S, "DECODED", 3)
+    texts = [t or "" for t in TEXTS + ODD[:-2]]
+    assert [pieces.decode(i) for i in pieces.encode(texts, {})] == texts
+
+
+def test_pieces_over_groups_join_them():
+    assert S._units(["▁ab", "b.", "..", "12"]).findall(" ab.a 12c") == [" ab.a", " 12c"]
+    signs, letters = [a + b for a, b in zip("!\"#$%&'()*+,-./:", "\"#$%&'()*+,-./:;")], [a + b for a, b in zip("abcdefghijklmnop", "bcdefghijklmnopq")]
+    assert S._units(signs + letters).findall(" ab]-^ab..1") == [" ab", "]", "-", "^", "ab", "..", "1"]
+    assert S._units(signs + letters + ["o.k"]).findall(" ab]-^ab..1") == [" ab", "]", "-", "^", "ab..", "1"]
