@@ -9,6 +9,8 @@ from ..functions import text as tx
 
 SINGLETONS = ("tldr", "half-page", "visual-recap")
 LAYOUTS = ("flow", "tree", "timeline", "comparison", "cycle")
+#: A bullet as ``^\s*[-*]`` of browsers finds it, with their line ends and white space, which differ between engines.
+BULLET = rf"(?:^|[\n\r\u2028\u2029]){tx.SPACE}*[-*]"
 DIAGRAM = "version int, title string, layout string, nodes array<struct<id:string,label:string,detail:string,sourceRefs:array<string>>>, edges array<struct<from:string,to:string,label:string>>"
 RECAP = "title string, sections array<struct<heading:string,points:array<string>>>"
 
@@ -37,7 +39,7 @@ def word_count(text: Column) -> Column:
 
 def problems(kind: Column, text: Column) -> Column:
     """What is wrong with a text artifact; an empty array if nothing is (ART-3)."""
-    n, bullets = word_count(text), F.regexp_count(text, F.lit(r"(?m)^\s*[-*]"))
+    n, bullets = word_count(text), F.regexp_count(text, F.lit(BULLET))
     rule = lambda wrong, name: F.when(wrong, F.lit(name))
     found = F.array(
         rule(F.coalesce(F.trim(text), F.lit("")) == "", "text is required"),

@@ -72,8 +72,13 @@ def tldr_truncate(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", n.alias("word_count"), F.least(n, F.lit(150)).cast("long").alias("out_words"), F.sha2(artifacts.truncate(F.col("text")), 256).alias("out_hash"))
 
 
-@query("""WITH w AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'tldr' ELSE 'half-page' END AS kind, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)
-SELECT doc_id, kind, CASE WHEN kind = 'tldr' AND n > 150 THEN 'more than 150 words' WHEN kind = 'half-page' AND n NOT BETWEEN 300 AND 450 THEN 'not 300 to 450 words' ELSE '' END AS problems FROM w""")
+_SPACE = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'tldr' ELSE 'half-page' END AS kind, len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '')) AS n,
+  len(regexp_extract_all(text, '(?:^|[\\n\\r\\x{{2028}}\\x{{2029}}]){_SPACE}*[-*]')) AS bullets FROM documents)
+SELECT doc_id, kind, concat_ws(', ', CASE WHEN coalesce(trim(text), '') = '' THEN 'text is required' END, CASE WHEN kind = 'tldr' AND n > 150 THEN 'more than 150 words' END,
+  CASE WHEN kind = 'tldr' AND bullets > 5 THEN 'more than 5 bullets' END, CASE WHEN kind = 'half-page' AND n NOT BETWEEN 300 AND 450 THEN 'not 300 to 450 words' END) AS problems FROM w""")
 def artifact_validate(spark, sf_dir):
     """ART-3."""
     kind = F.when(F.col("doc_id") % 2 == 0, "tldr").otherwise("half-page")
