@@ -73,6 +73,7 @@ class Scratch:
             spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[str] = []
         atexit.register(self.clear)
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -86,12 +87,22 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def write_dealt(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """``write`` in buckets by ``key``, so that a join on it with as many partitions leaves these rows where they are."""
+        name, path = f"scratch_{uuid.uuid4().hex}", f"{self.root}/{self.count}"
+        self.count += 1
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
     def drop(self, df: DataFrame) -> None:
         if path := getattr(df, "_scratch_path", None):
             self._delete(path)
 
     def clear(self) -> None:
         try:
+            for name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             self._delete(self.root)
         except Exception:  # the JVM may be gone when the interpreter ends
             pass

@@ -6,7 +6,7 @@ but only suffixes that can repeat are sorted:
 1. Texts are packed into batches of a few MB, written once.
 2. A string's key is the least hash of the grams in it, so equal strings have equal keys, and a key lasts for a run of
    neighbouring positions. A batch sends its different keys, five bytes each, to the parts that own them; a part answers
-   with the keys that another batch holds too.
+   with the keys that another batch holds too. A batch's texts stay in their bucket, and answers come to them.
 3. A batch cuts out the runs whose keys occur elsewhere, or in two of its own texts, and sends their bytes to the key's
    part. Of equal runs in a batch only those of the smallest id travel; the others are repeated for certain.
 4. A part sorts the suffixes of its runs up to ``length`` bytes by deep-shallow sorting (Manzini and Ferragina, 2004):
@@ -15,7 +15,7 @@ but only suffixes that can repeat are sorted:
 5. Ranges go back to their batches, which cut them out and digest what stays.
 
 Texts meet batch by batch, whatever their keys, so a popular text or source makes no partition larger. A key that more than
-``HOT_BATCHES`` batches hold is dealt otherwise: its strings go one by one, each to the part of its own hash, and of equal
+``HOT_BATCHES`` batches hold, and whose different runs would weigh more than a batch in its part, is dealt otherwise: its strings go one by one, each to the part of its own hash, and of equal
 strings of a batch only those of the smallest id. First their hashes alone, five bytes each, so a string that no other batch
 holds goes no further. The others meet in two levels, among the batches of a group and then among the groups, with as many
 groups as batches in a group, so a part gets a popular string at most as often as the square root of the number of batches
@@ -45,14 +45,17 @@ SHALLOW = 16
 #: Low bits of a key that are sent; the bits above choose the part.
 LOW_BITS = 40
 PART_BYTES = 64 << 20
-#: A key that more batches hold is dealt string by string. Strings weigh more than runs, so only keys whose runs could fill a
-#: task are worth it.
+#: A key that more batches hold is dealt string by string if its runs are more than ``hot_batches / HOT_BATCHES`` of a batch
+#: in bytes. Strings weigh more than runs, so only keys whose runs could fill a task are worth it; a line that all batches
+#: have is one run of each.
 HOT_BATCHES = 256
+#: A batch weighs the runs of a key of which it has more, and otherwise takes them for one of twice the length.
+WEIGHED_RUNS = 16
 SORT_AT_ONCE = 1 << 20
 
 
 def _pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpack(data: bytes) -> tuple:
@@ -117,6 +120,26 @@ class Batch:
         self.key, self.text, self.start, self.stop = key[run][keep].astype(np.uint64), text[keep], start[keep], stop[keep]
 
 
+def run_weights(b: Batch, weighed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of a batch, and how many bytes the different runs of each have beyond what any key counts for."""
+    order = np.argsort(b.key, kind="stable")
+    new = np.flatnonzero(np.concatenate(([True], b.key[order][1:] != b.key[order][:-1]))) if len(order) else order
+    keys, count = b.key[order][new], np.diff(np.append(new, len(order)))
+    weight = np.zeros(len(keys), dtype=np.int64)
+    data = b.buffer.tobytes() if weighed else b""
+    for k in np.flatnonzero(count > WEIGHED_RUNS).tolist() if weighed else ():
+        runs = order[new[k] : new[k] + count[k]]
+        seen = {data[s : e + b.length - 1] for s, e in zip(b.start[runs].tolist(), b.stop[runs].tolist())}
+        weight[k] = max(0, sum(map(len, seen)) - 2 * b.length)
+    return keys, weight
+
+
+def _weights(weight: np.ndarray | None = None) -> bytes:
+    """Places and values of the weights that are not 0, before a part's keys."""
+    some = np.flatnonzero(weight) if weight is not None else np.empty(0, np.int64)
+    return len(some).to_bytes(4, "little") + (np.stack([some, weight[some]], axis=1).astype("<u4").tobytes() if len(some) else b"")
+
+
 def string_hashes(buffer: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """A hash of the whole string of ``length`` bytes at each place."""
     words, h = _words(buffer, "<"), np.zeros(len(at), dtype=np.uint64)
@@ -270,28 +293,34 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def repeated_ranges(packed: DataFrame, length: int, parts: int, groups: int, scratch: Scratch, sort_at_once: int = SORT_AT_ONCE, hot_batches: int = HOT_BATCHES) -> DataFrame:
+def repeated_ranges(packed: DataFrame, length: int, parts: int, groups: int, scratch: Scratch, sort_at_once: int = SORT_AT_ONCE, hot_batches: int = HOT_BATCHES, hot_bytes: int = BATCH_BYTES) -> DataFrame:
     """``(batch, ranges)``: for each batch packed arrays (text, start, stop) of repeated bytes."""
+    weighed = groups * groups > hot_batches  # with fewer batches no key is hot
     n = shuffle_partitions(packed.sparkSession)
     body = packed.select("batch", "n_bytes", "ids", "named", "sizes", "blob")
 
     def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            keys = np.unique(_batch(row, length).key)
+            keys, weight = run_weights(_batch(row, length), weighed)
             part = _parts_of(keys, parts)
             order = np.argsort(part, kind="stable")
-            keys, part = keys[order], part[order]
+            keys, part, weight = keys[order], part[order], weight[order]
             low = keys.view(np.uint8).reshape(-1, 8)[:, :5]
-            yield _out([(p, row["batch"], np.ascontiguousarray(low[s]).tobytes()) for p, s in _slices(part)], *_ROW)
+            yield _out([(p, row["batch"], _weights(weight[s]) + np.ascontiguousarray(low[s]).tobytes()) for p, s in _slices(part)], *_ROW)
 
     def answer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, held in _by_part(batches):
-            sizes = [len(p) // 5 for _, p in held]
+            heavy = [np.frombuffer(p, "<u4", 2 * int.from_bytes(p[:4], "little"), 4).reshape(-1, 2) for _, p in held]
+            bodies = [p[4 + h.nbytes :] for h, (_, p) in zip(heavy, held)]
+            sizes = [len(p) // 5 for p in bodies]
             low = np.zeros((sum(sizes), 8), dtype=np.uint8)
-            low[:, :5] = np.frombuffer(b"".join(p for _, p in held), dtype=np.uint8).reshape(-1, 5)
+            low[:, :5] = np.frombuffer(b"".join(bodies), dtype=np.uint8).reshape(-1, 5)
             low = low.view("<u8").ravel()
-            known, count = np.unique(low, return_counts=True)
-            hit, hot, rows, at = np.isin(low, known[count > 1]), np.isin(low, known[count > hot_batches]), [], 0
+            known, place, count = np.unique(low, return_inverse=True, return_counts=True)
+            weight = count * 2 * length
+            for h, start in zip(heavy, np.cumsum([0, *sizes])):
+                np.add.at(weight, place[start + h[:, 0].astype(np.int64)], h[:, 1].astype(np.int64))
+            hit, hot, rows, at = np.isin(low, known[count > 1]), np.isin(low, known[(count > hot_batches) & (weight > hot_bytes)]), [], 0
             for (number, _), size in zip(held, sizes):
                 mine, often = low[at : at + size][hit[at : at + size]], hot[at : at + size][hit[at : at + size]]
                 at += size
@@ -374,7 +403,7 @@ def repeated_ranges(packed: DataFrame, length: int, parts: int, groups: int, scr
             part = _parts_of(keys, parts)
             order = np.argsort(part, kind="stable")
             low = keys[order].view(np.uint8).reshape(-1, 8)[:, :5]
-            yield _out([(p, row["batch"], np.ascontiguousarray(low[s]).tobytes()) for p, s in _slices(part[order])], *_ROW)
+            yield _out([(p, row["batch"], _weights() + np.ascontiguousarray(low[s]).tobytes()) for p, s in _slices(part[order])], *_ROW)
 
     def send_hot(number: int, b: Batch, runs: np.ndarray, shared: list | None) -> Iterator[pa.RecordBatch]:
         """The strings of runs with hot keys: the first among equal ones, if another batch holds them, go to the first level."""
@@ -538,10 +567,10 @@ def suffix_dedup(
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     source = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    packed = scratch.write(pack_batches(source, batch_bytes))
+    packed = scratch.write_dealt(pack_batches(source, batch_bytes), "batch", shuffle_partitions(spark))
     total, batches = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     parts = max(3 * shuffle_partitions(spark), -(-total // PART_BYTES))
-    ranges = repeated_ranges(packed, length, parts, isqrt(batches) + 1, scratch, sort_at_once, hot_batches).groupBy("batch").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = repeated_ranges(packed, length, parts, isqrt(batches) + 1, scratch, sort_at_once, hot_batches, hot_batches * batch_bytes // HOT_BATCHES).groupBy("batch").agg(F.collect_list("ranges").alias("ranges"))
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

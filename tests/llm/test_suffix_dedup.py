@@ -90,3 +90,20 @@ def test_runs_do_not_depend_on_the_chunk(monkeypatch):
         b = S.Batch(b"".join(rows), ids, sizes, ids != 3, 50)
         made.append({(k, t, p) for k, t, s, e in zip(b.key.tolist(), b.text.tolist(), b.start.tolist(), b.stop.tolist()) for p in range(s, e)})
     assert made[0] == made[1] and len(made[0]) == sum(max(0, n - 49) for i, n in enumerate(sizes) if i != 3)
+
+
+def test_texts_stay_where_they_are_and_popular_lines_are_not_hot(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line = text(90)
+    rows = [(int(i), f"{text(500)}{line}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = S.suffix_dedup(docs, batch_bytes=1200, hot_batches=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(batch") == 1  # of the ranges alone
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == brute(rows)
+    same = S.Batch((line * 3).encode() * 20, np.arange(20), np.full(20, 270), np.ones(20, bool), 50)
+    keys, weight = S.run_weights(same)
+    unlike = S.Batch("".join(f"{text(60)}{line}" for _ in range(40)).encode(), np.arange(40), np.full(40, 150), np.ones(40, bool), 50)
+    assert weight.max() < 300 and S.run_weights(unlike)[1].max() > 1500 and not S.run_weights(unlike, False)[1].any()
+    assert sorted(keys.tolist()) == np.unique(same.key).tolist()
